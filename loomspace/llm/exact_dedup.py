@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_az, whole_text
+from .common import checkpointed, lower_az, whole_text
 
 BUCKET_BYTES = 32 << 20
 MAX_DEPTH = 40
@@ -133,6 +133,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
     """One row for each distinct content: sha, keep_id, n_rows, n_keep (rows that have keep_id)."""
     body = lower_az(whole_text(text_col))
     sizes = docs.select(F.xxhash64(body).alias("h"), F.octet_length(body).cast("long").alias("n_bytes")).distinct()
+    sizes = checkpointed(sizes)
     depth = grace_depth(sizes, bucket_bytes)
     records = docs.select(F.col(id_col).cast("long").alias("keep_id"), body.alias("body")).select(
         F.xxhash64("body").alias("h"), F.sha2("body", 256).alias("sha"), "body", "keep_id"

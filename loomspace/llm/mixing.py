@@ -111,19 +111,36 @@ def _draws(quota: np.ndarray, shard_blocks: int, seed: int):
     return run
 
 
-def _expanded(blocks: np.ndarray, seed: int):
+def _expanded(blocks: np.ndarray, seed: int, most: int = 1 << 19):
+    """Rows (shard, sid, first, n) to one row a slot, with the pass over the source and the permuted block."""
+
+    def part(shard: np.ndarray, sid: np.ndarray, first: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        of = np.repeat(np.arange(len(n)), n)
+        t = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
+        source = sid[of]
+        epoch, at = np.divmod(t, blocks[source])
+        number = np.empty_like(t)
+        order = np.lexsort((epoch, source))
+        cuts = np.flatnonzero(np.diff(source[order], prepend=-1) | np.diff(epoch[order], prepend=-1))
+        for rows in np.split(order, cuts[1:]):
+            if len(rows):
+                s, e = int(source[rows[0]]), int(epoch[rows[0]])
+                number[rows] = permuted(at[rows], int(blocks[s]), hash((seed, s, e)) & 0x7FFFFFFF)
+        return pd.DataFrame({"shard": shard[of], "sid": source.astype(np.int32), "epoch": epoch.astype(np.int32), "block": number})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for shard, sid, first, n in zip(b["shard"], b["sid"], b["first"], b["n"]):
-                for at in range(0, int(n), 1 << 16):
-                    t = np.arange(first + at, first + min(n, at + (1 << 16)))
-                    size = int(blocks[sid])
-                    epoch = t // size
-                    number = np.empty_like(t)
-                    for e in np.unique(epoch):
-                        of = epoch == e
-                        number[of] = permuted(t[of] % size, size, hash((seed, int(sid), int(e))) & 0x7FFFFFFF)
-                    yield pd.DataFrame({"shard": shard, "sid": np.int32(sid), "epoch": epoch.astype(np.int32), "block": number})
+            held, count = [], 0
+            for shard, sid, first, n in zip(*(b[c].tolist() for c in ("shard", "sid", "first", "n"))):
+                while n:
+                    k = min(n, most - count)
+                    held.append((shard, sid, first, k))
+                    first, n, count = first + k, n - k, count + k
+                    if count == most:
+                        yield part(*map(np.array, zip(*held)))
+                        held, count = [], 0
+            if held:
+                yield part(*map(np.array, zip(*held)))
 
     return run
 
