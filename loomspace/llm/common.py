@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -49,6 +50,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner see which frames are gone, so that shuffle files of finished steps go before new ones come."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sampled(df: DataFrame, id_col: str, count: int, bound: int, seed: int = 7) -> DataFrame:
     """About `bound` of `count` rows at most, chosen by a hash of the id; all of them if there are no more."""
     if count <= bound:

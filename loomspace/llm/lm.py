@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fold, whole_text
+from .common import checkpointed, fold, release, whole_text
 
 CHUNK_BYTES = 10 << 20
 BUCKET_TOKENS = 1_500_000
@@ -296,8 +296,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unsee
     tokens = dict(chunks.groupBy("kind").agg(F.sum("n_tokens")).collect())
     n_counted, n = tokens.get(COUNTED, 0), tokens.get(COUNTED, 0) + tokens.get(DELETED, 0)
     bits = max(0, -(-sum(tokens.values()) // bucket_tokens) - 1).bit_length()
-    asked = chunks.mapInPandas(_asked(bits), _ASKED)
-    answers = checkpointed(asked.groupBy("bucket").applyInPandas(_answers(bits), _ANSWER))
+    answers = checkpointed(chunks.mapInPandas(_asked(bits), _ASKED).groupBy("bucket").applyInPandas(_answers(bits), _ANSWER))
+    release(docs.sparkSession)  # the keys that were asked for
     v = answers.where("chunk = -1").agg(F.sum("distinct")).first()[0] or 0
     told = answers.where("chunk >= 0").drop("distinct")
 
@@ -308,6 +308,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unsee
     held = chunks.where(F.col("kind") == DELETED)
     events = met(held, _events(n_counted, v), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     got = events.limit(CONTEXT_BUCKETS * BINS * BINS).toPandas()  # that many codes at most
+    release(docs.sparkSession)
     weights = learn_weights(got["code"].to_numpy(dtype=np.int64), got["n"].to_numpy(dtype=np.int64))
     out = met(chunks, _scores(n, v, weights), _SCORES)
     return out.select("doc_id", (F.col("kind") == UNSEEN).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
