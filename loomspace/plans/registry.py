@@ -2,10 +2,464 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from loomspace.functions import geometry as G
+from loomspace.operators import generate, joins, questions, relations
+from loomspace.operators.generate import SceneConfig
+from loomspace.operators.predicates import holds, native_matrix
+from loomspace.sources import tables
+
+from . import derived, sqlfront
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+# ---- the derived geometries in SQL
+
+PTS = "pts AS (SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS scene, CAST((c_custkey*7919)%1000 AS DOUBLE) AS x, CAST((c_custkey*104729)%1000 AS DOUBLE) AS y FROM customer)"
+SHP = "shp AS (SELECT p_partkey AS id, CAST(p_partkey%3 AS INT) AS k, p_partkey%25 AS scene, CAST((p_partkey*6151)%980 AS DOUBLE) AS x, CAST((p_partkey*3571)%980 AS DOUBLE) AS y, CAST(4+2*(p_size%9) AS DOUBLE) AS w FROM part)"
+SQ = "sq AS (SELECT * FROM shp WHERE k = 0)"
+LIN = "lin AS (SELECT s_suppkey AS id, CAST((s_suppkey*6151)%1000 AS DOUBLE) AS ax, CAST((s_suppkey*3571)%1000 AS DOUBLE) AS ay, CAST((s_suppkey*7919)%1000 AS DOUBLE) AS bx, CAST((s_suppkey*104729)%1000 AS DOUBLE) AS by_ FROM supplier)"
+LEVEL = "lev AS (SELECT s_suppkey AS id, CAST((s_suppkey*6151)%900 AS DOUBLE) AS x, CAST((s_suppkey*3571)%980 AS DOUBLE) + 0.5 AS y FROM supplier)"
+_RINGS = {0: ("x,y", "x+w,y", "x+w,y+w", "x,y+w", "x,y"), 1: ("x+w/2,y", "x+w,y+w/2", "x+w/2,y+w", "x,y+w/2", "x+w/2,y"), 2: ("x,y", "x+w,y", "x,y+w", "x,y")}
+RING = "ring AS (" + " UNION ALL ".join(f"SELECT id, k, {i} AS i, {p.split(',')[0]} AS vx, {p.split(',')[1]} AS vy FROM shp WHERE k = {k}" for k, ring in _RINGS.items() for i, p in enumerate(ring)) + ")"
+EDGE = "edge AS (SELECT a.id, a.vx AS ax, a.vy AS ay, b.vx AS bx, b.vy AS by_ FROM ring a JOIN ring b ON a.id = b.id AND b.i = a.i + 1)"
+_O = "((e.bx-e.ax)*(p.y-e.ay)-(e.by_-e.ay)*(p.x-e.ax))"
+PIP = f"""pip AS (SELECT pid, sid, CASE WHEN edged THEN 'touches' ELSE 'within' END AS rel FROM (
+  SELECT p.id AS pid, s.id AS sid,
+    bool_or({_O} = 0 AND p.x BETWEEN least(e.ax, e.bx) AND greatest(e.ax, e.bx) AND p.y BETWEEN least(e.ay, e.by_) AND greatest(e.ay, e.by_)) AS edged,
+    count(*) FILTER ((e.ay > p.y) <> (e.by_ > p.y) AND ({_O} > 0) = (e.by_ > e.ay)) % 2 AS odd
+  FROM pts p JOIN shp s ON p.x BETWEEN s.x AND s.x + s.w AND p.y BETWEEN s.y AND s.y + s.w JOIN edge e ON e.id = s.id GROUP BY 1, 2
+) WHERE edged OR odd = 1)"""
+BASE = f"WITH {PTS}, {SHP}, {RING}, {EDGE}, {PIP} "
+BOX = f"WITH {SHP}, {SQ} "
+_MEET = "a.x <= b.x+b.w AND b.x <= a.x+a.w AND a.y <= b.y+b.w AND b.y <= a.y+a.w"
+_OVER = "a.x < b.x+b.w AND b.x < a.x+a.w AND a.y < b.y+b.w AND b.y < a.y+a.w"
+_IN = "a.x >= b.x AND a.x+a.w <= b.x+b.w AND a.y >= b.y AND a.y+a.w <= b.y+b.w"
+_OUT = "b.x >= a.x AND b.x+b.w <= a.x+a.w AND b.y >= a.y AND b.y+b.w <= a.y+a.w"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# ---- functions of one geometry
+
+
+@query(f"WITH {SHP} SELECT k, count(*) AS n, sum(CASE k WHEN 0 THEN w*w ELSE w*w/2 END) AS area FROM shp GROUP BY k")
+def area_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    return derived.shapes(spark, d).groupBy("k").agg(F.count("id").alias("n"), F.sum(G.area(F.col("geom"))).alias("area"))
+
+
+@query(f"WITH {LIN} SELECT id, round(sqrt((bx-ax)*(bx-ax)+(by_-ay)*(by_-ay)), 6) AS length FROM lin")
+def length_lines(spark: SparkSession, d: str) -> DataFrame:
+    return derived.lines(spark, d).select("id", F.round(G.length(F.col("geom")), 6).alias("length"))
+
+
+@query(f"WITH {SHP} SELECT id, x AS minx, y AS miny, x+w AS maxx, y+w AS maxy FROM shp")
+def bounds(spark: SparkSession, d: str) -> DataFrame:
+    return derived.shapes(spark, d).select("id", G.bounds(F.col("geom")).alias("b")).select("id", "b.*")
+
+
+@query(f"WITH {SHP} SELECT id, round(CASE k WHEN 2 THEN x+w/3 ELSE x+w/2 END, 6) AS cx, round(CASE k WHEN 2 THEN y+w/3 ELSE y+w/2 END, 6) AS cy FROM shp")
+def centroid_polygons(spark: SparkSession, d: str) -> DataFrame:
+    c = derived.shapes(spark, d).select("id", G.centroid(F.col("geom")).alias("c"))
+    return c.select("id", F.round("c.x", 6).alias("cx"), F.round("c.y", 6).alias("cy"))
+
+
+@query(f"WITH {LIN} SELECT id, round((ax+bx)/2, 6) AS cx, round((ay+by_)/2, 6) AS cy FROM lin WHERE ax <> bx OR ay <> by_ UNION ALL SELECT id, ax, ay FROM lin WHERE ax = bx AND ay = by_")
+def centroid_lines(spark: SparkSession, d: str) -> DataFrame:
+    c = derived.lines(spark, d).select("id", G.centroid(F.col("geom")).alias("c"))
+    return c.select("id", F.round("c.x", 6).alias("cx"), F.round("c.y", 6).alias("cy"))
+
+
+@query(f"WITH {SHP} SELECT id, CAST(CASE k WHEN 2 THEN 3 ELSE 4 END AS INT) AS vertices, 'Polygon' AS geom_type, true AS valid FROM shp")
+def vertex_counts(spark: SparkSession, d: str) -> DataFrame:
+    g = F.col("geom")
+    return derived.shapes(spark, d).select("id", G.vertex_count(g).alias("vertices"), G.geom_type(g).alias("geom_type"), G.is_valid(g).alias("valid"))
+
+
+_TXT = "CAST(CAST(vx AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(vy AS BIGINT) AS VARCHAR)"
+
+
+@query(f"WITH {SHP}, {RING} SELECT id, 'POLYGON ((' || string_agg({_TXT}, ', ' ORDER BY i) || '))' AS wkt, true AS same FROM ring GROUP BY id")
+def wkt_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    rows = derived.shapes(spark, d).withColumn("wkt", G.to_wkt(F.col("geom")))
+    return rows.select("id", "wkt", (G.from_wkt(F.col("wkt")) == F.col("geom")).alias("same"))
+
+
+@query(f"WITH {SHP}, {RING} SELECT id, CAST(i AS INT) AS i, vx + 5 AS x, vy - 3 AS y FROM ring")
+def affine_translate(spark: SparkSession, d: str) -> DataFrame:
+    return _vertices(derived.shapes(spark, d), lambda g: G.translate(g, F.lit(5.0), F.lit(-3.0)))
+
+
+@query(f"WITH {SHP}, {RING} SELECT r.id, CAST(i AS INT) AS i, x+w/2 + (vx-x-w/2)*2 AS x, y+w/2 + (vy-y-w/2)*0.5 AS y FROM ring r JOIN shp s ON r.id = s.id")
+def affine_scale(spark: SparkSession, d: str) -> DataFrame:
+    return _vertices(derived.shapes(spark, d), lambda g: G.scale(g, F.lit(2.0), F.lit(0.5)))
+
+
+@query(f"WITH {SHP}, {RING} SELECT r.id, CAST(i AS INT) AS i, x+w/2 - (vy-y-w/2) AS x, y+w/2 + (vx-x-w/2) AS y FROM ring r JOIN shp s ON r.id = s.id")
+def affine_rotate_90(spark: SparkSession, d: str) -> DataFrame:
+    return _vertices(derived.shapes(spark, d), lambda g: G.rotate(g, F.lit(90.0)))
+
+
+def _vertices(df: DataFrame, f) -> DataFrame:
+    rows = df.select("id", F.posexplode(f(F.col("geom"))["pts"]).alias("i", "p"))
+    return rows.select("id", "i", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+
+
+@query(f"WITH {LEVEL} SELECT id, x + 30 AS x30, x + 50 AS xmid, x + 100 AS xend, y FROM lev")
+def interpolate_line(spark: SparkSession, d: str) -> DataFrame:
+    g = F.col("geom")
+    rows = derived.level_lines(spark, d).select("id", G.interpolate(g, F.lit(30.0)).alias("a"), G.interpolate(g, F.lit(0.5), True).alias("b"), G.interpolate(g, F.lit(999.0)).alias("c"))
+    return rows.select("id", F.col("a.x").alias("x30"), F.col("b.x").alias("xmid"), F.col("c.x").alias("xend"), F.col("a.y").alias("y"))
+
+
+@query(f"WITH {SHP} SELECT id, CAST(CASE k WHEN 2 THEN 4 ELSE 5 END AS INT) AS ring_points, round(CASE k WHEN 0 THEN 4*w WHEN 1 THEN 4*sqrt(w*w/2) ELSE 2*w+sqrt(2*w*w) END, 6) AS ring_length, true AS inside FROM shp")
+def boundary_and_inner_point(spark: SparkSession, d: str) -> DataFrame:
+    g = F.col("geom")
+    inner = G.representative_point(g)
+    return derived.shapes(spark, d).select("id", F.size(G.boundary(g)).alias("ring_points"), F.round(G.length(G.exterior(g)), 6).alias("ring_length"), (G.point_in_ring(inner, g["pts"]) == 1).alias("inside"))
+
+
+@query("""WITH RECURSIVE walk AS (
+  SELECT s_suppkey AS id, 0 AS i, CAST((s_suppkey*37)%100 AS DOUBLE) AS x, CAST((s_suppkey*53)%100 AS DOUBLE) AS y FROM supplier
+  UNION ALL SELECT id, i + 1, greatest(0.0, least(100.0, x + CASE (id+i+1)%4 WHEN 0 THEN 40 WHEN 2 THEN -40 ELSE 0 END)), greatest(0.0, least(100.0, y + CASE (id+i+1)%4 WHEN 1 THEN 40 WHEN 3 THEN -40 ELSE 0 END)) FROM walk WHERE i < 6
+) SELECT id, CAST(i AS INT) AS i, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM walk""")
+def clamped_walk(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    turn = lambda i: (k + i) % 4
+    move = lambda i, forth, back: F.when(turn(i) == forth, 40.0).when(turn(i) == back, -40.0).otherwise(0.0)
+    steps = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.struct(move(i, 0, 2).alias("dx"), move(i, 1, 3).alias("dy")))
+    pts = generate.clamped_walk(((k * 37) % 100).cast("double"), ((k * 53) % 100).cast("double"), steps, (0, 0, 100, 100))
+    rows = derived.table(spark, d, "supplier").select(k.alias("id"), F.posexplode(pts).alias("i", "p"))
+    return rows.select("id", "i", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+
+
+# ---- predicates and joins
+
+
+def _sides(left: DataFrame, right: DataFrame, a: str = "pid", b: str = "sid") -> tuple[DataFrame, DataFrame]:
+    return left.select(F.col("id").alias(a), F.col("geom").alias("a")), right.select(F.col("id").alias(b), F.col("geom").alias("b"))
+
+
+def _point_pairs(spark: SparkSession, d: str, predicate: str) -> DataFrame:
+    return joins.spatial_join(*_sides(derived.points(spark, d), derived.shapes(spark, d)), predicate, native=True)
+
+
+@query(BASE + "SELECT pid, sid, rel FROM pip")
+def point_polygon_relations(spark: SparkSession, d: str) -> DataFrame:
+    found = _point_pairs(spark, d, "intersects")
+    return found.select("pid", "sid", F.when(holds("within", F.col("relation"), F.col("a"), F.col("b")), "within").otherwise("touches").alias("rel"))
+
+
+@query(BASE + "SELECT rel, count(*) AS n, CAST(sum(pid) AS BIGINT) AS pid_sum, CAST(sum(sid) AS BIGINT) AS sid_sum FROM pip GROUP BY rel")
+def point_polygon_counts(spark: SparkSession, d: str) -> DataFrame:
+    return point_polygon_relations(spark, d).groupBy("rel").agg(F.count("pid").alias("n"), F.sum("pid").alias("pid_sum"), F.sum("sid").alias("sid_sum"))
+
+
+@query(BASE + "SELECT pid, sid FROM pip WHERE rel = 'within'")
+def st_within_point_polygon(spark: SparkSession, d: str) -> DataFrame:
+    return _point_pairs(spark, d, "within").select("pid", "sid")
+
+
+@query(BASE + "SELECT pid, sid FROM pip WHERE rel = 'within'")
+def st_contains_polygon_point(spark: SparkSession, d: str) -> DataFrame:
+    return joins.spatial_join(*_sides(derived.shapes(spark, d), derived.points(spark, d), "sid", "pid"), "contains", native=True).select("pid", "sid")
+
+
+@query(BASE + "SELECT pid, sid FROM pip WHERE rel = 'touches'")
+def st_touches_point_polygon(spark: SparkSession, d: str) -> DataFrame:
+    return _point_pairs(spark, d, "touches").select("pid", "sid")
+
+
+@query(BASE + "SELECT pid, sid, CASE rel WHEN 'within' THEN '0FFFFF212' ELSE 'F0FFFF212' END AS relation FROM pip")
+def relate_point_polygon(spark: SparkSession, d: str) -> DataFrame:
+    return _point_pairs(spark, d, "intersects").select("pid", "sid", "relation")
+
+
+@query(BASE + "SELECT id AS pid FROM pts WHERE id NOT IN (SELECT pid FROM pip WHERE sid = 4)")
+def st_disjoint_named(spark: SparkSession, d: str) -> DataFrame:
+    one = derived.shapes(spark, d).where("id = 4")
+    return joins.disjoint_from(*_sides(derived.points(spark, d), one), "pid", native=True).select("pid")
+
+
+@query(f"WITH {PTS} SELECT a.id AS ida, b.id AS idb FROM pts a JOIN pts b ON a.x = b.x AND a.y = b.y AND a.id < b.id")
+def st_equals_points(spark: SparkSession, d: str) -> DataFrame:
+    p = derived.points(spark, d)
+    return joins.spatial_join(*_sides(p, p, "ida", "idb"), "equals", native=True, cell=1.0).where("ida < idb").select("ida", "idb")
+
+
+def _square_pairs(spark: SparkSession, d: str, predicate: str) -> DataFrame:
+    s = derived.squares(spark, d)
+    a, b = _sides(s, s, "ida", "idb")
+    pairs = joins.candidates(a, b).where("ida < idb")
+    from loomspace.operators.predicates import relate
+
+    pairs = pairs.withColumn("relation", relate(F.col("a"), F.col("b")))
+    return pairs.where(holds(predicate, F.col("relation"), F.col("a"), F.col("b"))).select("ida", "idb")
+
+
+@query(BOX + f"SELECT a.id AS ida, b.id AS idb FROM sq a JOIN sq b ON a.id < b.id AND {_MEET}")
+def st_intersects_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return _square_pairs(spark, d, "intersects")
+
+
+@query(BOX + f"SELECT a.id AS ida, b.id AS idb FROM sq a JOIN sq b ON a.id < b.id AND {_OVER} AND NOT ({_IN}) AND NOT ({_OUT})")
+def st_overlaps_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return _square_pairs(spark, d, "overlaps")
+
+
+@query(BOX + f"SELECT a.id AS ida, b.id AS idb FROM sq a JOIN sq b ON a.id < b.id AND {_MEET} AND NOT ({_OVER})")
+def st_touches_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return _square_pairs(spark, d, "touches")
+
+
+@query(BOX + "SELECT id, true AS inner_within, true AS outer_contains, false AS inner_overlaps FROM sq")
+def st_within_nested_boxes(spark: SparkSession, d: str) -> DataFrame:
+    g = F.col("geom")
+    inner = G.scale(g, F.lit(0.5), F.lit(0.5))
+    from loomspace.operators.predicates import relate
+
+    rows = derived.squares(spark, d).select("id", inner.alias("a"), g.alias("b")).withColumn("m", relate(F.col("a"), F.col("b"))).withColumn("t", relate(F.col("b"), F.col("a")))
+    a, b = F.col("a"), F.col("b")
+    return rows.select("id", holds("within", F.col("m"), a, b).alias("inner_within"), holds("contains", F.col("t"), b, a).alias("outer_contains"), holds("overlaps", F.col("m"), a, b).alias("inner_overlaps"))
+
+
+_SIDE = lambda p, q, e: f"(({p}.bx-{p}.ax)*({q}.{'ay' if e == 'a' else 'by_'}-{p}.ay)-({p}.by_-{p}.ay)*({q}.{e}x-{p}.ax))"
+
+
+@query(f"WITH {LIN} SELECT la.id AS ida, lb.id AS idb FROM lin la JOIN lin lb ON la.id < lb.id AND {_SIDE('la', 'lb', 'a')}*{_SIDE('la', 'lb', 'b')} < 0 AND {_SIDE('lb', 'la', 'a')}*{_SIDE('lb', 'la', 'b')} < 0")
+def st_crosses_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Proper crossings of two-point lines, natively: both ends of each on different sides of the other."""
+    x = derived.lines(spark, d)
+    pairs = joins.candidates(*_sides(x, x, "ida", "idb")).where("ida < idb")
+    end = lambda g, i: F.element_at(F.col(g)["pts"], i)
+    apart = lambda p, q: G.orient(end(p, 1), end(p, -1), end(q, 1)) * G.orient(end(p, 1), end(p, -1), end(q, -1)) < 0
+    return pairs.where(apart("a", "b") & apart("b", "a")).select("ida", "idb")
+
+
+@query(f"WITH {LEVEL}, {SHP}, {SQ} SELECT l.id AS lid, s.id AS sid FROM lev l JOIN sq s ON s.y < l.y AND l.y < s.y+s.w AND l.x < s.x+s.w AND s.x < l.x+100")
+def st_crosses_line_polygon(spark: SparkSession, d: str) -> DataFrame:
+    return joins.spatial_join(*_sides(derived.level_lines(spark, d), derived.squares(spark, d), "lid", "sid"), "crosses").select("lid", "sid")
+
+
+@query(BASE + "SELECT id AS pid FROM pts WHERE id IN (SELECT pid FROM pip)")
+def spatial_semi_join(spark: SparkSession, d: str) -> DataFrame:
+    return joins.semi_join(*_sides(derived.points(spark, d), derived.shapes(spark, d)), "pid", native=True).select("pid")
+
+
+@query(BASE + "SELECT id AS pid FROM pts WHERE id NOT IN (SELECT pid FROM pip)")
+def spatial_anti_join(spark: SparkSession, d: str) -> DataFrame:
+    return joins.semi_join(*_sides(derived.points(spark, d), derived.shapes(spark, d)), "pid", native=True, anti=True).select("pid")
+
+
+# ---- emitted SQL, run as it is
+
+NAMED = f"WITH {PTS}, {SHP}, {SQ}, names AS (SELECT 'POLYGON_' || id AS name FROM sq UNION ALL SELECT 'POINT_' || id FROM pts) "
+
+
+@query(NAMED + "SELECT name FROM names WHERE name LIKE 'POLYGON_%'")
+def like_type_filter(spark: SparkSession, d: str) -> DataFrame:
+    return derived.generated_geometries(spark, d).where(F.col("name").like("POLYGON_%")).select("name")
+
+
+def _emitted(spark: SparkSession, d: str, sql: str) -> DataFrame:
+    return sqlfront.run(spark, sql, {"generated_geometries": derived.generated_geometries(spark, d)})[0]
+
+
+def _question(spark: SparkSession, a: str, r1: str, b: str, r2: str, c: str, kind: str) -> str:
+    row = spark.createDataFrame([(0, 1, 2, a, r1, b, r2, c)], "scene_id long, id1 long, id2 long, a string, rel1 string, b string, rel2 string, c string")
+    make = questions.chain_questions if kind == "chain" else questions.multi_questions
+    return make(row, "generated_geometries").first().sql
+
+
+_NEAR3 = f"near AS (SELECT b.* FROM sq a JOIN sq b ON a.id = 3 AND {_MEET})"
+
+
+@query(f"WITH {PTS}, {SHP}, {SQ}, {_NEAR3} SELECT DISTINCT 'POINT_' || p.id AS name FROM pts p JOIN near n ON p.x > n.x AND p.x < n.x+n.w AND p.y > n.y AND p.y < n.y+n.w")
+def cte_chain_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return _emitted(spark, d, _question(spark, "POINT_1", "within", "POLYGON_1", "intersect", "POLYGON_3", "chain"))
+
+
+@query(f"WITH {SHP}, {SQ} SELECT 'POLYGON_' || b.id AS name FROM sq a JOIN sq b ON a.id = 3 AND {_MEET} INTERSECT SELECT 'POLYGON_' || b.id FROM sq a JOIN sq b ON a.id = 6 AND NOT ({_MEET})")
+def multi_condition_intersect(spark: SparkSession, d: str) -> DataFrame:
+    return _emitted(spark, d, _question(spark, "POLYGON_1", "intersect", "POLYGON_3", "disjoint", "POLYGON_6", "multi"))
+
+
+@query(f"WITH {PTS}, {SHP}, {SQ}, {_NEAR3} SELECT 'POLYGON_' || n.id AS name FROM near n JOIN sq t ON t.id = 6 AND n.id <> 3 AND NOT (t.x <= n.x+n.w AND n.x <= t.x+t.w AND t.y <= n.y+n.w AND n.y <= t.y+t.w) UNION ALL SELECT 'POINT_' || p.id FROM pts p JOIN sq a ON a.id = 3 AND p.x BETWEEN a.x AND a.x+a.w AND p.y BETWEEN a.y AND a.y+a.w JOIN sq t ON t.id = 6 AND NOT (p.x BETWEEN t.x AND t.x+t.w AND p.y BETWEEN t.y AND t.y+t.w)")
+def placeholder_two_step_bag(spark: SparkSession, d: str) -> DataFrame:
+    every = questions.placeholder_questions(spark, "generated_geometries", "geom", ("POLYGON_3", "POLYGON_6"))
+    return _emitted(spark, d, every.where("e1 = 'POLYGON_3' AND r1 = 'intersects' AND r2 = 'disjoint'").first().sql)
+
+
+# ---- the relation finder
+
+_GEO = f"""geo AS (SELECT scene, CAST(row_number() OVER (PARTITION BY scene ORDER BY first, id) AS INT) AS ord, kind || '_' || id AS name, kind, x, y, w FROM (
+  SELECT scene, 0 AS first, id, 'POLYGON' AS kind, x, y, w FROM sq UNION ALL SELECT scene, 1, id, 'POINT', x, y, 0 FROM pts))"""
+_PAIRS = f"""prs AS (SELECT a.scene, a.ord AS ao, b.ord AS bo, a.name AS an, b.name AS bn, a.kind AS ak, b.kind AS bk, {_MEET} AS meet, {_OVER} AS over_, {_IN} AS in_, {_OUT} AS out_,
+  b.x > a.x AND b.x < a.x+a.w AND b.y > a.y AND b.y < a.y+a.w AS inner_ FROM geo a JOIN geo b ON a.scene = b.scene AND a.ord < b.ord)"""
+
+
+def _finder(semantics: str) -> str:
+    poly, mixed = "ak = 'POLYGON' AND bk = 'POLYGON' AND NOT (in_ AND out_)", "ak = 'POLYGON' AND bk = 'POINT'"
+    parts = [
+        f"SELECT scene, ao, bo, 0 AS step, an AS a, bn AS b, 'within' AS rel FROM prs WHERE {poly} AND in_", f"SELECT scene, ao, bo, 1, bn, an, 'contains' FROM prs WHERE {poly} AND in_",
+        f"SELECT scene, ao, bo, 0, bn, an, 'within' FROM prs WHERE {mixed} AND inner_", f"SELECT scene, ao, bo, 1, an, bn, 'contains' FROM prs WHERE {mixed} AND inner_",
+        f"SELECT scene, ao, bo, 2, an, bn, 'overlaps' FROM prs WHERE {poly} AND over_ AND NOT in_ AND NOT out_", f"SELECT scene, ao, bo, 4, an, bn, 'touches' FROM prs WHERE {mixed} AND meet AND NOT inner_",
+    ]
+    if semantics == "compat":
+        parts.append(f"SELECT scene, ao, bo, 4, an, bn, 'touches' FROM prs WHERE {poly} AND meet")
+    else:
+        parts += [f"SELECT scene, ao, bo, 0, bn, an, 'within' FROM prs WHERE {poly} AND out_", f"SELECT scene, ao, bo, 1, an, bn, 'contains' FROM prs WHERE {poly} AND out_", f"SELECT scene, ao, bo, 4, an, bn, 'touches' FROM prs WHERE {poly} AND meet AND NOT over_"]
+    return f"WITH {PTS}, {SHP}, {SQ}, {_GEO}, {_PAIRS}, fnd AS ({' UNION ALL '.join(parts)} UNION ALL SELECT scene, ao, bo, 5, an, bn, 'disjoint' FROM prs WHERE NOT meet AND (CAST(ao AS BIGINT)*7919 + CAST(bo AS BIGINT)*104729) % 100 < 5) "
+
+
+def _chosen(scene, a, b):
+    return (a.cast("long") * 7919 + b.cast("long") * 104729) % 100 < 5
+
+
+_FOUND = "SELECT scene AS scene_id, ao AS a_ord, bo AS b_ord, CAST(step AS INT) AS step, a, b, rel FROM fnd"
+
+
+@query(_finder("compat") + _FOUND)
+def relation_finder_compat(spark: SparkSession, d: str) -> DataFrame:
+    return relations.find(derived.scenes(spark, d), "compat", _chosen)
+
+
+@query(_finder("ogc") + _FOUND)
+def relation_finder_ogc(spark: SparkSession, d: str) -> DataFrame:
+    return relations.find(derived.scenes(spark, d), "ogc", _chosen)
+
+
+@query(_finder("compat") + "SELECT rel, count(*) AS n FROM fnd GROUP BY rel")
+def relation_label_counts(spark: SparkSession, d: str) -> DataFrame:
+    return relation_finder_compat(spark, d).groupBy("rel").agg(F.count("a").alias("n"))
+
+
+# ---- questions
+
+
+def _triples(spark: SparkSession, d: str) -> DataFrame:
+    """The finder's triples without the disjoint ones, renamed to the questions' labels."""
+    return questions.known_triples(tables.numbered(relations.find(derived.scenes(spark, d), "compat", rate=0)), normalize=True)
+
+
+_KNOWN = _finder("compat") + ", tri AS (SELECT scene, row_number() OVER (PARTITION BY scene ORDER BY ao, bo, step, a, b) AS id, a, b, CASE rel WHEN 'contains' THEN 'contain' WHEN 'overlaps' THEN 'overlap' ELSE rel END AS rel FROM (SELECT * FROM fnd WHERE rel NOT IN ('disjoint'))), kno AS (SELECT * FROM tri WHERE rel IN ('within', 'contain', 'overlap')) "
+
+
+@query(_KNOWN + "SELECT rel, split_part(a, '_', 1) AS subject, count(*) AS n FROM kno GROUP BY ALL")
+def label_map_filter(spark: SparkSession, d: str) -> DataFrame:
+    return _triples(spark, d).groupBy("rel", G.entity_type(F.col("a")).alias("subject")).agg(F.count("id").alias("n"))
+
+
+@query(_KNOWN + "SELECT e1.scene AS scene_id, e1.a, e1.rel AS rel1, e1.b, e2.rel AS rel2, e2.b AS c FROM kno e1 JOIN kno e2 ON e1.scene = e2.scene AND e1.b = e2.a")
+def chain_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return questions.chains(_triples(spark, d)).select("scene_id", "a", "rel1", "b", "rel2", "c")
+
+
+@query(_KNOWN + "SELECT e1.scene AS scene_id, e1.a, e1.rel AS rel1, e1.b, e2.rel AS rel2, e2.b AS c FROM kno e1 JOIN kno e2 ON e1.scene = e2.scene AND e1.a = e2.a AND e1.id <> e2.id")
+def multi_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return questions.multi_conditions(_triples(spark, d)).select("scene_id", "a", "rel1", "b", "rel2", "c")
+
+
+@query(_KNOWN + "SELECT scene AS scene_id, bool_or(many) AS has_multi, bool_or(linked) AS has_chain FROM (SELECT scene, count(*) OVER (PARTITION BY scene, a) >= 2 AS many, EXISTS (SELECT 1 FROM kno k WHERE k.scene = t.scene AND k.b = t.a) AS linked FROM kno t) GROUP BY scene")
+def feasible_templates(spark: SparkSession, d: str) -> DataFrame:
+    return questions.feasible(_triples(spark, d))
+
+
+@query(_KNOWN + "SELECT e1.scene AS scene_id, 'Which ' || split_part(e1.a, '_', 1) || 's in the database ' || e1.rel || ' the ' || split_part(e1.b, '_', 1) || ' that is ' || e2.rel || ' ' || e2.b || '?' AS question FROM kno e1 JOIN kno e2 ON e1.scene = e2.scene AND e1.b = e2.a")
+def chain_question_text(spark: SparkSession, d: str) -> DataFrame:
+    return questions.chain_questions(questions.chains(_triples(spark, d))).select("scene_id", "question")
+
+
+# ---- dataflow
+
+
+@query(f"WITH {PTS}, {SHP}, {SQ}, {_GEO} SELECT scene AS scene_id, ord, kind || '_' || row_number() OVER (PARTITION BY scene, kind ORDER BY ord) AS name FROM geo")
+def name_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return generate.named(derived.scenes(spark, d)).select("scene_id", "ord", "name")
+
+
+@query(f"WITH {SHP} SELECT scene AS scene_id, CASE k WHEN 0 THEN 'square' WHEN 1 THEN 'diamond' ELSE 'triangle' END AS style, count(*) AS n FROM shp GROUP BY ALL")
+def style_counts(spark: SparkSession, d: str) -> DataFrame:
+    style = F.when(F.col("k") == 0, "square").when(F.col("k") == 1, "diamond").otherwise("triangle")
+    return derived.shapes(spark, d).groupBy(F.col("scene").alias("scene_id"), style.alias("style")).agg(F.count("id").alias("n"))
+
+
+@query(f"WITH {SHP}, s AS (SELECT scene, id, row_number() OVER (PARTITION BY scene ORDER BY (id*7919)%1009, id) - 1 AS place FROM shp) SELECT scene AS scene_id, CAST(floor(place/2) AS BIGINT) AS pair, min(id) AS lo, max(id) AS hi, count(*) AS n FROM s GROUP BY ALL")
+def pair_slicing(spark: SparkSession, d: str) -> DataFrame:
+    place = F.row_number().over(W.partitionBy("scene").orderBy((F.col("id") * 7919) % 1009, "id")) - 1
+    rows = derived.shapes(spark, d).select("scene", "id", F.floor(place / 2).alias("pair"))
+    return rows.groupBy(F.col("scene").alias("scene_id"), "pair").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("id").alias("n"))
+
+
+@query(f"WITH {SHP} SELECT scene AS scene_id, id, CAST(row_number() OVER (PARTITION BY scene ORDER BY CASE k WHEN 0 THEN w*w ELSE w*w/2 END DESC, id) AS INT) AS place FROM shp")
+def sort_by_area_desc(spark: SparkSession, d: str) -> DataFrame:
+    place = F.row_number().over(W.partitionBy("scene").orderBy(F.desc(G.area(F.col("geom"))), "id"))
+    return derived.shapes(spark, d).select(F.col("scene").alias("scene_id"), "id", place.alias("place"))
+
+
+@query(f"WITH {PTS} SELECT scene AS scene_id, id FROM pts QUALIFY row_number() OVER (PARTITION BY scene ORDER BY (id*104729)%10007, id) <= 3")
+def sample_per_group(spark: SparkSession, d: str) -> DataFrame:
+    """Three points of each scene, drawn without replacement by an arithmetic order."""
+    place = F.row_number().over(W.partitionBy("scene").orderBy((F.col("id") * 104729) % 10007, "id"))
+    return derived.points(spark, d).select(F.col("scene").alias("scene_id"), "id", place.alias("n")).where("n <= 3").drop("n")
+
+
+# ---- rows only: seeded draws have no SQL
+
+
+@query()
+def generate_scenes(spark: SparkSession, d: str) -> DataFrame:
+    cfg = SceneConfig(polygons=8, aligned=1, overlapping=1, contained=1, touching=1)
+    return generate.scenes(spark, 16, cfg).drop("created_at")
+
+
+@query()
+def random_generators(spark: SparkSession, d: str) -> DataFrame:
+    cfg = SceneConfig()
+    p = generate.random_points(spark, 8, 10, cfg.bounds, 3).select("scene_id", "slot", F.lit("point").alias("style"), "geom")
+    return p.unionByName(generate.random_lines(spark, 8, 3, cfg, 3)).unionByName(generate.random_polygons(spark, 8, cfg, 3).select("scene_id", "slot", F.lit("irregular").alias("style"), "geom"))
+
+
+@query()
+def insert_sql_text(spark: SparkSession, d: str) -> DataFrame:
+    return tables.insert_sql(generate.scenes(spark, 4))
+
+
+@query()
+def render_svg(spark: SparkSession, d: str) -> DataFrame:
+    return tables.svg(generate.scenes(spark, 4))
+
+
+@query()
+def question_report(spark: SparkSession, d: str) -> DataFrame:
+    return questions.report(questions.one_question(_triples(spark, d), seed=1).where("error is null"))
+
+
+@query()
+def placeholder_question_text(spark: SparkSession, d: str) -> DataFrame:
+    return questions.placeholder_questions(spark, "parcels", "shape_geom")
+
+
+@query("SELECT true AS answered")
+def connectivity_check(spark: SparkSession, d: str) -> DataFrame:
+    return sqlfront.version(spark).select((F.length("version") > 0).alias("answered"))
