@@ -18,6 +18,12 @@ def xy(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def once(then, *values: Column) -> Column:
+    """then(*values) with each value written out once in the plan, however often `then` uses it."""
+    held = F.array(F.struct(*(v.alias(f"v{i}") for i, v in enumerate(values))))
+    return F.get(F.transform(held, lambda r: then(*(r[f"v{i}"] for i in range(len(values))))), F.lit(0))
+
+
 def geometry(kind: Column | str, pts: Column) -> Column:
     """A geometry of a kind from its vertices."""
     xs, ys = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])
@@ -38,8 +44,8 @@ def line(pts: Column) -> Column:
 
 def polygon(ring: Column) -> Column:
     """A polygon from its vertices, closed where they aren't."""
-    closed = F.element_at(ring, 1) == F.element_at(ring, -1)
-    return geometry(POLYGON, F.when(closed, ring).otherwise(F.concat(ring, F.array(F.element_at(ring, 1)))))
+    closed = lambda r: F.when(F.element_at(r, 1) == F.element_at(r, -1), r).otherwise(F.concat(r, F.array(F.element_at(r, 1))))
+    return once(lambda r: once(lambda pts: geometry(POLYGON, pts), closed(r)), ring)
 
 
 def _segments(pts: Column, f) -> Column:
@@ -92,13 +98,18 @@ def centroid(g: Column) -> Column:
 
     A polygon without area, or a line without length, has that of its first vertex.
     """
-    pts, o = g["pts"], F.element_at(g["pts"], 1)
-    local = F.transform(pts, lambda p: xy(p["x"] - o["x"], p["y"] - o["y"]))
-    twice = _sum(_segments(local, _cross))
-    ring = lambda c: o[c] + _sum(_segments(local, lambda a, b: (a[c] + b[c]) * _cross(a, b))) / (3 * twice)
-    whole = length(g)
-    run = lambda c: _sum(_segments(pts, lambda a, b: (a[c] + b[c]) / 2 * _span(a, b))) / whole
-    return F.when((g["kind"] == POLYGON) & (twice != 0), xy(ring("x"), ring("y"))).when((g["kind"] == LINE) & (whole > 0), xy(run("x"), run("y"))).otherwise(o)
+
+    def of(kind: Column, pts: Column, o: Column, local: Column, whole: Column) -> Column:
+        twice = _sum(_segments(local, _cross))
+        ring = lambda c: o[c] + _sum(_segments(local, lambda a, b: (a[c] + b[c]) * _cross(a, b))) / (3 * twice)
+        run = lambda c: _sum(_segments(pts, lambda a, b: (a[c] + b[c]) / 2 * _span(a, b))) / whole
+        return F.when((kind == POLYGON) & (twice != 0), xy(ring("x"), ring("y"))).when((kind == LINE) & (whole > 0), xy(run("x"), run("y"))).otherwise(o)
+
+    def parts(g: Column) -> Column:
+        o = F.element_at(g["pts"], 1)
+        return once(of, g["kind"], g["pts"], o, F.transform(g["pts"], lambda p: xy(p["x"] - o["x"], p["y"] - o["y"])), length(g))
+
+    return once(parts, g)
 
 
 def boundary(g: Column) -> Column:
@@ -116,8 +127,10 @@ def exterior(g: Column) -> Column:
 
 def interpolate(g: Column, distance: Column, normalized: bool = False) -> Column:
     """The x, y at a distance along a line or ring, held to its ends."""
-    pts = g["pts"]
-    d = distance * length(g) if normalized else distance
+    return once(lambda g, d: _interpolated(g["pts"], d * length(g) if normalized else d), g, distance)
+
+
+def _interpolated(pts: Column, d: Column) -> Column:
     start = F.struct(F.greatest(d, F.lit(0.0)).alias("left"), F.element_at(pts, 1).alias("prev"), F.element_at(pts, 1).alias("at"), F.lit(False).alias("done"))
 
     def step(s: Column, p: Column) -> Column:
@@ -132,11 +145,11 @@ def interpolate(g: Column, distance: Column, normalized: bool = False) -> Column
 
 
 def _moved(g: Column, f) -> Column:
-    return geometry(g["kind"], F.transform(g["pts"], f))
+    return once(geometry, g["kind"], F.transform(g["pts"], f))
 
 
 def translate(g: Column, dx: Column, dy: Column) -> Column:
-    return _moved(g, lambda p: xy(p["x"] + dx, p["y"] + dy))
+    return once(lambda g, dx, dy: _moved(g, lambda p: xy(p["x"] + dx, p["y"] + dy)), g, dx, dy)
 
 
 def box_centre(g: Column) -> Column:
@@ -150,30 +163,40 @@ def _origin(g: Column, origin: str | Column) -> Column:
 def rotate(g: Column, degrees: Column, origin: str | Column = "center") -> Column:
     """Counter-clockwise about the box's centre, the centroid or a point; exact at quarter turns."""
     turn = F.pmod(degrees.cast("double"), F.lit(360.0))
-    quarter = lambda a, b, c, d, e: F.when(turn == 0, a).when(turn == 90, b).when(turn == 180, c).when(turn == 270, d).otherwise(e)
-    cos, sin = quarter(1.0, 0.0, -1.0, 0.0, F.cos(F.radians(turn))), quarter(0.0, 1.0, 0.0, -1.0, F.sin(F.radians(turn)))
-    o = _origin(g, origin)
-    return _moved(g, lambda p: xy(o["x"] + (p["x"] - o["x"]) * cos - (p["y"] - o["y"]) * sin, o["y"] + (p["x"] - o["x"]) * sin + (p["y"] - o["y"]) * cos))
+    quarter = lambda turn, a, b, c, d, e: F.when(turn == 0, a).when(turn == 90, b).when(turn == 180, c).when(turn == 270, d).otherwise(e)
+    cos, sin = (once(lambda t, d=d, f=f: quarter(t, *d, f(F.radians(t))), turn) for d, f in (((1.0, 0.0, -1.0, 0.0), F.cos), ((0.0, 1.0, 0.0, -1.0), F.sin)))
+    turned = lambda g, o, cos, sin: _moved(g, lambda p: xy(o["x"] + (p["x"] - o["x"]) * cos - (p["y"] - o["y"]) * sin, o["y"] + (p["x"] - o["x"]) * sin + (p["y"] - o["y"]) * cos))
+    return once(lambda g, cos, sin: once(turned, g, _origin(g, origin), cos, sin), g, cos, sin)
 
 
 def scale(g: Column, fx: Column, fy: Column, origin: str | Column = "center") -> Column:
-    o = _origin(g, origin)
-    return _moved(g, lambda p: xy(o["x"] + (p["x"] - o["x"]) * fx, o["y"] + (p["y"] - o["y"]) * fy))
+    scaled = lambda g, o, fx, fy: _moved(g, lambda p: xy(o["x"] + (p["x"] - o["x"]) * fx, o["y"] + (p["y"] - o["y"]) * fy))
+    return once(lambda g, fx, fy: once(scaled, g, _origin(g, origin), fx, fy), g, fx, fy)
 
 
 def representative_point(g: Column) -> Column:
     """An x, y strictly inside a polygon: the middle of the widest inner part of a horizontal line
     half-way between the two vertex heights around the box's middle.  A line's middle vertex, a point itself.
     """
-    pts = g["pts"]
-    middle = (g["miny"] + g["maxy"]) / 2
-    ys = F.transform(pts, lambda p: p["y"])
-    low, high = F.array_max(F.filter(ys, lambda y: y <= middle)), F.array_min(F.filter(ys, lambda y: y > middle))
-    at = (low + high) / 2
-    cuts = F.array_sort(F.filter(_segments(pts, lambda a, b: F.when((a["y"] > at) != (b["y"] > at), a["x"] + (at - a["y"]) / (b["y"] - a["y"]) * (b["x"] - a["x"]))), lambda x: x.isNotNull()))
-    spans = F.transform(F.sequence(F.lit(0), F.greatest(F.size(cuts) / 2 - 1, F.lit(0)).cast("int")), lambda i: F.struct((F.get(cuts, 2 * i + 1) - F.get(cuts, 2 * i)).alias("w"), ((F.get(cuts, 2 * i) + F.get(cuts, 2 * i + 1)) / 2).alias("x")))
-    inner = xy(F.array_max(spans)["x"], at)
-    return F.when((g["kind"] == POLYGON) & (g["maxy"] > g["miny"]), inner).otherwise(F.element_at(pts, (F.floor(F.size(pts) / 2) + 1).cast("int")))
+    def height(g: Column) -> Column:
+        ys, middle = F.transform(g["pts"], lambda p: p["y"]), (g["miny"] + g["maxy"]) / 2
+        return (F.array_max(F.filter(ys, lambda y: y <= middle)) + F.array_min(F.filter(ys, lambda y: y > middle))) / 2
+
+    def cut(g: Column, at: Column) -> Column:
+        cross = lambda a, b: F.when((a["y"] > at) != (b["y"] > at), a["x"] + (at - a["y"]) / (b["y"] - a["y"]) * (b["x"] - a["x"]))
+        return once(lambda cuts: xy(F.array_max(_spans(cuts))["x"], at), F.array_sort(F.filter(_segments(g["pts"], cross), lambda x: x.isNotNull())))
+
+    def inner(g: Column) -> Column:
+        vertex = F.element_at(g["pts"], (F.floor(F.size(g["pts"]) / 2) + 1).cast("int"))
+        return F.when((g["kind"] == POLYGON) & (g["maxy"] > g["miny"]), once(cut, g, height(g))).otherwise(vertex)
+
+    return once(inner, g)
+
+
+def _spans(cuts: Column) -> Column:
+    """Width and middle of every other gap between sorted numbers."""
+    some = F.sequence(F.lit(0), F.greatest(F.size(cuts) / 2 - 1, F.lit(0)).cast("int"))
+    return F.transform(some, lambda i: F.struct((F.get(cuts, 2 * i + 1) - F.get(cuts, 2 * i)).alias("w"), ((F.get(cuts, 2 * i) + F.get(cuts, 2 * i + 1)) / 2).alias("x")))
 
 
 def _number(v: Column) -> Column:

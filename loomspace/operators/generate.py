@@ -130,7 +130,8 @@ def random_polygons(spark: SparkSession, scenes: int, cfg: SceneConfig, seed: in
         angles, radius = F.array_sort(F.transform(order, lambda i: u("angle", i) * 2 * math.pi)), lambda i: between(u("radius", i), 0.8 * F.col("r"), 1.2 * F.col("r"))
     rows = rows.withColumn("angles", angles)
     ring = F.transform("angles", lambda t, i: G.xy(F.col("cx") + radius(i) * F.cos(t), F.col("cy") + radius(i) * F.sin(t)))
-    rows = rows.withColumn("geom", G.polygon(ring)).where(G.is_valid(F.col("geom")))
+    # A generator: filters above it aren't pushed below, with the whole expression written out in them.
+    rows = rows.withColumn("geom", F.explode(F.array(G.polygon(ring)))).where(G.is_valid(F.col("geom")))
     rows = rows.withColumn("slot", F.row_number().over(W.partitionBy("scene_id").orderBy("attempt"))).where(F.col("slot") <= cfg.polygons)
     return rows.select("scene_id", "slot", "geom")
 
@@ -154,17 +155,22 @@ def _edge(g: Column, u: Column) -> tuple[Column, Column]:
 
 def align(a: Column, b: Column, u: Column, v: Column, origin: str = "centroid") -> Column:
     """B turned so that an edge of it lies against an edge of A, middle on middle."""
-    (p, q), (r, s) = _edge(a, u), _edge(b, v)
     angle = lambda m, n: F.atan2(n["y"] - m["y"], n["x"] - m["x"])
-    turned = G.rotate(b, F.degrees(angle(p, q) - angle(r, s) + math.pi), origin)
-    m, n = _edge(turned, v)
-    return G.translate(turned, (p["x"] + q["x"] - m["x"] - n["x"]) / 2, (p["y"] + q["y"] - m["y"] - n["y"]) / 2)
+
+    def against(turned: Column, p: Column, q: Column, m: Column, n: Column) -> Column:
+        return G.translate(turned, (p["x"] + q["x"] - m["x"] - n["x"]) / 2, (p["y"] + q["y"] - m["y"] - n["y"]) / 2)
+
+    def turn(b: Column, v: Column, p: Column, q: Column, r: Column, s: Column) -> Column:
+        turned = G.rotate(b, F.degrees(angle(p, q) - angle(r, s) + math.pi), origin)
+        return G.once(lambda t: G.once(against, t, p, q, *_edge(t, v)), turned)
+
+    return G.once(turn, b, v, *_edge(a, u), *_edge(b, v))
 
 
 def moved_to(g: Column, to: Column, frm: Column | None = None) -> Column:
     """The geometry translated so that a point of it (its centroid) comes to `to`."""
-    o = G.centroid(g) if frm is None else frm
-    return G.translate(g, to["x"] - o["x"], to["y"] - o["y"])
+    shift = lambda g, to, o: G.translate(g, to["x"] - o["x"], to["y"] - o["y"])
+    return G.once(lambda g, to: G.once(shift, g, to, G.centroid(g) if frm is None else frm), g, to)
 
 
 def overlap(a: Column, b: Column, u: Column, older: bool = False) -> Column:
@@ -176,7 +182,7 @@ def contain(a: Column, b: Column, older: bool = False) -> Column:
     """The smaller one shrunk about its box's centre and put to the larger one's inner point."""
     w, h = lambda g: g["maxx"] - g["minx"], lambda g: g["maxy"] - g["miny"]
     f = F.least(F.lit(0.5), 0.5 * F.sqrt(G.area(a) / G.area(b))) if older else F.least(0.25 * w(a) / w(b), 0.25 * h(a) / h(b))
-    return moved_to(G.scale(b, f, f), G.representative_point(a))
+    return moved_to(G.once(lambda f: G.scale(b, f, f), f), G.representative_point(a))
 
 
 def touch(a: Column, b: Column, u: Column, v: Column) -> Column:
@@ -238,12 +244,14 @@ def forced(pairs: DataFrame, cfg: SceneConfig, seed: int) -> DataFrame:
         F.when(F.col("role") == "aligned", align(a, b, u("a"), u("b"), cfg.align_origin)).when(F.col("role") == "overlapping", overlap(a, b, u("a")))
         .when(F.col("role") == "contained", contain(a, b)).otherwise(touch(a, b, u("a"), u("b")))
     )
-    tried = tried.withColumn("new", new)
+    tried = tried.withColumn("new", F.explode(F.array(new)))
     must = F.col("role").isin("aligned", "touching")
     bad = holds("overlaps", relate(F.when(must, a), F.when(must, F.col("new"))), a, F.col("new"))
-    good = tried.where(~must | ~bad).groupBy("scene_id", "pair").agg(F.min_by("new", "attempt").alias("new"))
-    done = both.join(good, ["scene_id", "pair"], "left")
-    out = done.select("scene_id", F.col("slot_a").alias("slot"), "role", F.col("a").alias("geom")).unionByName(done.select("scene_id", F.col("slot_b").alias("slot"), "role", F.coalesce("new", "b").alias("geom")))
+    tried = tried.withColumn("good", ~must | ~bad)
+    same = [F.any_value(x).alias(x) for x in ("role", "a", "b", "slot_a", "slot_b")]
+    done = tried.groupBy("scene_id", "pair").agg(*same, F.min_by("new", F.when(F.col("good"), F.col("attempt"))).alias("new"))
+    either = F.array(F.struct(F.col("slot_a").alias("slot"), a.alias("geom")), F.struct(F.col("slot_b").alias("slot"), F.coalesce("new", "b").alias("geom")))
+    out = done.select("scene_id", "role", F.inline(either)).select("scene_id", "slot", "role", "geom")
     return out.unionByName(pairs.where("role is null").select("scene_id", "slot", "role", "geom"))
 
 
