@@ -1,7 +1,9 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text: its words (runs of letters, lower-cased), pairs of neighbours and pairs
-with one word between them, each hashed to 2^bits places and counted once a text.  Every
+with one word between them, the beginnings of its words (a word's first letters stand for
+all of its inflected forms) and the beginnings that several different words of it share,
+each hashed to 2^bits places and counted once a text.  Every
 coordinate has its own learning rate; the L1 term keeps most weights at exactly zero, so
 that what is broadcast is a short list of places and weights, of 2^bits entries at most.
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,6 +33,7 @@ from .common import fold, sampled, whole_text
 BITS = 22
 MAX_TRAIN_ROWS = 24_000
 WORDS_KEPT = 500_000
+STEMS = (5, 6, 7)  # letters of the beginnings that count
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SCHEMA = "place int, weight float"
 
@@ -44,8 +48,18 @@ class Places(dict):
         return h
 
 
-def features(text: str, places: Places, bits: int = BITS) -> np.ndarray:
-    """Places of the words, neighbours and skip-grams of a text, in the order of the text."""
+class Stems(dict):
+    """The hashes of each word's beginnings that are shorter than the word; kept as Places are."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > WORDS_KEPT:
+            self.clear()
+        h = self[word] = tuple(xxhash.xxh32_intdigest(word[:k], k) for k in STEMS if k < len(word))
+        return h
+
+
+def features(text: str, places: Places, stems: Stems, bits: int = BITS) -> np.ndarray:
+    """Places of the words, neighbours and skip-grams of a text, in the order of the text, then of its beginnings of words."""
     words = _LETTERS.findall(text.lower())
     h = np.fromiter(map(places.__getitem__, words), dtype=np.uint32, count=len(words))
     down = np.uint32(32 - bits)
@@ -56,7 +70,9 @@ def features(text: str, places: Places, bits: int = BITS) -> np.ndarray:
 
     near = h[:-1] * np.uint32(0x9E3779B1) + h[1:]
     skip = h[:-2] * np.uint32(0x85EBCA77) + h[2:] * np.uint32(3)
-    return np.concatenate((place(h), place(near), place(skip)))
+    begun, times = np.unique(np.fromiter(chain.from_iterable(map(stems.__getitem__, set(words))), dtype=np.uint32), return_counts=True)
+    shared = begun[times > 1] * np.uint32(0xC2B2AE35) + np.uint32(1)
+    return np.concatenate((place(h), place(near), place(skip), place(begun), place(shared)))
 
 
 def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.5, seed: int = 3) -> tuple[float, np.ndarray, np.ndarray]:
@@ -86,10 +102,10 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 4, a
 
 def _train(bits: int, options: dict):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, places = [], Places()
+        rows, places, stems = [], Places(), Stems()
         for b in batches:
             for text, y in zip(b["text"], b["y"]):
-                rows.append((np.unique(features(text, places, bits)), int(y)))
+                rows.append((np.unique(features(text, places, stems, bits)), int(y)))
         if rows:
             bias, at, w = fit(rows, bits, **options)
             yield pd.DataFrame({"place": np.concatenate(([-1], at)).astype(np.int32), "weight": np.concatenate(([bias], w)).astype(np.float32)})
@@ -113,12 +129,12 @@ class Scorer:
     """The model in a task: what a text's places add up to, bias included."""
 
     def __init__(self, bias: float, at: np.ndarray, w: np.ndarray, bits: int) -> None:
-        self.bias, self.bits, self.places = bias, bits, Places()
+        self.bias, self.bits, self.places, self.stems = bias, bits, Places(), Stems()
         self.dense, self.active = np.zeros(1 << bits, dtype=np.float32), np.zeros(1 << bits, dtype=bool)
         self.dense[at], self.active[at] = w, True
 
     def margin(self, text: str) -> float:
-        f = features(text, self.places, self.bits)
+        f = features(text, self.places, self.stems, self.bits)
         return self.bias + float(self.dense[np.unique(f[self.active[f]])].sum(dtype=np.float64))
 
 

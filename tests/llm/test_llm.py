@@ -171,6 +171,16 @@ def test_licenses(spark, docs, empty):
     assert license_scan.scan(empty, t).count() == 0
 
 
+def test_word_beginnings():
+    of = lambda t: set(toxicity.features(t, toxicity.Places(), toxicity.Stems()).tolist())
+    # Inflected forms share the places of their beginnings, and two of them in one text one more; order changes none of these.
+    assert len(of("grumbling") & of("grumbled")) == 2  # grumb, grumbl
+    assert of("") == set() and of("1 2 3") == set() and len(of("abc")) == 1
+    both, other = of("grumbling grumbled"), of("grumbled grumbling")
+    assert len(both & other) == len(both) - 1
+    assert len(both - of("grumbling") - of("grumbled")) == 1 + 2  # the pair of neighbours, and two shared beginnings
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(3)
     text = lambda i: " ".join(rng.choice(LOREM.split(), 12)) + (" nasty" if i % 3 == 0 else "")
