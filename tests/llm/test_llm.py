@@ -171,6 +171,24 @@ def test_licenses(spark, docs, empty):
     assert license_scan.scan(empty, t).count() == 0
 
 
+def test_license_wordings_and_short_templates(spark):
+    texts = [
+        "Some prose.\nAll rights reserved.\nMore of it.", "all RIGHTS reserved", "All of the rights were reserved.", "Licensed under the MIT License", "This project is licensed under MIT.", "SPDX-License-Identifier: Apache-2.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "rights reserved", None, "All", "Available under CC BY-NC 4.0", "He works at MIT under license.",
+    ]
+    found = {}
+    for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), license_scan.notices(spark)).collect():
+        found.setdefault(r.doc_id, {})[r.template_id.split("/")[0]] = r
+    assert {i: set(x) for i, x in found.items() if i != 6} == {0: {"All-rights-reserved"}, 1: {"All-rights-reserved"}, 3: {"MIT"}, 4: {"MIT"}, 5: {"Apache-2.0"}, 10: {"CC-BY-NC-4.0"}}
+    assert {"GPL-3.0", "GPL"} <= set(found[6])
+    r = found[0]["All-rights-reserved"]
+    assert (r.containment, r.first_word, r.n_words) == (1.0, 1, 4)  # the first window of two shingles that has it
+    own = spark.createDataFrame([("one", "stop"), ("two", "two words"), ("four", "a b c d"), ("none", "?!")], "template_id string, text string")
+    docs = spark.createDataFrame([(1, "please STOP, a b c d e"), (2, "stop"), (3, "words two"), (4, "some two\nwords")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.template_id) for r in license_scan.scan(docs, own).collect()) == [(1, "four"), (1, "one"), (2, "one"), (4, "two")]
+
+
 def test_word_beginnings():
     of = lambda t: set(toxicity.features(t, toxicity.Places(), toxicity.Stems()).tolist())
     # Inflected forms share the places of their beginnings, and two of them in one text one more; order changes none of these.
