@@ -69,10 +69,12 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(shingle: int):
+    """The last column, a text, is replaced by its fingerprint."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = np.fromiter((fingerprint(x.as_py(), shingle) for x in b.column(1)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            out = np.fromiter((fingerprint(x.as_py(), shingle) for x in b.columns[-1]), dtype=np.uint64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out.view(np.int64))], names=[*b.schema.names[:-1], "fp"])
 
     return run
 
@@ -126,12 +128,24 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows, one document of each component: that with the least id.
+    """The input's rows, one document of each component: that with the least id, a null id after all others.
 
-    Ids must tell documents apart; rows that share one are brought down to one row.
+    Ids needn't tell documents apart: a row is known by its id and its content together.  Of
+    contents with the same least id, or with null ids, that of the least hash stays; of rows
+    that share id and content any one.
     """
-    found = classify(docs, id_col, text_col)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
-    rows = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
-    single = rows.where("__n = 1").select(docs.columns)
-    return single.unionByName(rows.where("__n > 1").dropDuplicates([id_col]).select(docs.columns))
+    body = lower_az(whole_text(text_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(body, 256)).alias("sha"), body.alias("body"))
+    marked = checkpointed(rows.mapInArrow(_fingerprints(SHINGLE), "doc_id long, sha binary, fp long"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")
+    first = marked.groupBy("fp").agg(F.min(order).alias("first"))
+    roots = components(links(first.select("fp")))
+    of = first.join(roots, first.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
+    keep = of.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.sha").alias("__sha"))
+    again = marked.groupBy("doc_id", "sha").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("r_id"), F.col("sha").alias("r_sha"))
+    keep = keep.join(again, F.col("__id").eqNullSafe(F.col("r_id")) & (F.col("__sha") == F.col("r_sha")), "left")
+    keep = keep.select("__id", "__sha", F.col("r_sha").isNotNull().alias("__again"))
+    named = docs.withColumn("__own", F.unhex(F.sha2(body, 256)))
+    found = named.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")))
+    single = found.where(~F.col("__again")).select(docs.columns)
+    return single.unionByName(found.where("__again").dropDuplicates(["__sha"]).select(docs.columns))

@@ -294,3 +294,75 @@ def test_pipeline(spark, docs, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 0
     assert [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "simhash near-dedup", "mixing", "byte bpe"]
+
+
+def least_of_components(rows):
+    """(id, text) of each component's row with the least id, null last; all candidates, as equal ids leave a choice."""
+    fps = [plain_fingerprint(t) for _, t in rows]
+    of, groups = roots(sorted(set(fps))), {}
+    for r, f in zip(rows, fps):
+        groups.setdefault(of[f], []).append(r)
+    least = lambda g: min((i is None, i or 0) for i, _ in g)
+    return [[r for r in g if (r[0] is None, r[0] or 0) == least(g)] for g in groups.values()]
+
+
+def of_each_one(got, groups):
+    left = list(got)
+    for g in groups:
+        hit = [r for r in left if r in g]
+        assert len(hit) == 1, (hit, g)
+        left.remove(hit[0])
+    assert not left
+
+
+def odd_ids():
+    rng = np.random.default_rng(7)
+    own = lambda k: " ".join(f"{k}{w}" for w in rng.permutation(LOREM.split()))
+    rows = [(None if k % 3 == 0 else 40 + k % 4, own(f"v{k}x")) for k in range(24)]  # null and shared ids, texts of their own
+    copy = " ".join(f"c{i}" for i in range(400))
+    rows += [(44, copy), (44, copy), (None, copy), (45, copy + " end"), (None, copy + " end")]  # copies and near copies of one id, and without one
+    null = " ".join(f"n{i}" for i in range(400))
+    return rows + [(None, null), (None, null + " end"), (None, null.upper())]
+
+
+def test_keep_one_of_null_and_repeated_ids(spark):
+    rows = odd_ids()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert plain_fingerprint(rows[24][1]) != plain_fingerprint(rows[27][1])
+    got = simhash.keep_one(df)
+    groups = least_of_components(rows)
+    assert len(groups) == 26 and got.columns == df.columns
+    of_each_one(sorted(map(tuple, got.collect()), key=str), groups)
+    assert simhash.keep_one(df.where("false")).count() == 0
+
+
+def test_pipeline_by_brute_force_with_null_and_repeated_ids(spark, tmp_path, monkeypatch):
+    rows = [(i, t, "en", "ab"[k % 2] if k % 5 else None) for k, (i, t) in enumerate(odd_ids())]
+    rows += [(100 + k, f"{LOREM} t{k} " + ("nasty " * 3 if k % 2 else ""), "en", "a") for k in range(60)] + [(None, LOREM + " nasty nasty nasty", "en", "b"), (40, "nasty nasty nasty " + LOREM, "en", "b")]
+    spark.createDataFrame([(*r, 5, "h", 7, len(r[1])) for r in rows], SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(100 + k, 0, k % 2) for k in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda _: str(tmp_path / "stages"))
+    result = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    (folder,) = (tmp_path / "stages").iterdir()
+    stage = lambda k: [tuple(r) for r in spark.read.parquet(str(folder / str(k))).select("doc_id", "text", "source", "n_chars").collect()]
+    clean, unique, apart, mixed = map(stage, range(4))
+    assert sorted(map(str, clean)) == sorted(str((i, t, s, len(t))) for i, t, _, s in rows if "nasty" not in t)
+    groups = {}
+    for r in clean:
+        groups.setdefault(fold_az(r[1]), []).append(r)
+    greatest = lambda g: max((r[0] is not None, r[0] or 0) for r in g)
+    of_each_one(unique, [[r for r in g if (r[0] is not None, r[0] or 0) == greatest(g)] for g in groups.values()])
+    of_each_one([r[:2] for r in apart], least_of_components([r[:2] for r in unique]))
+    texts = {}
+    for _, t, s, _ in apart:
+        texts.setdefault(s, []).extend(words(t))
+    had = sorted(texts, key=lambda s: (s is None, s or ""))
+    want = dict(zip(had, mixing.targets([len(texts[s]) for s in had], [mixing.WEIGHTS[k % len(mixing.WEIGHTS)] for k in range(len(had))], mixing.SHARE, mixing.CAP)))
+    took = {s: [w for _, t, x, _ in mixed if x == s for w in words(t)] for s in had}
+    assert {s for _, _, s, _ in mixed} <= set(had) and all(n == len(t) for _, t, _, n in mixed)
+    for s in had:
+        assert abs(len(took[s]) - want[s]) <= mixing.BLOCK_WORDS and set(took[s]) <= set(texts[s])
+        assert max(Counter(took[s]).values()) <= 2 * max(Counter(texts[s]).values())
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.parse_ranks(open(P.path("byte_bpe_50k.tiktoken")).read()), special_tokens={})
+    plain = lambda t: np.array(enc.encode_ordinary(t), dtype="<u4")
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in result) == sorted((str(i), len(x := plain(t)), hashlib.sha256(x.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t, _, _ in mixed)
