@@ -332,8 +332,7 @@ def _finder(semantics: str) -> str:
     return f"WITH {PTS}, {SHP}, {SQ}, {_GEO}, {_PAIRS}, fnd AS ({' UNION ALL '.join(parts)} UNION ALL SELECT scene, ao, bo, 5, an, bn, 'disjoint' FROM prs WHERE NOT meet AND (CAST(ao AS BIGINT)*7919 + CAST(bo AS BIGINT)*104729) % 100 < 5) "
 
 
-def _chosen(scene, a, b):
-    return (a.cast("long") * 7919 + b.cast("long") * 104729) % 100 < 5
+_chosen = relations.Residues(lambda scene, a: a.cast("long") * 7919, lambda scene, b: b.cast("long") * 104729, 5, 100)
 
 
 _FOUND = "SELECT scene AS scene_id, ao AS a_ord, bo AS b_ord, CAST(step AS INT) AS step, a, b, rel FROM fnd"

@@ -45,6 +45,27 @@ def test_grid_join_of_all_sizes_is_that_of_all_pairs(spark):
     assert len(got) == len(want) and {(t.i, t.j) for t in got} == want
 
 
+def test_chosen_pairs_are_formed_by_equality(spark, monkeypatch):
+    monkeypatch.setattr(relations, "BLOCK", 7)  # several blocks a scene
+    rows = [(n, i, f"POINT_{i}", f"POINT ({i} {(i * 7) % 11})") for n, size in ((1, 40), (2, 5), (3, 1)) for i in range(1, size + 1)]
+    s = spark.createDataFrame(rows, "scene_id long, ord int, name string, w string").select("scene_id", "ord", "name", G.from_wkt(F.col("w")).alias("geom"))
+    by = relations.Residues(lambda s, a: a.cast("long") * 7919, lambda s, b: b.cast("long") * 104729, 5, 100)
+    keys = lambda df: sorted((r.scene_id, r.a_ord, r.b_ord) for r in df.where("rel = 'disjoint'").collect())
+    want = sorted((n, a, b) for n, a, *_ in rows for m, b, *_ in rows if n == m and a < b and (a * 7919 + b * 104729) % 100 < 5)
+    assert want and keys(relations.find(s, "compat", by, scene_bound=3)) == want
+    assert keys(relations.find(s, "compat", lambda *x: by(*x))) == want
+    half = relations.sampled(0.5)
+    assert (half.below, half.grain) == (50, 100) and keys(relations.find(s, "ogc", rate=0.5)) == keys(relations.find(s, "ogc", lambda *x: half(*x)))
+    assert len(keys(relations.find(s, "ogc", rate=1.0))) == 780 + 10
+
+
+def test_scene_beyond_the_former_bound(spark):
+    n = 20_100
+    s = spark.range(1, n + 1).select(F.lit(1).cast("long").alias("scene_id"), F.col("id").cast("int").alias("ord"), F.concat(F.lit("POINT_"), "id").alias("name"), G.point(F.col("id").cast("double"), F.lit(0.0)).alias("geom"))
+    got = relations.find(s, "compat", rate=0.0001, native=True).count()
+    assert abs(got - n * (n - 1) / 2 * 0.0001) < 2_000
+
+
 def test_sql_functions_and_explain(spark):
     df, plan = sqlfront.run(spark, "EXPLAIN (ANALYZE, BUFFERS) SELECT T1.name FROM g AS T1, g AS T2 WHERE T2.name = 'POLYGON_1' AND ST_Within(T1.geom, T2.geom) AND T1.name <> 'POLYGON_1';", {"g": scene(spark, BIG, SMALL, LINE, ON)})
     assert {r.name for r in df.collect()} == {"POLYGON_2", "POINT_4"} and "Physical Plan" in plan
