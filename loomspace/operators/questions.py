@@ -9,7 +9,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from loomspace.functions.geometry import entity_type
 
@@ -146,11 +145,15 @@ def questions(triples: DataFrame, table: str = "geometries", name: str = "name",
     return chain_questions(chains(known), table, name, geom, touches).unionByName(multi_questions(multi_conditions(known), table, name, geom, touches))
 
 
-def one_question(triples: DataFrame, seed: int, **options) -> DataFrame:
+def one_question(triples: DataFrame, seed: int, table: str = "geometries", name: str = "name", geom: str = "geom", normalize: bool = False, touches: bool = False) -> DataFrame:
     """One question of each scene: a template is drawn among those it allows, then one of its questions; `error` where it allows none."""
-    every = questions(triples, **options)
-    draw = W.partitionBy("scene_id").orderBy(F.xxhash64("scene_id", "template", F.lit(seed)), F.xxhash64("id1", "id2", F.lit(seed)), "id1", "id2")
-    best = every.withColumn("n", F.row_number().over(draw)).where("n = 1").drop("n", "id1", "id2")
+    known = known_triples(triples, normalize, touches)
+    every = chains(known).withColumn("template", F.lit("chain")).unionByName(multi_conditions(known).withColumn("template", F.lit("multi")))
+    # Drawn before any text is written, by a minimum, so that no scene's questions come together.
+    order = F.struct(F.xxhash64("scene_id", "template", F.lit(seed)).alias("h1"), F.xxhash64("id1", "id2", F.lit(seed)).alias("h2"), "id1", "id2", "template", "a", "rel1", "b", "rel2", "c")
+    drawn = every.groupBy("scene_id").agg(F.min(order).alias("first")).select("scene_id", "first.*")
+    of = lambda t: drawn.where(F.col("template") == t)
+    best = chain_questions(of("chain"), table, name, geom, touches).unionByName(multi_questions(of("multi"), table, name, geom, touches)).drop("id1", "id2")
     return triples.select("scene_id").distinct().join(best, "scene_id", "left").withColumn("error", F.when(F.col("question").isNull(), NO_PATTERN))
 
 

@@ -356,8 +356,13 @@ def relation_label_counts(spark: SparkSession, d: str) -> DataFrame:
 # ---- questions
 
 
+def _all_triples(spark: SparkSession, d: str) -> DataFrame:
+    """All of the finder's triples, renamed to the questions' labels."""
+    return questions.known_triples(tables.numbered(relation_finder_compat(spark, d)), normalize=True)
+
+
 def _triples(spark: SparkSession, d: str) -> DataFrame:
-    """The finder's triples without the disjoint ones, renamed to the questions' labels."""
+    """The finder's triples without the disjoint ones, as in the SQL below, renamed to the questions' labels."""
     return questions.known_triples(tables.numbered(relations.find(derived.scenes(spark, d), "compat", rate=0)), normalize=True)
 
 
@@ -451,7 +456,7 @@ def render_svg(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def question_report(spark: SparkSession, d: str) -> DataFrame:
-    return questions.report(questions.one_question(_triples(spark, d), seed=1).where("error is null"))
+    return questions.report(questions.one_question(_all_triples(spark, d), seed=1).where("error is null"))
 
 
 @query()

@@ -39,6 +39,21 @@ def test_one_question_is_the_same_again_and_errors_are_told(triples, spark):
     assert Q.one_question(triples.where("id = 1"), 5).first().error == Q.NO_PATTERN
 
 
+def test_report_is_drawn_from_all_triples(spark):
+    from loomspace.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    known, allowed = {}, {"within": "within", "contains": "contain", "overlaps": "overlap", "disjoint": "disjoint", "cross": "crosses"}
+    for r in registry.relation_finder_compat(spark, d).collect():
+        if r.rel in allowed:
+            known.setdefault(r.scene_id, []).append((r.a, allowed[r.rel], r.b))
+    chain = lambda t: {f"Which {a.split('_')[0]}s in the database {p} the {b.split('_')[0]} that is {q} {c}?" for a, p, b in t for x, q, c in t if b == x}
+    multi = lambda t: {f"Find all {a.split('_')[0]}s that both {p} '{b}' AND {q} '{c}'." for i, (a, p, b) in enumerate(t) for j, (x, q, c) in enumerate(t) if i != j and a == x}
+    want = {s: every for s, t in known.items() if (every := chain(t) | multi(t))}
+    got = {r.scene_id: r.question for r in registry.question_report(spark, d).collect()}
+    assert set(got) == set(want) and all(q in want[s] for s, q in got.items()) and any("disjoint" in q for q in got.values())
+
+
 def test_placeholders(spark):
     rows = Q.placeholder_questions(spark, "parcels", "shape_geom")
     assert rows.count() == 588
