@@ -8,8 +8,9 @@ touched neighbours are entered anew.  A position whose new pair has a lower rank
 one just applied would call for another order inside its word: such words are encoded one
 by one, so that the ids are those of the greedy rule in every case.
 
-Every batch is a corpus of its own: a word's ids don't depend on other words, and so no
-text or token is shuffled.  A bounded table of words met before saves replays.
+The corpus of a replay is a batch of one task, not all documents: a word's ids don't depend
+on other words, and so no text or token is shuffled.  The index is keyed by the token that a
+pair joins to, which stands for all pairs that join to it.  A bounded table of words met before saves replays.
 
 Defined results: a null text is the empty text and has no ids.  Special tokens are ordinary
 text.  Rows are kept as they come, repeated or not; an empty table gives an empty result.
@@ -30,10 +31,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import slices, trim, whole_text
 
-WORDS_KEPT = 400_000
-BATCH_CHARS = 8 << 20
+WORDS_KEPT = 150_000
+BATCH_CHARS = 4 << 20
 
 
 class Ranks:
@@ -65,14 +66,23 @@ class Ranks:
         return np.where(self.pairs[at] == keys, self.joined[at], -1) if len(self.pairs) else np.full(len(keys), -1)
 
     def greedy(self, word: bytes) -> list[int]:
-        """One word: the neighbours of the lowest rank join, the leftmost first."""
-        parts = [bytes([b]) for b in word]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], self.base), i) for i in range(len(parts) - 1))
-            if rank == self.base:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        """One word: the neighbours of the lowest rank join, the leftmost first; a heap holds the pairs."""
+        n = len(word)
+        part, after, before = [word[i : i + 1] for i in range(n)], list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, 2) for i in range(n - 1) if (r := self.ranks.get(word[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, size = heapq.heappop(heap)
+            j = after[i]
+            if not part[i] or j >= n or len(part[i]) + len(part[j]) != size:
+                continue  # one of the two has joined elsewhere since
+            part[i], part[j], after[i] = part[i] + part[j], b"", after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a in (before[i], i):
+                if a >= 0 and (b := after[a]) < n and (r := self.ranks.get(part[a] + part[b])) is not None:
+                    heapq.heappush(heap, (r, a, len(part[a]) + len(part[b])))
+        return [self.ranks[p] for p in part if p]
 
 
 def parse_ranks(text: str) -> dict[bytes, int]:
@@ -161,8 +171,8 @@ def _apart(at: np.ndarray, after: np.ndarray) -> np.ndarray:
 class Codec:
     """Encodes lists of texts with a table of the words met before, and decodes ids."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks, self.pattern, self.known = Ranks(ranks), regex.compile(pattern), {}
+    def __init__(self, ranks: Ranks, pattern: str) -> None:
+        self.ranks, self.pattern, self.known = ranks, regex.compile(pattern), {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -178,9 +188,10 @@ class Codec:
         return b"".join(map(self.ranks.bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
-def _codec(ranks_text: str, pattern: str) -> Codec:
-    return Codec(parse_ranks(ranks_text), pattern)
+@lru_cache(maxsize=1)
+def _ranks(text: str) -> Ranks:
+    """One vocabulary stays in a worker; the words that a task has met go with the task."""
+    return Ranks(parse_ranks(text))
 
 
 def _batches(rows: Iterator[tuple], size: int = BATCH_CHARS) -> Iterator[list[tuple]]:
@@ -196,11 +207,6 @@ def _batches(rows: Iterator[tuple], size: int = BATCH_CHARS) -> Iterator[list[tu
         yield part
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for b in batches:
-        yield from zip(*(c.to_pylist() for c in b.columns))
-
-
 def vocabulary(spark: SparkSession, path: str):
     """The rank file's text for the tasks: some hundred KB, of a size that no data changes."""
     with open(path, encoding="ascii") as f:
@@ -212,10 +218,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     ranks = vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks.value, pattern)
-        for part in _batches(_rows(batches)):
+        codec = Codec(_ranks(ranks.value), pattern)
+        for part in _batches(slices(batches)):
             ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in codec.encode([t for *_, t in part])]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        del codec
+        trim()
 
     return docs.select(F.col(id_col).cast("long"), whole_text(text_col)).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -239,8 +247,8 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks.value, pattern)
-        for part in _batches(_rows(batches)):
+        codec = Codec(_ranks(ranks.value), pattern)
+        for part in _batches(slices(batches)):
             ids = codec.encode([t for _, t in part])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -251,5 +259,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                 ],
                 names=names,
             )
+        del codec
+        trim()
 
     return docs.select(F.col(id_col).cast("long"), whole_text(text_col)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

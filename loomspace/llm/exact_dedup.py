@@ -1,22 +1,26 @@
 """Exact deduplication as a Grace hash job.
 
 Records are dealt to buckets by the leading bits of a hash of their content (Spark's
-shuffle files are the spill files).  The depth grows, level by level, until the distinct
-content of every bucket fits the memory of one open-addressing table, or a bucket is a
-single content.  The sizes of the buckets come from a table of (hash, length), so that no
-text moves while the depth is sought.  Each bucket then streams through an open-addressing
-table that compares complete contents.  The same table first runs inside every map task,
-so that a content which a third of all rows share reaches its bucket once a task.
+shuffle files are the spill files).  A bucket whose distinct content doesn't fit the memory
+of one open-addressing table is partitioned again by further bits, and so on, until every
+bucket fits or is a single hash; buckets that fit stay as they are.  The sizes come from a
+table of (hash, length), so that no text moves while buckets are parted.  A shuffle
+partition holds many buckets, sorted, and its bytes are fixed, whatever the buckets are.
+Each bucket streams through an open-addressing table that compares complete contents.  The
+same table first runs inside every map task, so that a content which a third of all rows
+share reaches its bucket once a task.
 
 Defined results: a null text is the empty text, and all empty texts are one group.  A null
 id never wins against another id; a group of null ids keeps null.  Rows that repeat an id
 and a text are one document: all of them carry kept = true in `classify`, and `keep_one`
 returns one of them.  An empty table gives an empty result.  Other columns never take part
-and may have any names.
+and may have any names.  What is broadcast are the prefixes of buckets that are parted
+again: one for each bucket_bytes of content at most, eight bytes each.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lower_az, whole_text
+from .common import checkpointed, hot_keys, lower_az, packed, salted_join, slices, trim, whole_text
 
 BUCKET_BYTES = 32 << 20
-MAX_DEPTH = 40
+PARTITION_BYTES = 256 << 20
+MAP_BYTES = 16 << 20  # of the table inside a map task
+SPLIT_BITS = 2
 _RECORD = "bucket long, h long, sha string, body string, keep_id long, n_rows long, n_keep long"
 
 
@@ -66,7 +72,7 @@ class ContentTable:
         self.slots[at] = len(self.entries)
         self.hashes.append(h)
         self.entries.append([bucket, h, sha, body, doc_id, n, n_keep])
-        self.bytes += len(body) + 200
+        self.bytes += sys.getsizeof(body) + 400
         if 2 * len(self.entries) > len(self.slots):
             self.slots = np.full(2 * len(self.slots), -1, dtype=np.int64)
             for i, g in enumerate(self.hashes):
@@ -76,13 +82,14 @@ class ContentTable:
 _SCHEMA = pa.schema([("bucket", pa.int64()), ("h", pa.int64()), ("sha", pa.string()), ("body", pa.string()), ("keep_id", pa.int64()), ("n_rows", pa.int64()), ("n_keep", pa.int64())])
 
 
-def _flushed(table: ContentTable, with_body: bool) -> Iterator[pa.RecordBatch]:
-    size = 500
-    for i in range(0, len(table.entries), size):
-        columns = [list(c) for c in zip(*table.entries[i : i + size])]
-        if not with_body:
-            columns[3] = [None] * len(columns[3])
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
+def _flushed(table: ContentTable, with_body: bool, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    part, chars = [], 0
+    for i, e in enumerate(table.entries):
+        part.append(e if with_body else [*e[:3], None, *e[4:]])
+        chars += len(e[3]) if with_body else 0
+        if chars >= most or len(part) >= 2000 or i == len(table.entries) - 1:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*part), _SCHEMA)], schema=_SCHEMA)
+            part, chars = [], 0
     table.clear()
 
 
@@ -91,80 +98,84 @@ def _through(table_bytes: int, by_bucket: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, now = ContentTable(), None
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if by_bucket and row[0] != now:
-                    yield from _flushed(t, False)
-                    now = row[0]
-                t.add(*row)
-                if not by_bucket and t.bytes > table_bytes:
-                    yield from _flushed(t, True)
+        for row in slices(batches):
+            if by_bucket and row[0] != now:
+                yield from _flushed(t, False)
+                now = row[0]
+            t.add(*row)
+            if not by_bucket and t.bytes > table_bytes:
+                yield from _flushed(t, True)
         yield from _flushed(t, not by_bucket)
+        trim()
 
     return run
 
 
-def _bucket(depth: int):
-    """The leading bits of the hash h."""
-    return (F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0)).cast("long")
+def _prefix(depth: int):
+    """The leading bits of the hash h, the others zero."""
+    mask = ((1 << depth) - 1) << (64 - depth)
+    return F.col("h").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
 
 
-def grace_depth(sizes: DataFrame, bucket_bytes: int, max_depth: int = MAX_DEPTH) -> int:
-    """Leading bits that part the distinct contents (h, n_bytes) into buckets that fit.
+def grace_levels(sizes: DataFrame, bucket_bytes: int, split_bits: int = SPLIT_BITS) -> tuple[int, list[tuple[int, DataFrame]], int]:
+    """The first depth, for each further depth the prefixes before it that are parted again, and all bytes.
 
-    Starts where the average bucket fits and goes on by one bit while some bucket with more
-    than one content is too large.
+    sizes: distinct (h, n_bytes).  The first depth is where the average bucket is half of
+    what fits; only buckets of more than one content that are too large go on.
     """
-    total = sizes.agg(F.sum("n_bytes")).first()[0] or 0
-    depth = max(0, int(total // bucket_bytes).bit_length())
-    while depth < max_depth:
-        worst = (
-            sizes.withColumn("bucket", _bucket(depth)).groupBy("bucket")
-            .agg(F.sum("n_bytes").alias("bytes"), F.count("h").alias("n"))
-            .where("n > 1").agg(F.max("bytes")).first()[0]
-        )
-        if (worst or 0) <= bucket_bytes:
+    total = int(sizes.agg(F.sum("n_bytes")).first()[0] or 0)
+    first = depth = max(0, int(2 * total // bucket_bytes)).bit_length()
+    left, levels = sizes, []
+    while depth < 64:
+        summed = left.withColumn("bucket", _prefix(depth)).groupBy("bucket").agg(F.sum("n_bytes").alias("bytes"), F.count("h").alias("n"))
+        over = checkpointed(summed.where((F.col("n") > 1) & (F.col("bytes") > bucket_bytes)).select("bucket"))
+        if over.isEmpty():
             break
-        depth += 1
-    return depth
+        left = left.withColumn("bucket", _prefix(depth)).join(F.broadcast(over), "bucket", "left_semi").drop("bucket")
+        depth = min(64, depth + split_bits)
+        levels.append((depth, over))
+    return first, levels, total
+
+
+def _bucketed(records: DataFrame, first: int, levels: list[tuple[int, DataFrame]]) -> DataFrame:
+    records = records.withColumn("bucket", _prefix(first)).withColumn("fits", F.lit(False))
+    for depth, over in levels:
+        # A bucket that was parted has its start's prefix in the level's list.
+        mark = F.broadcast(over.select(F.col("bucket").alias("parted")))
+        records = records.join(mark, (F.col("bucket") == F.col("parted")) & ~F.col("fits"), "left")
+        records = records.withColumn("fits", F.col("parted").isNull()).withColumn("bucket", F.when(F.col("parted").isNotNull(), _prefix(depth)).otherwise(F.col("bucket"))).drop("parted")
+    return records.drop("fits")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row for each distinct content: sha, keep_id, n_rows, n_keep (rows that have keep_id)."""
     body = lower_az(whole_text(text_col))
     sizes = docs.select(F.xxhash64(body).alias("h"), F.octet_length(body).cast("long").alias("n_bytes")).distinct()
-    sizes = checkpointed(sizes)
-    depth = grace_depth(sizes, bucket_bytes)
-    records = docs.select(F.col(id_col).cast("long").alias("keep_id"), body.alias("body")).select(
-        F.xxhash64("body").alias("h"), F.sha2("body", 256).alias("sha"), "body", "keep_id"
-    ).select(
-        _bucket(depth).alias("bucket"), "h", "sha", "body", "keep_id",
-        F.lit(1).cast("long").alias("n_rows"), F.lit(1).cast("long").alias("n_keep"),
-    )
-    dealt = (
-        records.mapInArrow(_through(bucket_bytes, False), _RECORD)
-        .repartition(max(docs.sparkSession.sparkContext.defaultParallelism, 1 << depth), "bucket")
-        .sortWithinPartitions("bucket")
-    )
+    first, levels, total = grace_levels(checkpointed(sizes), bucket_bytes)
+    records = docs.select(F.col(id_col).cast("long").alias("keep_id"), body.alias("body")).select(F.xxhash64("body").alias("h"), F.sha2("body", 256).alias("sha"), "body", "keep_id")
+    one = F.lit(1).cast("long")
+    records = _bucketed(records, first, levels).select("bucket", "h", "sha", "body", "keep_id", one.alias("n_rows"), one.alias("n_keep"))
+    partitions = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // PARTITION_BYTES))
+    dealt = records.mapInArrow(_through(min(MAP_BYTES, bucket_bytes), False), _RECORD).repartition(partitions, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(_through(bucket_bytes, True), _RECORD).select("sha", "keep_id", "n_rows", "n_keep")
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per document: the id, keep_id, group_size, kept, text_sha256."""
     of = docs.select(F.col(id_col).alias("doc_id"), F.sha2(lower_az(whole_text(text_col)), 256).alias("text_sha256"))
-    found = classes(docs, id_col, text_col, bucket_bytes).withColumnRenamed("sha", "text_sha256")
-    return of.join(found, "text_sha256").select(
+    found = checkpointed(classes(docs, id_col, text_col, bucket_bytes).withColumnRenamed("sha", "text_sha256"))
+    return salted_join(of, found, "text_sha256", hot_keys(found, "text_sha256", "n_rows")).select(
         "doc_id", "keep_id", F.col("n_rows").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The input's rows without copies, with its columns: of equal contents the largest id stays."""
-    sha, keep, n = "__sha", "__keep", "__n"
-    found = classes(docs, id_col, text_col, bucket_bytes).select(F.col("sha").alias(sha), F.col("keep_id").alias(keep), F.col("n_keep").alias(n))
-    marked = docs.withColumn(sha, F.sha2(lower_az(whole_text(text_col)), 256))
-    winners = marked.join(found, (marked[sha] == found[sha]) & marked[id_col].cast("long").eqNullSafe(found[keep])).drop(found[sha])
-    single = winners.where(F.col(n) == 1).select(docs.columns)
+    found = classes(docs, id_col, text_col, bucket_bytes).withColumnRenamed("sha", "of_sha")
+    marked = packed(docs, id=F.col(id_col).cast("long"), sha=F.sha2(lower_az(whole_text(text_col)), 256))
+    # The join is by content and id together, so that the copies of one content spread.
+    winners = marked.join(found, (F.col("sha") == F.col("of_sha")) & F.col("id").eqNullSafe(F.col("keep_id")))
+    single = winners.where("n_keep = 1").select("row.*")
     # Rows that repeat id and content: any one of them stays.
-    again = winners.where(F.col(n) > 1).dropDuplicates([sha]).select(docs.columns)
+    again = winners.where("n_keep > 1").dropDuplicates(["sha"]).select("row.*")
     return single.unionByName(again)

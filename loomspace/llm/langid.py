@@ -3,8 +3,10 @@
 A text's UTF-8 is cut to windows of a fixed number of bytes, the last filled with zeros.
 Bytes have learned vectors; filters of several widths run over a window, the largest value
 of each filter goes on, and a softmax names the language.  The network is trained in numpy
-with Adam on windows of a bounded sample: `per_lang` documents of each language at most,
-chosen by a hash of the id.  To apply it, each filter's offsets are multiplied with the byte
+with Adam on windows of a bounded sample: about `per_lang` documents of each language, twice
+as many for all languages together at most, chosen by hashes of id and text (rows that
+repeat both count once), and of each of them `per_doc` windows at most, evenly spaced over
+the whole text.  To apply it, each filter's offsets are multiplied with the byte
 vectors once, in pairs of bytes, so that a filter's value is a sum of table entries.
 
 A text's language is that of the largest mean probability over all its windows, and the
@@ -25,13 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, whole_text
+from .common import fold, trim, whole_text
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 VECTOR = 8
 PER_LANG = 1200
+PER_DOC = 4
 LANGS_BOUND = 500
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -131,7 +134,7 @@ def probabilities(x: np.ndarray, tables: tuple) -> np.ndarray:
     return s / s.sum(axis=1, keepdims=True)
 
 
-def _fit(langs: list[str], per_doc: int = 4):
+def _fit(langs: list[str], per_doc: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pickle
 
@@ -149,7 +152,7 @@ def _fit(langs: list[str], per_doc: int = 4):
     return run
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn=None, per_lang: int = PER_LANG, bound: int = LANGS_BOUND) -> bytes | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn=None, per_lang: int = PER_LANG, per_doc: int = PER_DOC, bound: int = LANGS_BOUND) -> bytes | None:
     """The pickled tables of a network (under 30 MB for any data); None where nothing can be learned."""
     known = docs.where(F.col(lang_col).isNotNull())
     if learn is not None:
@@ -161,10 +164,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return None
     langs, grain = sorted(counts), 1 << 30
     share = F.create_map(*(F.lit(x) for lang in langs for x in (lang, min(grain, int(grain * per_lang / counts[lang])))))
-    chance = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(9)), F.lit(grain))
-    rows = known.where(chance < share[F.col(lang_col).cast("string")]).select(whole_text(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    number = F.xxhash64(F.col(id_col).cast("string"), whole_text(text_col), F.lit(9))
+    lang = F.col(lang_col).cast("string")
+    rows = known.select(whole_text(text_col).alias("text"), lang.alias("lang"), number.alias("o")).where(F.pmod("o", F.lit(grain)) < share[F.col("lang")])
     # Bounded by per_lang and the number of languages: one task trains.
-    got = rows.repartition(1).sortWithinPartitions(F.xxhash64("text", "lang")).mapInPandas(_fit(langs), "model binary").collect()
+    rows = rows.dropDuplicates(["o", "lang"]).orderBy("o", "lang").limit(2 * per_lang * len(langs)).select("text", "lang")
+    got = rows.mapInPandas(_fit(langs, per_doc), "model binary").collect()
     return bytes(got[0].model) if got else None
 
 
@@ -205,6 +210,7 @@ def predict(docs: DataFrame, model: bytes | None, id_col: str = "doc_id", text_c
             mean = sums / number[:, None]
             found = [f or (tables[3][k := int(m.argmax())], float(m[k])) for f, m in zip(found, mean)]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "lang_pred": [f[0] for f in found], "score": [min(1.0, f[1]) for f in found]})
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInPandas(run, "doc_id long, lang_pred string, score double")
 

@@ -5,16 +5,21 @@ Every output shard draws how many blocks it takes from each source (a multinomia
 seeded by the shard's number).  A source's slots, counted over all shards, go through a
 pseudorandom permutation of its block numbers (a Feistel network with cycle walking), a new
 one for each pass over the source, and the slots are joined to the blocks by number.  Slots
-beyond a source's quota stay empty, and what the draws left short goes to shards at the
-end, so that every source takes its quota of blocks exactly.
+beyond a source's quota stay empty, what the draws left short goes to shards at the end,
+and a source's last slot takes only the words that are still due, so that small sources
+come near their targets, too.
 
-Positions are running sums in two steps: inside buckets of some thousand documents of a
-source, then over the buckets, so that no task sorts a source.
+The stream's order is that of hashes of id and content.  Rows equal in source, id and text
+lie together, as copies of one entry: the result is the same however the table is cut to
+files and tasks.  Positions are running sums in two steps: inside buckets of some thousand
+entries of a source, then over the buckets, so that no task sorts a source.
 
 Defined results: a null text has no words; a null source is a source of its own, after all
-others; documents without words take nothing.  Repeated rows are documents of their own.
-Ids may be null.  An empty table gives an empty result.  `bound` sources at most, checked:
-their names and sizes are the only thing the driver and the tasks hold of all.
+others; documents without words take nothing.  Repeated rows are documents of their own; in
+`mixed_documents` the other columns of rows equal in source, id and text are those of any
+one of them.  Ids may be null.  An empty table gives an empty result.  `bound` sources at
+most, checked: their names and sizes are the only thing the driver and the tasks hold of
+all.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, checkpointed, whole_text
+from .common import WORD, checkpointed, packed, whole_text
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -76,9 +81,9 @@ def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def _catalogue(base: DataFrame, weights: tuple, share: float, cap: float, block_words: int, bound: int) -> pd.DataFrame:
-    """A row per source, in code point order and null last: size, target, blocks, quota of blocks, buckets."""
-    found = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(bound + 1).collect()
+def _catalogue(entries: DataFrame, weights: tuple, share: float, cap: float, block_words: int, bound: int) -> pd.DataFrame:
+    """A row per source, in code point order and null last: size, target, blocks, quota of slots, words of the last slot, buckets."""
+    found = entries.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.count("*").alias("rows")).limit(bound + 1).collect()
     if len(found) > bound:
         raise ValueError(f"mixing: more than {bound} sources")
     found.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
@@ -86,14 +91,20 @@ def _catalogue(base: DataFrame, weights: tuple, share: float, cap: float, block_
     cat["weight"] = [float(weights[i % len(weights)]) for i in range(len(cat))]
     cat["target"] = targets(cat.source_size.tolist(), cat.weight.tolist(), share, cap)
     cat["blocks"] = -(-cat.source_size // block_words)
-    passes = [int(t // s) if s else 0 for t, s in zip(cat.target, cat.source_size)]
-    rest = [max(0.0, t - p * s) for t, p, s in zip(cat.target, passes, cat.source_size)]
-    cat["quota"] = [p * int(b) + min(int(b), round(r / block_words)) for p, b, r in zip(passes, cat.blocks, rest)]
+    quota, last = [], []
+    for size, blocks, target in zip(cat.source_size.tolist(), cat.blocks.tolist(), cat.target.tolist()):
+        passes = int(target // size) if size else 0
+        rest = round(target - passes * size) if size else 0
+        full, words = divmod(rest, block_words)
+        more = words > 0 and full < blocks
+        quota.append(passes * blocks + min(full, blocks) + more)
+        last.append(words if more else block_words)
+    cat["quota"], cat["last"] = quota, last
     cat["buckets"] = -(-cat["rows"] // BUCKET_ROWS)
     return cat
 
 
-_CAT = "sid int, source string, source_size long, rows long, weight double, target double, blocks long, quota long, buckets long"
+_CAT = "sid int, source string, source_size long, rows long, weight double, target double, blocks long, quota long, last long, buckets long"
 
 
 def _draws(quota: np.ndarray, shard_blocks: int, seed: int):
@@ -111,8 +122,8 @@ def _draws(quota: np.ndarray, shard_blocks: int, seed: int):
     return run
 
 
-def _expanded(blocks: np.ndarray, seed: int, most: int = 1 << 19):
-    """Rows (shard, sid, first, n) to one row a slot, with the pass over the source and the permuted block."""
+def _expanded(blocks: np.ndarray, quota: np.ndarray, last: np.ndarray, block_words: int, seed: int, most: int = 1 << 19):
+    """Rows (shard, sid, first, n) to one row a slot, with the pass over the source, the permuted block and the words to take of it."""
 
     def part(shard: np.ndarray, sid: np.ndarray, first: np.ndarray, n: np.ndarray) -> pd.DataFrame:
         of = np.repeat(np.arange(len(n)), n)
@@ -126,7 +137,7 @@ def _expanded(blocks: np.ndarray, seed: int, most: int = 1 << 19):
             if len(rows):
                 s, e = int(source[rows[0]]), int(epoch[rows[0]])
                 number[rows] = permuted(at[rows], int(blocks[s]), hash((seed, s, e)) & 0x7FFFFFFF)
-        return pd.DataFrame({"shard": shard[of], "sid": source.astype(np.int32), "epoch": epoch.astype(np.int32), "block": number})
+        return pd.DataFrame({"shard": shard[of], "sid": source.astype(np.int32), "epoch": epoch.astype(np.int32), "block": number, "words": np.where(t == quota[source] - 1, last[source], block_words)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -145,8 +156,8 @@ def _expanded(blocks: np.ndarray, seed: int, most: int = 1 << 19):
     return run
 
 
-def slots(spark, cat: pd.DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
-    """(shard, sid, epoch, block): a row for each block that the mix takes."""
+def slots(spark, cat: pd.DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+    """(shard, sid, epoch, block, words): a row for each block that the mix takes, and how many of its words."""
     quota, blocks = cat.quota.to_numpy(dtype=np.int64), cat.blocks.to_numpy(dtype=np.int64)
     shards = int(-(-quota.sum() // shard_blocks))
     drawn = spark.range(0, max(1, shards), 1, max(1, min(shards, 4 * spark.sparkContext.defaultParallelism + shards // 4096))).where(F.lit(shards > 0)).mapInPandas(_draws(quota, shard_blocks, seed), "shard long, sid int, n long")
@@ -171,50 +182,69 @@ def slots(spark, cat: pd.DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int
         .toDF("shard", "sid", "first", "n")
     )
     # A row stands for many slots: dealt evenly before they are written out.
-    return placed.unionByName(topped).repartition(spread_of(int(quota.sum()), spark), "shard", "sid").mapInPandas(_expanded(blocks, seed), "shard long, sid int, epoch int, block long")
+    return placed.unionByName(topped).repartition(spread_of(int(quota.sum()), spark), "shard", "sid").mapInPandas(_expanded(blocks, quota, cat["last"].to_numpy(dtype=np.int64), block_words, seed), "shard long, sid int, epoch int, block long, words long")
 
 
 def spread_of(n: int, spark, per_task: int = 1 << 18) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-n // per_task))
 
 
-def _positions(base: DataFrame, cat_df: DataFrame) -> DataFrame:
-    """base with sid and off, the first word's place in the source's stream."""
-    b = base.join(F.broadcast(cat_df.select("sid", F.col("source").alias("s2"), "source_size", "target", "buckets")), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    b = b.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "uid"), F.col("buckets")))
-    inside = W.partitionBy("sid", "bucket").orderBy("doc_id", "uid").rowsBetween(W.unboundedPreceding, -1)
-    totals = b.groupBy("sid", "bucket").agg(F.sum("size").alias("all"))
+def _entries(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(source, doc_id, h, size, n): rows equal in source, id and text counted as one entry of n copies."""
+    text = whole_text(text_col)
+    rows = docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    return rows.groupBy("source", "doc_id", "h", "size").agg(F.count("*").alias("n"))
+
+
+def _positions(entries: DataFrame) -> DataFrame:
+    """Entries, of size over 0, with off, the first word's place in the source's stream."""
+    b = entries.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.col("buckets")))
+    all_words = F.col("size") * F.col("n")
+    inside = W.partitionBy("sid", "bucket").orderBy("doc_id", "h", "size").rowsBetween(W.unboundedPreceding, -1)
+    totals = b.groupBy("sid", "bucket").agg(F.sum(all_words).alias("all"))
     over = W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select("sid", "bucket", F.coalesce(F.sum("all").over(over), F.lit(0)).alias("before"))
-    b = b.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    b = b.withColumn("within", F.coalesce(F.sum(all_words).over(inside), F.lit(0)))
     return b.join(totals, ["sid", "bucket"]).withColumn("off", F.col("before") + F.col("within")).drop("bucket", "buckets", "before", "within")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE,
         cap: float = CAP, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, bound: int = SOURCES_BOUND) -> tuple[DataFrame, DataFrame]:
-    """Two tables: documents (uid, doc_id, source, size, source_size, target) and what the mix
-    takes of them, spans (uid, shard, epoch, sid, block, lo, hi) in words, hi exclusive.
-
-    uid is the row's number in the scan (monotonically_increasing_id): a stored table gives
-    the same numbers again.
+    """Two tables: entries (sid, source, doc_id, h, size, n, source_size, target) of documents,
+    and what the mix takes of them, spans (sid, doc_id, h, size, n, copy, shard, epoch, lo, hi)
+    in words of a copy, hi exclusive.  h is the text's hash, n the number of equal rows.
     """
     spark = docs.sparkSession
-    base = checkpointed(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(whole_text(text_col), F.lit(WORD)).cast("long").alias("size")))
-    cat = _catalogue(base, weights, share, cap, block_words, bound)
-    cat_df = spark.createDataFrame(list(cat.astype(object).itertuples(index=False, name=None)), _CAT)
-    placed = _positions(base, cat_df)
-    first, last = F.floor(F.col("off") / block_words), F.floor((F.col("off") + F.col("size") - 1) / block_words)
-    held = placed.where("size > 0").select("uid", "sid", "off", "size", F.explode(F.sequence(first, last)).alias("block"))
-    at = F.col("block") * block_words
-    held = held.select("uid", "sid", "block", (F.greatest(at, F.col("off")) - F.col("off")).alias("lo"), (F.least(at + block_words, F.col("off") + F.col("size")) - F.col("off")).alias("hi"))
-    spans = slots(spark, cat, shard_blocks, seed).join(held, ["sid", "block"])
-    return placed.select("uid", "doc_id", "source", "size", "source_size", "target"), spans
-
-
-def taken(documents: DataFrame, spans: DataFrame) -> DataFrame:
+    entries = checkpointed(_entries(docs, id_col, text_col, source_col))
+    cat = _catalogue(entries, weights, share, cap, block_words, bound)
+    named = spark.createDataFrame(list(cat.astype(object).itertuples(index=False, name=None)), _CAT).select("sid", F.col("source").alias("of"), "source_size", "target", "buckets")
+    entries = entries.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    first, last = F.floor(F.col("off") / block_words), F.floor((F.col("off") + F.col("size") * F.col("n") - 1) / block_words)
+    held = _positions(entries).select("sid", "doc_id", "h", "size", "n", "off", F.explode(F.sequence(first, last)).alias("block"))
+    met = slots(spark, cat, block_words, shard_blocks, seed).join(held, ["sid", "block"])
+    at, all_words = F.col("block") * block_words, F.col("size") * F.col("n")
+    lo, hi = F.greatest(at, F.col("off")) - F.col("off"), F.least(at + F.col("words"), F.col("off") + all_words) - F.col("off")
+    met = met.select("sid", "doc_id", "h", "size", "n", "shard", "epoch", lo.alias("from"), hi.alias("to")).where(F.col("from") < F.col("to"))
+    # A block may hold several copies of a short text.
+    met = met.withColumn("copy", F.explode(F.sequence(F.floor(F.col("from") / F.col("size")), F.floor((F.col("to") - 1) / F.col("size")))))
+    start = F.col("copy") * F.col("size")
+    spans = met.select("sid", "doc_id", "h", "size", "n", "copy", "shard", "epoch", (F.greatest("from", start) - start).alias("lo"), (F.least(F.col("to"), start + F.col("size")) - start).alias("hi"))
+    return entries.drop("buckets"), spans
+
+
+def _copies(entries: DataFrame, step: int = 1000) -> DataFrame:
+    """A row per document, with its number among equal ones; a large number of them is dealt out in two steps."""
+    one = entries.where("n = 1").withColumn("copy", F.lit(0).cast("long"))
+    parts = entries.where("n > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / step)))).repartition("h", "part")
+    many = parts.withColumn("copy", F.explode(F.sequence(F.col("part") * step, F.least(F.col("n"), (F.col("part") + 1) * step) - 1))).drop("part")
+    return one.unionByName(many)
+
+
+def taken(entries: DataFrame, spans: DataFrame) -> DataFrame:
     """One row per document with the words that the mix takes of it, repeats counted."""
-    sums = spans.groupBy("uid").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
-    return documents.join(sums, "uid", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    sums = spans.groupBy(F.col("sid").alias("sid_"), F.col("doc_id").alias("id_"), F.col("h").alias("h_"), F.col("copy").alias("copy_")).agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
+    same = (F.col("sid") == F.col("sid_")) & F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")) & (F.col("copy") == F.col("copy_"))
+    return _copies(entries).join(sums, same, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def _cut(text: pd.Series, size: pd.Series, spans: pd.Series) -> pd.Series:
@@ -242,13 +272,19 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document one row whose text is the words taken, in the document's order; a passage whose
     neighbours aren't taken begins a new line.
     """
-    documents, spans = mix(docs, id_col, text_col, source_col, **options)
+    entries, spans = mix(docs, id_col, text_col, source_col, **options)
+    names = entries.groupBy("sid").agg(F.first("source").alias("source"))
+    per = spans.groupBy("sid", "doc_id", "h", "size", "n", "copy", "epoch").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
+    per = per.join(F.broadcast(names), "sid").select(F.col("source").alias("s_"), F.col("doc_id").alias("id_"), F.col("h").alias("h_"), "size", "n", "parts")
+    text = whole_text(text_col)
+    rows = packed(docs, id=F.col(id_col), source=F.col(source_col).cast("string"), h=F.xxhash64(text), body=text)
+    same = F.col("id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("s_")) & (F.col("h") == F.col("h_"))
+    again = entries.where("n > 1 and size > 0").select(F.col("source").alias("s_"), F.col("doc_id").alias("id_"), F.col("h").alias("h_"))
+    found = rows.join(per.where("n = 1"), same).unionByName(rows.join(again, same, "left_semi").dropDuplicates(["id", "source", "h"]).join(per.where("n > 1"), same))
     cut = F.pandas_udf(_cut, "string")
-    per = spans.groupBy("uid", "epoch").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans")).select(F.col("uid").alias("__uid"), "__spans")
-    per = per.join(documents.select(F.col("uid").alias("__uid"), F.col("size").alias("__size")), "__uid")
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    body = cut(whole_text(text_col), F.col("__size"), F.col("__spans"))
-    out = rows.join(per, F.col("__row") == F.col("__uid")).withColumn(text_col, body)
+    # Computed once: behind a generator it isn't written out again where a part of it is named.
+    found = found.select("row", F.explode(F.array(cut(F.col("body"), F.col("size"), F.col("parts")))).alias("text"))
+    out = F.col("row").withField(f"`{text_col}`", F.col("text"))
     if length_col in docs.columns:
-        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return out.select(docs.columns)
+        out = out.withField(f"`{length_col}`", F.length("text").cast(docs.schema[length_col].dataType))
+    return found.select(out.alias("row")).select("row.*")

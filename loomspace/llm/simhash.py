@@ -1,18 +1,18 @@
 """SimHash near-deduplication with pivot distance tables.
 
 A fingerprint is the bitwise majority of the XXH64 of a text's word shingles.  For every
-distinct fingerprint a row of Hamming distances to reference fingerprints is computed: to
-one base, and for each of four 16-bit segments to references that differ from the base in
-that segment only.  The difference of a distance and the distance to the base depends on
-one segment alone.  Two fingerprints at most two bits apart agree on two of the four
-segments at least, and so on all those differences of some pair of segments; that is the
-key on which the six tables are joined.  Pairs with a distance coordinate more than two
-apart are discarded, and the survivors are verified by their exact Hamming distance.
-
-A key with more than `crowd` fingerprints isn't paired: each of its fingerprints meets the
-others at the 65 points at most one bit away from it.  Two fingerprints within two bits
-share such a point, and those that share one are within two bits, so the links are whole
-and a point has 65 fingerprints at most.
+distinct fingerprint Hamming distances to reference fingerprints are computed: to one base,
+to references that differ from the base in a bit of one segment of the bits, and to random
+ones.  The differences of a segment's references' distances and the base's depend on that
+segment alone.  Two fingerprints at most two bits apart agree on two of four segments at
+least, and so on all those differences of some pair of segments; that is the key on which
+the six tables are joined.  Pairs with a distance coordinate more than two apart are
+discarded, and the survivors are verified by their exact Hamming distance.
+
+The fingerprints of a key are paired only where they are `crowd` at most.  A larger key has
+pivot tables of its own: what the key leaves open is cut to four segments of half the size,
+and so on, from 16 to 8 to 4 bits.  Those that then share a key agree on 56 bits, so that
+they are 256 at most.  So no link is lost and no large group is paired.
 
 Defined results: null is the empty text; a text without words has fingerprint zero and is
 linked like any other; a text of fewer words than a shingle is one shingle.  Copies share a
@@ -31,26 +31,26 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lower_az, whole_text
+from .common import checkpointed, hot_keys, lower_az, packed, salted_join, trim, whole_text
 from .components import components
 
 SHINGLE = 3
 LINK_BITS = 2
 SEED = 42
 CROWD = 64
-SEGMENTS = tuple(0xFFFF << (16 * s) for s in range(4))
+WIDTHS = (16, 8, 4)  # of the four segments, level by level
+RANDOM_PIVOTS = 24
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _references(per_segment: int = 8) -> tuple[int, list[list[int]]]:
-    """The base reference, and for each segment references that differ from it there only."""
-    rng = np.random.default_rng(20)
-    draw = lambda: int(rng.integers(0, 1 << 64, dtype=np.uint64))
-    base = draw()
-    return base, [[base ^ (draw() & mask) for _ in range(per_segment)] for mask in SEGMENTS]
+def _draw(n: int, bits: int = 64, seed: int = 20) -> list[int]:
+    return [int(x) & ((1 << bits) - 1) for x in np.random.default_rng(seed).integers(0, 1 << 64, size=n, dtype=np.uint64)]
+
+
+BASE = _draw(1)[0]
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -75,6 +75,7 @@ def _fingerprints(shingle: int):
         for b in batches:
             out = np.fromiter((fingerprint(x.as_py(), shingle) for x in b.columns[-1]), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out.view(np.int64))], names=[*b.schema.names[:-1], "fp"])
+        trim()
 
     return run
 
@@ -89,45 +90,63 @@ def _distance(a: Column, b: Column | int) -> Column:
     return F.bit_count(a.bitwiseXOR(F.lit(_signed(b)) if isinstance(b, int) else b)).cast("int")
 
 
-def pivot_table(distinct: DataFrame) -> DataFrame:
-    """(fp, d): the distances of each fingerprint to all references, the base's first."""
-    base, segments = _references()
-    return distinct.select("fp", F.array(_distance(F.col("fp"), base), *(_distance(F.col("fp"), r) for s in segments for r in s)).alias("d"))
+def pivots(n: int = RANDOM_PIVOTS) -> Column:
+    """The distances of fp to the base and to n random references."""
+    return F.array(*(_distance(F.col("fp"), r) for r in (BASE, *_draw(n, seed=22))))
+
+
+def _keyed(rows: DataFrame, width: int) -> DataFrame:
+    """(fp, key, free): rows (fp, key, free) with a key for each two of the four segments that begin at the bits `free`.
+
+    The new `free` are the beginnings of the halves of the two other segments.
+    """
+    own = _distance(F.col("fp"), BASE)
+    # The references of a segment differ from the base in one of its bits: fp ^ m is as far from the base as fp from base ^ m.
+    local = lambda s: F.transform(F.array(*(F.lit(1 << i).cast("long") for i in range(width))), lambda m: _distance(F.col("fp").bitwiseXOR(F.call_function("shiftleft", m, s)), BASE) - own)
+    rows = rows.withColumn("of", F.transform("free", local))
+    some = []
+    for t, (i, j) in enumerate(combinations(range(4), 2)):
+        k, m = (x for x in range(4) if x not in (i, j))
+        at = lambda x: F.col("free")[x]
+        rest = F.array(at(k), at(k) + width // 2, at(m), at(m) + width // 2)
+        some.append(F.struct(F.xxhash64("key", F.lit(t), F.col("of")[i], F.col("of")[j]).alias("key"), rest.alias("free")))
+    return rows.select("fp", F.explode(F.array(*some)).alias("s")).select("fp", "s.key", "s.free")
 
 
 def links(distinct: DataFrame, bits: int = LINK_BITS, crowd: int = CROWD) -> DataFrame:
-    """Edges (u, v) whose components are those of all pairs of fingerprints within two bits."""
+    """Edges (u, v), u < v: all pairs of fingerprints within two bits."""
     if bits != 2:
-        raise ValueError("the keys and points are those of two differing bits")
-    _, segments = _references()
-    per = len(segments[0])
-    local = [[F.col("d")[1 + s * per + k] - F.col("d")[0] for k in range(per)] for s in range(len(segments))]
-    keys = F.array(*(F.xxhash64(F.lit(t), *local[i], *local[j]) for t, (i, j) in enumerate(combinations(range(len(segments)), 2))))
-    keyed = pivot_table(distinct).select("fp", "d", F.explode(keys).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = checkpointed(keyed.join(sizes, "key"))
-    few, many = shared.where(F.col("n") <= crowd), shared.where(F.col("n") > crowd)
-    a, b = few.select("key", F.col("fp").alias("u"), F.col("d").alias("du")), few.select("key", F.col("fp").alias("v"), F.col("d").alias("dv"))
-    near = F.array_max(F.zip_with("du", "dv", lambda x, y: F.abs(x - y))) <= bits
-    pairs = a.join(b, "key").where("u < v").where(near).where(_distance(F.col("u"), F.col("v")) <= bits).select("u", "v").distinct()
-    around = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)))
-    points = many.select("fp").distinct().select("fp", F.explode(around).alias("point"))
-    met = points.groupBy("point").agg(F.min("fp").alias("v"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
-    return pairs.unionByName(met.select(F.explode("all").alias("u"), "v").where("u <> v"))
+        raise ValueError("four segments are for two differing bits")
+    rows, found = distinct.select("fp", F.lit(0).cast("long").alias("key"), F.array(*(F.lit(16 * s) for s in range(4))).alias("free")), None
+    for width in WIDTHS:
+        keyed = _keyed(rows, width)
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        shared = checkpointed(keyed.join(sizes, "key"))
+        last = width == WIDTHS[-1]
+        few = shared if last else shared.where(F.col("n") <= crowd)
+        few = few.select("key", "fp", pivots().alias("d"))
+        a, b = few.select("key", F.col("fp").alias("u"), F.col("d").alias("du")), few.select("key", F.col("fp").alias("v"), F.col("d").alias("dv"))
+        near = F.array_max(F.zip_with("du", "dv", lambda x, y: F.abs(x - y))) <= bits
+        pairs = a.join(b, "key").where("u < v").where(near).where(_distance(F.col("u"), F.col("v")) <= bits).select("u", "v")
+        found = pairs if found is None else found.unionByName(pairs)
+        rows = shared.where(F.col("n") > crowd).select("fp", "key", "free")
+        if last or rows.isEmpty():
+            return found.distinct()
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id that can be reached)."""
     marked = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct, crowd=crowd))
+    distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    roots = components(links(distinct.select("fp"), crowd=crowd))
     of = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     named = of.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    joined = salted_join(marked, named, "fp", hot_keys(distinct, "fp", "n"))
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """The input's rows, one document of each component: that with the least id, a null id after all others.
 
     Ids needn't tell documents apart: a row is known by its id and its content together.  Of
@@ -138,14 +157,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(body, 256)).alias("sha"), body.alias("body"))
     marked = checkpointed(rows.mapInArrow(_fingerprints(SHINGLE), "doc_id long, sha binary, fp long"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")
-    first = marked.groupBy("fp").agg(F.min(order).alias("first"))
-    roots = components(links(first.select("fp")))
+    first = checkpointed(marked.groupBy("fp").agg(F.min(order).alias("first")))
+    roots = components(links(first.select("fp"), crowd=crowd))
     of = first.join(roots, first.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
-    keep = of.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.sha").alias("__sha"))
+    keep = of.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("keep_id"), F.col("first.sha").alias("keep_sha"))
     again = marked.groupBy("doc_id", "sha").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("r_id"), F.col("sha").alias("r_sha"))
-    keep = keep.join(again, F.col("__id").eqNullSafe(F.col("r_id")) & (F.col("__sha") == F.col("r_sha")), "left")
-    keep = keep.select("__id", "__sha", F.col("r_sha").isNotNull().alias("__again"))
-    named = docs.withColumn("__own", F.unhex(F.sha2(body, 256)))
-    found = named.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")))
-    single = found.where(~F.col("__again")).select(docs.columns)
-    return single.unionByName(found.where("__again").dropDuplicates(["__sha"]).select(docs.columns))
+    keep = keep.join(again, F.col("keep_id").eqNullSafe(F.col("r_id")) & (F.col("keep_sha") == F.col("r_sha")), "left")
+    keep = keep.select("keep_id", "keep_sha", F.col("r_sha").isNotNull().alias("again"))
+    named = packed(docs, id=F.col(id_col).cast("long"), sha=F.unhex(F.sha2(body, 256)))
+    found = named.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("sha") == F.col("keep_sha")))
+    return found.where(~F.col("again")).select("row.*").unionByName(found.where("again").dropDuplicates(["keep_sha"]).select("row.*"))
