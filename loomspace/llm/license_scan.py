@@ -15,6 +15,8 @@ by `bound`) are looked for in each text first, and only texts and windows that h
 hashed band by band: the windows retrieved are the same.  Everything is DataFrame
 functions; there is no shuffle.
 
+`bound` limits the templates and their minima, as these go to all tasks; more raise.
+
 Defined results: null texts and texts shorter than a template's shingle don't match it.  A
 template without words matches nothing; equal templates match alike.  A text has one row for each
 template found in it: the best share and the first window that has it.  Repeated rows give
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import whole_text
-from .license_texts import BODIES, wordings
+from .license_texts import BODIES, whole, wordings
 
 SHINGLE = 5
 SHARE = 0.8
@@ -52,10 +54,10 @@ NOTICES = {
 
 
 def notices(spark: SparkSession) -> DataFrame:
-    """template_id, text: the notices, the usual wordings of each license, and passages of the licenses' own texts."""
+    """template_id, text: the notices, the usual wordings of each license, passages of the licenses' own texts, and the whole texts."""
     flat = lambda t: re.sub(r"\W+", " ", t.lower()).strip()
     known = {flat(t) for t in NOTICES.values()}
-    every = NOTICES | BODIES | {k: t for k, t in wordings().items() if flat(t) not in known}
+    every = NOTICES | BODIES | whole() | {k: t for k, t in wordings().items() if flat(t) not in known}
     return spark.createDataFrame(list(every.items()), "template_id string, text string")
 
 
@@ -100,6 +102,8 @@ def prepared(templates: DataFrame, id_col: str = "template_id", text_col: str =
 
 def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, bands: int = BANDS, bound: int = BOUND) -> DataFrame:
     """doc_id, template_id, containment, first_word, n_words: the templates found in each whole text."""
+    if templates.limit(bound + 1).count() > bound:
+        raise ValueError(f"license scan: more than {bound} templates")
     ready = prepared(templates, bands=bands)
     seeds = ready.select("template_id", "k", F.explode("seeds").alias("seed")).groupBy("seed").agg(F.collect_set("k").alias("ks"), F.sort_array(F.collect_set("template_id")).alias("ids")).limit(bound + 1).collect()
     if len(seeds) > bound:

@@ -1,7 +1,9 @@
-"""Texts by which the license scan knows licenses: passages of their own texts, and usual wordings of notices."""
+"""Texts by which the license scan knows licenses: whole texts (the files of the folder licenses), passages of them, and usual wordings of notices."""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 # Passages of the licenses' own texts.  A body is known by its opening, or by each of its paragraphs where it is short.
 BODIES = {
     "GPL-3.0/notice": 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.',
@@ -58,3 +60,8 @@ def wordings() -> dict[str, str]:
         # The name with its version states the license, whatever stands before it.
         found += [(k, f"CC {short} 4.0"), (k, f"Creative Commons {long} 4.0"), (k, f"creativecommons.org/licenses/{short.lower()}/4.0")]
     return {f"{k}/{text}": text for k, text in found}
+
+
+def whole() -> dict[str, str]:
+    """The whole license texts by template_id, <license>/whole."""
+    return {f"{f.stem}/whole": f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}

@@ -5,8 +5,10 @@ with the digest that their src names and the caption of their figure.  Payloads
 store, a row for each digest, as 8-bit greyscale images (PNG) 64 samples wide; the join on
 the digest resolves references, and positions and captions stay with their structs.
 
-`documents_as_media` makes such pages of plain documents: the text's bytes, padded with
-zeros to a positive multiple of 64, become the image.
+`documents_as_media` makes such pages of plain documents: the first line, a figure, the other
+lines, and another figure.  The first figure's image is the text's bytes, padded with zeros
+to a positive multiple of 64; the second's is the last 64 of them.  A page's row comes from
+its two resolved references, told apart by their positions.
 
 Defined results: null is the empty text; its payload is 64 zero bytes.  A reference without
 a payload stays, with null in the payload's columns; a malformed digest is such a reference.
@@ -26,10 +28,10 @@ from html import unescape
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, whole_text
+from .common import checkpointed, hot_keys, salted_join, trim, whole_text
 
 WIDTH = 64
 SEQUENCE = "array<struct<pos:int,kind:string,text:string,digest:string,caption:string>>"
@@ -88,28 +90,29 @@ def features(samples: bytes) -> str:
     return f"rows={len(x)};mean={x.mean():.4f};std={x.std():.4f};grad={np.packbits(bits).tobytes().hex()}"
 
 
-_STORE = "digest string, media binary"
+_STORE = "digest string, media binary, n long"
 _SEEN = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        digests, media, seen = [], [], set()
-        for text in b.column(0).to_pylist():
-            p = payload(text)
-            d = hashlib.sha256(p).hexdigest()
-            if d not in seen:
-                seen.add(d)
-                digests.append(d)
-                media.append(encode_png(p))
-            if sum(map(len, media[-64:])) > 4 << 20 or len(media) >= 512:
-                yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(media, pa.binary())], names=["digest", "media"])
-                digests, media = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=["digest", "media"])
+        for at in range(0, b.num_rows, 256):
+            held: dict[str, list] = {}
+            for text in b.column(0).slice(at, 256).to_pylist():
+                p = payload(text)
+                for samples in (p, p[-WIDTH:]):
+                    held.setdefault(hashlib.sha256(samples).hexdigest(), [samples, 0])[1] += 1
+            digests = list(held)
+            media = [encode_png(held[d][0]) for d in digests]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary()), pa.array([held[d][1] for d in digests], pa.int64())], names=["digest", "media", "n"])
+    trim()
 
 
 def store(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(digest, media): every text's payload as an image, in stored form. A digest may have several equal rows."""
+    """(digest, media, n): every text's payload, and its last 64 bytes, as images in stored form.
+
+    A digest may have several equal rows; their n add up to the number of references to it.
+    """
     return docs.select(whole_text(text_col).alias("text")).mapInArrow(_stored, _STORE)
 
 
@@ -123,6 +126,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         cols = list(zip(*rows)) if rows else [[]] * 7
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in _SEEN.split(", ")])
+    trim()
 
 
 def read_back(stored: DataFrame) -> DataFrame:
@@ -170,38 +174,58 @@ def sequence(html: str) -> list[dict]:
     return out
 
 
+def _parse(html: pd.Series) -> pd.Series:
+    return html.map(sequence)
+
+
+def sequences(pages: DataFrame, html_col: str) -> DataFrame:
+    """The pages with a column `pieces`: the structs of each page in their order."""
+    parse = F.pandas_udf(_parse, SEQUENCE)
+    return pages.select("*", F.explode(F.array(parse(whole_text(html_col)))).alias("pieces")).drop(html_col)
+
+
 def interleaved(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """(id, pos, kind, text, digest, caption): a row for each piece of each page."""
+    rows = sequences(pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")), "html")
+    return rows.select("id", F.explode("pieces").alias("s")).select("id", "s.*")
+
 
-    @F.pandas_udf(SEQUENCE)
-    def parse(html: pd.Series) -> pd.Series:
-        return html.map(sequence)
+def resolve(pieces: DataFrame, media: DataFrame, hot: DataFrame) -> DataFrame:
+    """The pieces with the columns of the media row that their digest names.
 
-    rows = pages.select(F.col(id_col).alias("id"), F.explode(parse(whole_text(html_col))).alias("s"))
-    return rows.select("id", "s.*")
+    media: one row per digest.  hot: digests of very many pieces (see hot_keys), which are
+    dealt to copies of their media row.
+    """
+    return salted_join(pieces, media, "digest", hot, "left")
 
 
-def resolve(pieces: DataFrame, media: DataFrame) -> DataFrame:
-    """The pieces with the columns of the media row that their digest names."""
-    return pieces.join(media, "digest", "left")
+def as_page(text: Column, digest: Column, tail: Column, n_bytes: Column) -> Column:
+    """HTML of a document: its first line, its image, its other lines, the image of its end."""
+    safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lead = F.substring_index(safe, "\n", 1)
+    rest = F.replace(F.substr(safe, F.length(lead) + 2), F.lit("\n"), F.lit("</p><p>"))
+    figure = lambda d, caption: F.concat(F.lit('<figure><img src="sha256:'), d, F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
+    return F.concat(F.lit("<p>"), lead, F.lit("</p>"), figure(digest, F.concat(n_bytes.cast("string"), F.lit(" bytes"))), F.lit("<p>"), rest, F.lit("</p>"), figure(tail, F.lit("the end")))
 
 
 def documents_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, pos, caption, n_bytes and what its image was found to hold.
+    """One row per document: doc_id, n_bytes, n_pieces, pos and caption of its image in the page,
+    end_pos and end_caption of its end's, and what the images were found to hold.
 
     The stored images are written before they are read back, in the shared folder.
     """
     stored = checkpointed(store(docs, text_col))
+    hot = hot_keys(stored.groupBy("digest").agg(F.sum("n").alias("n")), "digest", "n")
     body = whole_text(text_col)
     size = F.octet_length(body)
     fill = (F.greatest(F.lit(1), F.ceil(size / WIDTH)) * WIDTH - size).cast("int")
-    digest = F.sha2(F.concat(body.cast("binary"), F.encode(F.repeat(F.lit("\0"), fill), "UTF-8")), 256)
-    html = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), size.cast("string"), F.lit(" bytes</figcaption></figure>"))
-    pages = docs.select(F.col(id_col).alias("doc_id"), size.cast("long").alias("n_bytes"), html.alias("html"))
-
-    @F.pandas_udf(SEQUENCE)
-    def parse(page: pd.Series) -> pd.Series:
-        return page.map(sequence)
-
-    pieces = pages.select("doc_id", "n_bytes", F.explode(parse("html")).alias("s")).select("doc_id", "n_bytes", "s.pos", "s.digest", "s.caption")
-    return resolve(pieces, read_back(stored))
+    samples = F.concat(body.cast("binary"), F.encode(F.repeat(F.lit("\0"), fill), "UTF-8"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), size.cast("long").alias("n_bytes"), body.alias("body"), samples.alias("samples"))
+    page = as_page(F.col("body"), F.sha2("samples", 256), F.sha2(F.substring(F.col("samples"), -WIDTH, WIDTH), 256), F.col("n_bytes"))
+    pages = sequences(rows.select("row", "doc_id", "n_bytes", page.alias("html")), "html")
+    pieces = pages.select("row", "doc_id", "n_bytes", F.size("pieces").alias("n_pieces"), F.explode(F.filter("pieces", lambda p: p["kind"] == "media")).alias("s"))
+    pieces = pieces.select("row", "doc_id", "n_bytes", "n_pieces", "s.pos", "s.caption", "s.digest")
+    found = resolve(pieces, read_back(stored), hot)
+    image = F.struct("pos", "caption", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    both = found.groupBy("row", "doc_id", "n_bytes", "n_pieces").agg(F.min(image).alias("image"), F.max(F.struct("pos", "caption", "tail_crc32")).alias("end"))
+    return both.select("doc_id", "n_bytes", "n_pieces", "image.pos", "image.caption", F.col("end.pos").alias("end_pos"), F.col("end.caption").alias("end_caption"), "image.payload_bytes", "image.payload_sha256", "end.tail_crc32", "image.media_bytes", "image.media_sha256", "image.feature")

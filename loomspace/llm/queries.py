@@ -52,8 +52,7 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = media.documents_as_media(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return media.documents_as_media(table(spark, sf_dir, "documents"))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,16 +118,20 @@ def _train(bits: int, options: dict):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn=None, max_train_rows: int = MAX_TRAIN_ROWS, bits: int = BITS, **options) -> DataFrame:
-    """(place, weight) of the model, the bias at place -1.  learn: which ids may be learned from."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn=None, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """(text, y) of max_train_rows rows at most, in an order that doesn't hang on the partitions. learn: which ids may be learned from."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y is not null and id is not null")
     if learn is not None:
         known = known.where(learn("id"))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     known = sampled(known, "id", known.count(), max_train_rows).limit(2 * max_train_rows)
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).join(F.broadcast(known), "id").select("text", "y", F.xxhash64("id", "text").alias("o"))
-    # Bounded, however many rows an id has: one task reads the sample, in an order that doesn't hang on the partitions.
-    return rows.dropDuplicates(["o"]).orderBy("o").limit(max_train_rows).select("text", "y").mapInPandas(_train(bits, options), _SCHEMA)
+    return rows.dropDuplicates(["o"]).orderBy("o").limit(max_train_rows).select("text", "y")
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn=None, max_train_rows: int = MAX_TRAIN_ROWS, bits: int = BITS, **options) -> DataFrame:
+    """(place, weight) of the model, the bias at place -1; one task fits it on the bounded training rows."""
+    return training_rows(docs, labels, id_col, text_col, label_col, learn, max_train_rows).mapInPandas(_train(bits, options), _SCHEMA)
 
 
 class Scorer:

@@ -254,14 +254,39 @@ def test_weights_by_expectation_maximisation():
 def test_media(docs, empty, spark):
     got = media.documents_as_media(docs).collect()
     assert len(got) == len(ROWS)
-    of = {str(r[0]): (r[1] or "").encode() for r in ROWS}
+    of = {str(r[0]): r[1] or "" for r in ROWS}
     for r in got:
-        b = of[str(r.doc_id)]
+        text = of[str(r.doc_id)]
+        b = text.encode()
         p = b.ljust(max(1, -(-len(b) // 64)) * 64, b"\0")
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.pos, r.caption) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), 0, f"{len(b)} bytes")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        lines = text.split("\n")
+        lead, rest = bool(lines[0].split()), sum(bool(x.split()) for x in lines[1:])
+        assert (r.pos, r.n_pieces, r.end_pos, r.caption, r.end_caption) == (int(lead), lead + rest + 2, lead + rest + 1, f"{len(b)} bytes", "the end")
+        rows = b"".join(b"\0" + p[i : i + 64] for i in range(0, len(p), 64))
+        part = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+        png = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", (64).to_bytes(4, "big") + (len(p) // 64).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])) + part(b"IDAT", zlib.compress(rows, 1)) + part(b"IEND", b"")
+        assert (r.media_bytes, r.media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
+        assert r.feature.startswith(f"rows={len(p) // 64};mean={np.frombuffer(p, np.uint8).mean():.4f};std={np.frombuffer(p, np.uint8).std():.4f};")
     assert media.documents_as_media(empty).count() == 0
 
 
+def test_interleaved_pages_resolve_in_their_order(spark):
+    texts = ["one", "two & <more>", ""]
+    stored = media.store(spark.createDataFrame([(t,) for t in texts], "text string"))
+    digest = [hashlib.sha256(media.payload(t)).hexdigest() for t in texts]
+    image = lambda d, caption: f"<figure><img src='sha256:{d}'><figcaption>{caption}</figcaption></figure>"
+    pages = [(1, f"<p>A{image(digest[1], 'second')}B</p>{image(digest[0], 'first')}<p>C"), (2, image("f" * 64, "lost")), (3, None), *((10 + i, f"<p>{i}</p>{image(digest[0], 'hot')}") for i in range(200))]
+    pieces = media.interleaved(spark.createDataFrame(pages, "page_id long, html string"), "page_id", "html").repartition(3)
+    for hot in ([], [(digest[0],)]):
+        got = media.resolve(pieces, media.read_back(stored), spark.createDataFrame(hot, "hot string")).collect()
+        assert len(got) == 5 + 1 + 400
+        first = sorted((r.pos, r.kind, r.text, r.caption, r.payload_sha256) for r in got if r.id == 1)
+        assert first == [(0, "text", "A", None, None), (1, "media", None, "second", digest[1]), (2, "text", "B", None, None), (3, "media", None, "first", digest[0]), (4, "text", "C", None, None)]
+        assert [(r.pos, r.caption, r.payload_bytes) for r in got if r.id == 2] == [(0, "lost", None)]
+        assert all((r.pos, r.payload_bytes) == (1, 64) for r in got if r.id >= 10 and r.kind == "media")
+
+
 def test_sequences():
     d = "0" * 64
     got = media.sequence(f"<p>One <b>two</b></p><figure><img src='sha256:{d}'><figcaption>A &amp; b</figcaption></figure><script>x</script><img src=y>tail")
