@@ -7,7 +7,7 @@ part of the struct so that predicates can reject by it.  Null geometries give nu
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GEOMETRY = "struct<kind:string,pts:array<struct<x:double,y:double>>,minx:double,miny:double,maxx:double,maxy:double>"
@@ -24,6 +24,11 @@ def once(then, *values: Column) -> Column:
     return F.get(F.transform(held, lambda r: then(*(r[f"v{i}"] for i in range(len(values))))), F.lit(0))
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: behind a generator it isn't written out again wherever it is used or filtered by."""
+    return df.select("*", value.alias("_once")).select(*df.columns, F.explode(F.array("_once")).alias(name))
+
+
 def geometry(kind: Column | str, pts: Column) -> Column:
     """A geometry of a kind from its vertices."""
     xs, ys = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])

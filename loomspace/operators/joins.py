@@ -1,10 +1,14 @@
 """Spatial joins on a grid of several levels.
 
-A geometry's level is the first whose cells are as large as its box, so that it covers four
-cells of its level, or of a coarser one, at most.  Two geometries meet on the coarser of
-their levels; the pair counts in the cell that holds the lower left corner of the boxes'
-intersection, so that it comes once.  The join is an equality of cells: no pair is formed
-that doesn't share one.
+Cells of level l are 2^l wide.  A geometry's level is the first whose cells are as large as
+its box, but no lower than the levels in use, so that it covers four cells of its level, or
+of a coarser one, at most.  Two geometries meet on the coarser of their levels; the pair
+counts in the cell that holds the lower left corner of the boxes' intersection, so that it
+comes once.  The join is an equality of cells: no pair is formed that doesn't share one.
+
+The levels in use come from one pass over both sides that counts boxes by size, or are
+given.  The lowest is that of the median box that isn't a point's; smaller boxes share its
+cells.
 """
 
 from __future__ import annotations
@@ -12,78 +16,86 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .predicates import boxes_meet, holds, native_matrix, relate
+from .predicates import holds, with_relation
 
-MAX_LEVEL = 40
+LEAST, MOST = -30, 60  # levels
 
 
-def _extent(g: Column) -> Column:
-    return F.greatest(g["maxx"] - g["minx"], g["maxy"] - g["miny"])
+def _size(g: Column) -> Column:
+    """The level of a box by its size alone; null for points and for nothing."""
+    extent = F.greatest(g["maxx"] - g["minx"], g["maxy"] - g["miny"])
+    return F.when(extent > 0, F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.ceil(F.log2(extent)).cast("int"))))
 
 
-def base_cell(*sides: DataFrame, geom: str = "geom") -> float:
-    """The mean extent of the geometries that have one, of all sides; 1 where none has."""
-    both = None
-    for s in sides:
-        part = s.select(_extent(F.col(geom)).alias("e")).where("e > 0")
-        both = part if both is None else both.unionByName(part)
-    return float(both.agg(F.avg("e")).first()[0] or 1.0)
+def levels(*sides: tuple[DataFrame, str]) -> list[int]:
+    """The levels that boxes of the sides (frame, geometry column) need, the median's the lowest."""
+    counts = None
+    for df, g in sides:
+        part = df.select(_size(F.col(g)).alias("l")).where("l is not null").groupBy("l").count()
+        counts = part if counts is None else counts.unionByName(part)
+    found: dict[int, int] = {}
+    for r in counts.collect():  # MOST - LEAST + 1 a side at most
+        found[r.l] = found.get(r.l, 0) + r["count"]
+    half, seen = sum(found.values()) / 2, 0
+    for level in sorted(found):
+        seen += found[level]
+        if seen >= half:
+            return [x for x in sorted(found) if x >= level]
+    return [0]
 
 
-def _level(g: Column, base: float) -> Column:
-    return F.least(F.lit(MAX_LEVEL), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(_extent(g), F.lit(base)) / base)).cast("int")))
-
-
-def _celled(df: DataFrame, g: str, base: float, levels: list[int], prefix: str) -> DataFrame:
+def _celled(df: DataFrame, g: str, use: list[int], prefix: str) -> DataFrame:
+    """A row for each cell of each level in use from the geometry's own on; its box in columns of its own."""
     geom = F.col(g)
+    df = df.where(geom.isNotNull()).select("*", *(geom[c].alias(f"{prefix}_{c}") for c in ("minx", "miny", "maxx", "maxy")))
+    own = F.greatest(F.lit(use[0]), F.least(F.lit(use[-1]), F.coalesce(_size(geom), F.lit(use[0]))))
+    df = df.withColumn(f"{prefix}_level", own)
+    box = {c: F.col(f"{prefix}_{c}") for c in ("minx", "miny", "maxx", "maxy")}
 
     def cells(level: Column) -> Column:
-        size = F.lit(base) * F.pow(F.lit(2.0), level)
-        span = lambda lo, hi: F.sequence(F.floor(geom[lo] / size), F.floor(geom[hi] / size))
+        size = F.pow(F.lit(2.0), level)
+        span = lambda lo, hi: F.sequence(F.floor(box[lo] / size), F.floor(box[hi] / size))
         return F.flatten(F.transform(span("minx", "maxx"), lambda x: F.transform(span("miny", "maxy"), lambda y: F.struct(level.alias("l"), x.alias("x"), y.alias("y")))))
 
-    own = _level(geom, base)
-    at = F.filter(F.array(*(F.lit(x) for x in levels)), lambda x: x >= own)
-    return df.withColumn(f"{prefix}_level", own).withColumn(f"{prefix}_cell", F.explode(F.flatten(F.transform(at, cells)))).where(geom.isNotNull())
+    at = F.filter(F.array(*(F.lit(x) for x in use)), lambda x: x >= F.col(f"{prefix}_level"))
+    cell = F.col(f"{prefix}_cell")
+    df = df.withColumn(f"{prefix}_cell", F.explode(F.flatten(F.transform(at, cells))))
+    return df.select("*", *(cell[c].alias(f"{prefix}_{c}") for c in "lxy")).drop(f"{prefix}_cell")
 
 
-def candidates(left: DataFrame, right: DataFrame, on: list[tuple[str, str]] | None = None, cell: float | None = None) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, on: list[tuple[str, str]] | None = None, use: list[int] | None = None) -> DataFrame:
     """Pairs whose boxes meet, with the columns of both sides; these have no names in common.
 
-    left has its geometry in `a`, right in `b`. on: further equalities (left name, right name).
+    left has its geometry in `a`, right in `b`. on: further equalities (left name, right
+    name). use: the levels in use, ascending; any choice gives the same pairs.
     """
-    base = cell or base_cell(left.select(F.col("a").alias("geom")), right.select(F.col("b").alias("geom")))
-    found = left.select(_level(F.col("a"), base).alias("l")).unionByName(right.select(_level(F.col("b"), base).alias("l"))).distinct().collect()
-    levels = sorted(r.l for r in found if r.l is not None)  # MAX_LEVEL + 1 at most
-    if not levels:
-        levels = [0]
-    x, y = _celled(left, "a", base, levels, "_a"), _celled(right, "b", base, levels, "_b")
-    a, b, c = F.col("a"), F.col("b"), F.col("_a_cell")
-    size = F.lit(base) * F.pow(F.lit(2.0), c["l"])
-    corner = (F.floor(F.greatest(a["minx"], b["minx"]) / size) == c["x"]) & (F.floor(F.greatest(a["miny"], b["miny"]) / size) == c["y"])
-    condition = F.col("_a_cell") == F.col("_b_cell")
+    use = sorted(use) if use else levels((left, "a"), (right, "b"))
+    x, y = _celled(left, "a", use, "_a"), _celled(right, "b", use, "_b")
+    c = lambda name: F.col(f"_{name}")
+    size = F.pow(F.lit(2.0), c("a_l"))
+    corner = (F.floor(F.greatest(c("a_minx"), c("b_minx")) / size) == c("a_x")) & (F.floor(F.greatest(c("a_miny"), c("b_miny")) / size) == c("a_y"))
+    meet = (c("a_minx") <= c("b_maxx")) & (c("b_minx") <= c("a_maxx")) & (c("a_miny") <= c("b_maxy")) & (c("b_miny") <= c("a_maxy"))
+    condition = (c("a_l") == c("b_l")) & (c("a_x") == c("b_x")) & (c("a_y") == c("b_y"))
     for p, q in on or []:
         condition &= F.col(p) == F.col(q)
-    pairs = x.join(y, condition & boxes_meet(a, b) & corner & (c["l"] == F.greatest("_a_level", "_b_level")))
-    return pairs.drop("_a_level", "_a_cell", "_b_level", "_b_cell")
+    pairs = x.join(y, condition & meet & corner & (c("a_l") == F.greatest(c("a_level"), c("b_level"))))
+    return pairs.select(*left.columns, *right.columns)
 
 
-def spatial_join(left: DataFrame, right: DataFrame, predicate: str, on: list[tuple[str, str]] | None = None, native: bool = False, cell: float | None = None) -> DataFrame:
-    """Pairs for which a predicate holds; left's geometry is `a`, right's `b`.
+def spatial_join(left: DataFrame, right: DataFrame, predicate: str, on: list[tuple[str, str]] | None = None, native: bool = False, use: list[int] | None = None) -> DataFrame:
+    """Pairs for which a predicate holds, with their matrix `relation`; left's geometry is `a`, right's `b`.
 
     native: all pairs are of points with points or polygons, and the kernel isn't needed.
     """
     if predicate == "disjoint":
         raise ValueError("disjoint pairs can't be found by place; see disjoint_from")
-    pairs = candidates(left, right, on, cell)
-    a, b = F.col("a"), F.col("b")
-    pairs = pairs.withColumn("relation", native_matrix(a, b) if native else relate(a, b))
-    return pairs.where(holds(predicate, F.col("relation"), a, b))
+    pairs = with_relation(candidates(left, right, on, use), native)
+    return pairs.where(holds(predicate, F.col("relation"), F.col("a"), F.col("b")))
 
 
-def semi_join(left: DataFrame, right: DataFrame, key: str, predicate: str = "intersects", native: bool = False, anti: bool = False) -> DataFrame:
+def semi_join(left: DataFrame, right: DataFrame, key: str, predicate: str = "intersects", native: bool = False, anti: bool = False, use: list[int] | None = None) -> DataFrame:
     """Left rows for which some right row fulfils the predicate (anti: none does); key tells left rows apart."""
-    hit = spatial_join(left, right.select("b"), predicate, native=native).select(key).distinct()
+    hit = spatial_join(left, right.select("b"), predicate, native=native, use=use).select(key).distinct()
     return left.join(hit, key, "left_anti" if anti else "left_semi")
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspace.functions.geometry import GEOMETRY, LINE, POINT, POLYGON, point_in_ring
-from loomspace.functions.relate import matches, relate_udf
+from loomspace.functions.geometry import GEOMETRY, LINE, POINT, POLYGON, computed, point_in_ring
+from loomspace.functions.relate import batch_matrix, matches, relate_udf
 
 # The patterns of simple-features predicates, rows interior, boundary, exterior.
 WITHIN, CONTAINS = "T*F**F***", "T*****FF*"
@@ -25,10 +25,6 @@ def boxes_meet(a: Column, b: Column) -> Column:
     return (a["minx"] <= b["maxx"]) & (b["minx"] <= a["maxx"]) & (a["miny"] <= b["maxy"]) & (b["miny"] <= a["maxy"])
 
 
-def box_within(a: Column, b: Column) -> Column:
-    return (a["minx"] >= b["minx"]) & (a["maxx"] <= b["maxx"]) & (a["miny"] >= b["miny"]) & (a["maxy"] <= b["maxy"])
-
-
 def native_matrix(a: Column, b: Column) -> Column:
     """The matrix of two points, or of a point and a polygon in either order; null for other kinds."""
     first = lambda g: F.element_at(g["pts"], 1)
@@ -42,9 +38,18 @@ def native_matrix(a: Column, b: Column) -> Column:
 
 
 def relate(a: Column, b: Column) -> Column:
-    """The matrix of any two geometries: native where a point is involved with a point or polygon, else the exact kernel."""
+    """The matrix of any two geometries: native where a point is involved with a point or polygon, else by batches."""
     fast = native_matrix(a, b)
-    return F.coalesce(fast, relate_udf()(F.when(fast.isNull(), a), F.when(fast.isNull(), b)))
+    return F.coalesce(fast, batch_matrix(a, b, fast.isNull()))
+
+
+def with_relation(pairs: DataFrame, native: bool = False, name: str = "relation") -> DataFrame:
+    """Pairs (geometries a, b) with their matrix, computed once a row.  native: all pairs are of points with points or polygons."""
+    a, b = F.col("a"), F.col("b")
+    if native:
+        return computed(pairs, name, native_matrix(a, b))
+    found = computed(pairs, "fast", native_matrix(a, b))
+    return found.select(*pairs.columns, F.coalesce("fast", batch_matrix(a, b, F.col("fast").isNull())).alias(name))
 
 
 def holds(predicate: str, relation: Column, a: Column, b: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from loomspace.functions import geometry as G
 from loomspace.operators import generate, joins, questions, relations
 from loomspace.operators.generate import SceneConfig
-from loomspace.operators.predicates import holds, native_matrix
+from loomspace.operators.predicates import holds, relate, with_relation
 from loomspace.sources import tables
 
 from . import derived, sqlfront
@@ -155,13 +155,15 @@ def clamped_walk(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- predicates and joins
 
+SHAPE_LEVELS = [5]  # the derived shapes are 20 wide at most: one level, cells of 32
+
 
 def _sides(left: DataFrame, right: DataFrame, a: str = "pid", b: str = "sid") -> tuple[DataFrame, DataFrame]:
     return left.select(F.col("id").alias(a), F.col("geom").alias("a")), right.select(F.col("id").alias(b), F.col("geom").alias("b"))
 
 
 def _point_pairs(spark: SparkSession, d: str, predicate: str) -> DataFrame:
-    return joins.spatial_join(*_sides(derived.points(spark, d), derived.shapes(spark, d)), predicate, native=True)
+    return joins.spatial_join(*_sides(derived.points(spark, d), derived.shapes(spark, d)), predicate, native=True, use=SHAPE_LEVELS)
 
 
 @query(BASE + "SELECT pid, sid, rel FROM pip")
@@ -182,7 +184,7 @@ def st_within_point_polygon(spark: SparkSession, d: str) -> DataFrame:
 
 @query(BASE + "SELECT pid, sid FROM pip WHERE rel = 'within'")
 def st_contains_polygon_point(spark: SparkSession, d: str) -> DataFrame:
-    return joins.spatial_join(*_sides(derived.shapes(spark, d), derived.points(spark, d), "sid", "pid"), "contains", native=True).select("pid", "sid")
+    return joins.spatial_join(*_sides(derived.shapes(spark, d), derived.points(spark, d), "sid", "pid"), "contains", native=True, use=SHAPE_LEVELS).select("pid", "sid")
 
 
 @query(BASE + "SELECT pid, sid FROM pip WHERE rel = 'touches'")
@@ -204,16 +206,13 @@ def st_disjoint_named(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PTS} SELECT a.id AS ida, b.id AS idb FROM pts a JOIN pts b ON a.x = b.x AND a.y = b.y AND a.id < b.id")
 def st_equals_points(spark: SparkSession, d: str) -> DataFrame:
     p = derived.points(spark, d)
-    return joins.spatial_join(*_sides(p, p, "ida", "idb"), "equals", native=True, cell=1.0).where("ida < idb").select("ida", "idb")
+    return joins.spatial_join(*_sides(p, p, "ida", "idb"), "equals", native=True, use=[0]).where("ida < idb").select("ida", "idb")
 
 
 def _square_pairs(spark: SparkSession, d: str, predicate: str) -> DataFrame:
     s = derived.squares(spark, d)
     a, b = _sides(s, s, "ida", "idb")
-    pairs = joins.candidates(a, b).where("ida < idb")
-    from loomspace.operators.predicates import relate
-
-    pairs = pairs.withColumn("relation", relate(F.col("a"), F.col("b")))
+    pairs = with_relation(joins.candidates(a, b, use=SHAPE_LEVELS).where("ida < idb"))
     return pairs.where(holds(predicate, F.col("relation"), F.col("a"), F.col("b"))).select("ida", "idb")
 
 
@@ -236,8 +235,6 @@ def st_touches_boxes(spark: SparkSession, d: str) -> DataFrame:
 def st_within_nested_boxes(spark: SparkSession, d: str) -> DataFrame:
     g = F.col("geom")
     inner = G.scale(g, F.lit(0.5), F.lit(0.5))
-    from loomspace.operators.predicates import relate
-
     rows = derived.squares(spark, d).select("id", inner.alias("a"), g.alias("b")).withColumn("m", relate(F.col("a"), F.col("b"))).withColumn("t", relate(F.col("b"), F.col("a")))
     a, b = F.col("a"), F.col("b")
     return rows.select("id", holds("within", F.col("m"), a, b).alias("inner_within"), holds("contains", F.col("t"), b, a).alias("outer_contains"), holds("overlaps", F.col("m"), a, b).alias("inner_overlaps"))
@@ -263,12 +260,12 @@ def st_crosses_line_polygon(spark: SparkSession, d: str) -> DataFrame:
 
 @query(BASE + "SELECT id AS pid FROM pts WHERE id IN (SELECT pid FROM pip)")
 def spatial_semi_join(spark: SparkSession, d: str) -> DataFrame:
-    return joins.semi_join(*_sides(derived.points(spark, d), derived.shapes(spark, d)), "pid", native=True).select("pid")
+    return joins.semi_join(*_sides(derived.points(spark, d), derived.shapes(spark, d)), "pid", native=True, use=SHAPE_LEVELS).select("pid")
 
 
 @query(BASE + "SELECT id AS pid FROM pts WHERE id NOT IN (SELECT pid FROM pip)")
 def spatial_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    return joins.semi_join(*_sides(derived.points(spark, d), derived.shapes(spark, d)), "pid", native=True, anti=True).select("pid")
+    return joins.semi_join(*_sides(derived.points(spark, d), derived.shapes(spark, d)), "pid", native=True, anti=True, use=SHAPE_LEVELS).select("pid")
 
 
 # ---- emitted SQL, run as it is
