@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomspace.functions import geometry as G
-from loomspace.functions.relate import relate_values
+from loomspace.functions.relate import batch_matrices
 
 from .predicates import holds, relate
 
@@ -52,6 +52,8 @@ class SceneConfig:
     align_attempts: int = 20
     touch_attempts: int = 10
     align_origin: str = "centroid"
+    attempts_per_polygon: int = 10
+    older: bool = False  # the older ways to overlap, contain and touch, and two coins for a line's kind
 
     def check(self) -> SceneConfig:
         """Raises where the pairs need more polygons than there are."""
@@ -61,8 +63,8 @@ class SceneConfig:
         return self
 
 
-#: The older set of counts and probabilities: containment only, more often.
-OLDER = SceneConfig(polygons=3, contained=0, lines=1, crossing=0.0, line_in_poly=0.3, line_on_border=0.0, line_through=0.0, point_in_poly=0.3, point_on_border=0.0, point_on_line=0.0, align_origin="center")
+#: The older set: containment only, more often; one attempt a polygon; the older ways to force pairs.
+OLDER = SceneConfig(polygons=3, contained=0, lines=1, crossing=0.0, line_in_poly=0.3, line_on_border=0.0, line_through=0.0, point_in_poly=0.3, point_on_border=0.0, point_on_line=0.0, align_origin="center", attempts_per_polygon=1, older=True)
 
 
 def uniform(seed: int, *keys: Column | str | int) -> Column:
@@ -96,7 +98,10 @@ def clamped_walk(x: Column, y: Column, steps: Column, bounds: tuple) -> Column:
 
 
 def random_lines(spark: SparkSession, scenes: int, n: int, cfg: SceneConfig, seed: int) -> DataFrame:
-    """scene_id, slot, style (straight or curly), geom: a coin decides between two uniform ends and a walk with turns."""
+    """scene_id, slot, style (straight or curly), geom: a coin decides between two uniform ends and a walk with turns.
+
+    Older: a first coin decides on the style alone, and one in two curly ones is straight all the same.
+    """
     x0, y0, x1, y1 = cfg.bounds
     u = lambda *name: uniform(seed, F.col("scene_id"), F.col("slot"), *name)
     at = lambda a, b: G.xy(between(u(a), x0, x1), between(u(b), y0, y1))
@@ -109,15 +114,18 @@ def random_lines(spark: SparkSession, scenes: int, n: int, cfg: SceneConfig, see
     walked = F.aggregate(turns, F.struct(first.alias("h"), F.array().cast("array<double>").alias("all")), lambda s, t: F.struct((s["h"] + t).alias("h"), F.concat(s["all"], F.array(s["h"] + t)).alias("all")))["all"]
     steps = F.transform(walked, lambda h: F.struct((step * F.cos(h)).alias("dx"), (step * F.sin(h)).alias("dy")))
     straight = F.array(at("ax", "ay"), at("bx", "by"))
-    pts = F.when(F.lit(cfg.straight_only) | (u("coin") < 0.5), straight).otherwise(clamped_walk(between(u("ax"), x0, x1), between(u("ay"), y0, y1), steps, cfg.bounds))
+    listed = F.lit(cfg.straight_only) | (u("list") < 0.5)
+    drawn = F.lit(cfg.straight_only) | (u("coin") < 0.5)
+    pts = F.when((listed | drawn) if cfg.older else drawn, straight).otherwise(clamped_walk(between(u("ax"), x0, x1), between(u("ay"), y0, y1), steps, cfg.bounds))
     rows = rows.withColumn("geom", G.line(pts))
-    return rows.select("scene_id", "slot", F.when(F.size("geom.pts") == 2, "straight").otherwise("curly").alias("style"), "geom")
+    is_straight = listed if cfg.older else F.size("geom.pts") == 2
+    return rows.select("scene_id", "slot", F.when(is_straight, "straight").otherwise("curly").alias("style"), "geom")
 
 
 def random_polygons(spark: SparkSession, scenes: int, cfg: SceneConfig, seed: int) -> DataFrame:
-    """scene_id, slot, geom: the first valid ones of ten attempts for each polygon; a scene may have fewer."""
+    """scene_id, slot, geom: the first valid ones of some attempts for each polygon; a scene may have fewer."""
     x0, y0, x1, y1 = cfg.bounds
-    rows = spark.range(scenes).withColumnRenamed("id", "scene_id").withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(10 * max(1, cfg.polygons))))).where(F.lit(cfg.polygons > 0))
+    rows = spark.range(scenes).withColumnRenamed("id", "scene_id").withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(cfg.attempts_per_polygon * max(1, cfg.polygons))))).where(F.lit(cfg.polygons > 0))
     u = lambda *name: uniform(seed, F.col("scene_id"), F.col("attempt"), *name)
     low, high = cfg.vertices
     rows = rows.withColumn("nv", (F.lit(low) + F.floor(u("nv") * (high - low + 1))).cast("int")).withColumn("r", between(u("r"), *cfg.radius))
@@ -185,51 +193,18 @@ def contain(a: Column, b: Column, older: bool = False) -> Column:
     return moved_to(G.once(lambda f: G.scale(b, f, f), f), G.representative_point(a))
 
 
-def touch(a: Column, b: Column, u: Column, v: Column) -> Column:
-    """A vertex of B on a vertex of A."""
+def touch(a: Column, b: Column, u: Column, v: Column, older: bool = False) -> Column:
+    """A vertex of B on a vertex of A; older: a point of B's ring on one of A's."""
+    if older:
+        return moved_to(b, G.interpolate(a, u, True), G.interpolate(b, v, True))
     return moved_to(b, _edge(a, u)[0], _edge(b, v)[0])
 
 
-def line_into_polygon(line: Column, poly: Column) -> Column:
-    ratio = lambda lo, hi: F.when(line[hi] - line[lo] > 1e-6, 0.5 * (poly[hi] - poly[lo]) / (line[hi] - line[lo])).otherwise(1.0)
-    f = F.least(ratio("minx", "maxx"), ratio("miny", "maxy"))
-    return moved_to(G.scale(line, f, f), G.representative_point(poly))
-
-
-def point_into_polygon(poly: Column) -> Column:
-    p = G.representative_point(poly)
-    return G.point(p["x"], p["y"])
-
-
-def line_on_border(poly: Column, *us: Column) -> Column:
-    """Points at five distances along the ring (three between the first two), in the order of their coordinates."""
-    d1, d2 = us[0] * G.length(poly), us[1] * G.length(poly)
-    at = [d1, d2, *(between(u, F.least(d1, d2), F.greatest(d1, d2)) for u in us[2:5])]
-    return G.line(F.array_sort(F.array(*(G.interpolate(poly, d) for d in at))))
-
-
-def point_on_outline(g: Column, u: Column) -> Column:
-    p = G.interpolate(g, u, True)
-    return G.point(p["x"], p["y"])
-
-
-def line_through_polygon(poly: Column, u: Column, v: Column) -> Column:
-    """The chord of two ring points, half its length longer at both ends."""
-    p, q = G.interpolate(poly, u, True), G.interpolate(poly, v, True)
-    dx, dy = 0.5 * (q["x"] - p["x"]), 0.5 * (q["y"] - p["y"])
-    return G.line(F.array(G.xy(p["x"] - dx, p["y"] - dy), G.xy(q["x"] + dx, q["y"] + dy)))
-
-
-def cross_lines(a: Column, b: Column, u: Column, v: Column) -> Column:
-    """B's centroid at a distance of 0.2 to 0.8 units along A, then B turned by 30 to 150 degrees about it."""
-    p = G.interpolate(a, between(u, 0.2, 0.8))
-    return G.rotate(moved_to(b, p), between(v, 30.0, 150.0), p)
-
-
 def forced(pairs: DataFrame, cfg: SceneConfig, seed: int) -> DataFrame:
     """scene_id, slot, role, geom with the second of each pair made to fit the first.
 
-    Aligned and touching pairs take the first attempt that doesn't overlap, or stay as they are.
+    Aligned and touching pairs take the first attempt that doesn't overlap, or stay as they
+    are; older: touching pairs take the first attempt as it is.
     """
     first = pairs.where("role is not null and not second").select("scene_id", "pair", F.col("geom").alias("a"), F.col("slot").alias("slot_a"))
     second = pairs.where("role is not null and second").select("scene_id", "pair", "role", F.col("geom").alias("b"), F.col("slot").alias("slot_b"))
@@ -237,15 +212,15 @@ def forced(pairs: DataFrame, cfg: SceneConfig, seed: int) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     swap = (F.col("role") == "contained") & (G.area(a) < G.area(b))
     both = both.select("scene_id", "pair", "role", *(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("slot_a", "slot_b"), ("slot_b", "slot_a"))))
-    tries = F.when(F.col("role") == "aligned", cfg.align_attempts).when(F.col("role") == "touching", cfg.touch_attempts).otherwise(1)
+    tries = F.when(F.col("role") == "aligned", cfg.align_attempts).when(F.col("role") == "touching", 1 if cfg.older else cfg.touch_attempts).otherwise(1)
     tried = both.withColumn("attempt", F.explode(F.sequence(F.lit(1), tries)))
     u = lambda name: uniform(seed, F.col("scene_id"), F.col("pair"), F.col("attempt"), name)
     new = (
-        F.when(F.col("role") == "aligned", align(a, b, u("a"), u("b"), cfg.align_origin)).when(F.col("role") == "overlapping", overlap(a, b, u("a")))
-        .when(F.col("role") == "contained", contain(a, b)).otherwise(touch(a, b, u("a"), u("b")))
+        F.when(F.col("role") == "aligned", align(a, b, u("a"), u("b"), cfg.align_origin)).when(F.col("role") == "overlapping", overlap(a, b, u("a"), cfg.older))
+        .when(F.col("role") == "contained", contain(a, b, cfg.older)).otherwise(touch(a, b, u("a"), u("b"), cfg.older))
     )
     tried = tried.withColumn("new", F.explode(F.array(new)))
-    must = F.col("role").isin("aligned", "touching")
+    must = F.col("role").isin("aligned", *([] if cfg.older else ["touching"]))
     bad = holds("overlaps", relate(F.when(must, a), F.when(must, F.col("new"))), a, F.col("new"))
     tried = tried.withColumn("good", ~must | ~bad)
     same = [F.any_value(x).alias(x) for x in ("role", "a", "b", "slot_a", "slot_b")]
@@ -262,16 +237,19 @@ class _Placer:
         self.cfg, self.rng = cfg, np.random.default_rng([seed, scene])
         self.placed: list[tuple[str, str, list]] = []  # kind, style, vertices
 
-    def meets(self, kind: str, pts: list, others: list | None = None) -> bool:
-        xs, ys = [p[0] for p in pts], [p[1] for p in pts]
-        for k, _, q in self.placed if others is None else others:
-            ox, oy = [p[0] for p in q], [p[1] for p in q]
-            if min(xs) <= max(ox) and min(ox) <= max(xs) and min(ys) <= max(oy) and min(oy) <= max(ys):
-                as_dicts = lambda v: [{"x": x, "y": y} for x, y in v]
-                m = relate_values(kind, as_dicts(pts), k, as_dicts(q))
-                if not (m[0] == m[1] == m[3] == m[4] == "F"):
-                    return True
-        return False
+    def meets(self, kind: str, pts: list) -> bool:
+        """Whether a geometry meets any that is placed."""
+        xs, ys = (np.array(c) for c in zip(*pts))
+        near = []
+        for k, _, q in self.placed:
+            ox, oy = (np.array(c) for c in zip(*q))
+            if xs.min() <= ox.max() and ox.min() <= xs.max() and ys.min() <= oy.max() and oy.min() <= ys.max():
+                near.append((k, ox, oy))
+        if not near:
+            return False
+        kinds = np.array([k for k, *_ in near], dtype=object)
+        found = batch_matrices(np.full(len(near), kind, dtype=object), [xs] * len(near), [ys] * len(near), kinds, [x for _, x, _ in near], [y for *_, y in near])
+        return any(not (m[0] == m[1] == m[3] == m[4] == "F") for m in found)
 
     def polygon(self) -> list:
         c = self.cfg
@@ -282,10 +260,10 @@ class _Placer:
         ring = [(float(x + s * math.cos(t)), float(y + s * math.sin(t))) for s, t in zip(radii, angles)]
         return [*ring, ring[0]]
 
-    def line(self) -> tuple[str, list]:
+    def line(self, straight_only: bool = False) -> tuple[str, list]:
         c = self.cfg
         at = lambda: (float(self.rng.uniform(c.bounds[0], c.bounds[2])), float(self.rng.uniform(c.bounds[1], c.bounds[3])))
-        if c.straight_only or self.rng.random() < 0.5:
+        if straight_only or c.straight_only or self.rng.random() < 0.5:
             return "straight", [at(), at()]
         k = int(self.rng.integers(c.line_vertices[0], c.line_vertices[1] + 1))
         step, heading, pts = self.rng.uniform(*c.line_length) / k, self.rng.uniform(0, 2 * math.pi), [at()]
@@ -324,16 +302,16 @@ def _place(cfg: SceneConfig, seed: int):
         polygons, lines, points = [final[s] for s in sorted(final)], [], []
         todo = c.lines
         for _ in range(int(c.lines * c.crossing / 2)):
+            a, b = crossing_lines(p.line(True)[1], p.line(True)[1], p.rng)
             for _ in range(c.placement_attempts):
-                (_, a), (_, b) = p.line(), p.line()
-                mid = lambda q: tuple(np.mean(np.array(q), axis=0))
-                (ax, ay), (bx, by), t = mid(a), mid(b), math.radians(p.rng.uniform(30, 150))
-                b = [(float(ax + (x - bx) * math.cos(t) - (y - by) * math.sin(t)), float(ay + (x - bx) * math.sin(t) + (y - by) * math.cos(t))) for x, y in b]
                 if not p.meets(G.LINE, a) and not p.meets(G.LINE, b):
                     lines += [("crossing_line", a), ("crossing_line", b)]
                     p.placed += [(G.LINE, "crossing_line", a), (G.LINE, "crossing_line", b)]
                     todo -= 2
                     break
+                # The pair moves as a whole.
+                (ox, oy), x, y = _centre(a, b), p.rng.uniform(c.bounds[0], c.bounds[2]), p.rng.uniform(c.bounds[1], c.bounds[3])
+                a, b = ([(float(u + x - ox), float(v + y - oy)) for u, v in q] for q in (a, b))
         pick = lambda some: some[int(p.rng.integers(len(some)))]
         for _ in range(todo):
             kind, got = None, None
@@ -368,9 +346,22 @@ def _place(cfg: SceneConfig, seed: int):
     return run
 
 
-def _along(pts: list, share: float) -> tuple[float, float]:
+def _centre(*lines: list) -> tuple[float, float]:
+    """The centroid of lines, by length; the first vertex where they have none."""
+    parts = [(math.dist(p, q), p, q) for pts in lines for p, q in zip(pts, pts[1:])]
+    whole = sum(d for d, *_ in parts)
+    return tuple(sum(d * (p[i] + q[i]) / 2 for d, p, q in parts) / whole for i in (0, 1)) if whole else lines[0][0]
+
+
+def crossing_lines(a: list, b: list, rng: np.random.Generator) -> tuple[list, list]:
+    """B's centroid 0.2 to 0.8 units along A, then B turned by 30 to 150 degrees about it."""
+    (x, y), (ox, oy), t = _along(a, rng.uniform(0.2, 0.8), False), _centre(b), math.radians(rng.uniform(30, 150))
+    return a, [(float(x + (u - ox) * math.cos(t) - (v - oy) * math.sin(t)), float(y + (u - ox) * math.sin(t) + (v - oy) * math.cos(t))) for u, v in b]
+
+
+def _along(pts: list, share: float, normalized: bool = True) -> tuple[float, float]:
     spans = [math.dist(a, b) for a, b in zip(pts, pts[1:])]
-    left = share * sum(spans)
+    left = share * sum(spans) if normalized else share
     for (ax, ay), (bx, by), d in zip(pts, pts[1:], spans):
         if left <= d and d:
             return ax + left / d * (bx - ax), ay + left / d * (by - ay)
@@ -390,8 +381,8 @@ def _inner(ring: list) -> tuple[float, float]:
 def _line_on(kind: str, line: list, ring: list, rng: np.random.Generator) -> list:
     if kind == "in_poly":
         size = lambda q, i: max(v[i] for v in q) - min(v[i] for v in q)
-        f = min(0.5 * size(ring, i) / size(line, i) if size(line, i) > 1e-6 else 1.0 for i in (0, 1))
-        (cx, cy), (tx, ty) = tuple(np.mean(np.array(line), axis=0)), _inner(ring)
+        f = min(0.5 * size(ring, i) / (size(line, i) if size(line, i) > 1e-6 else 1.0) for i in (0, 1))
+        (cx, cy), (tx, ty) = _centre(line), _inner(ring)
         return [(float(tx + f * (x - cx)), float(ty + f * (y - cy))) for x, y in line]
     if kind == "on_poly_border":
         lo, hi = sorted(rng.random(2))

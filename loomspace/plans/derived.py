@@ -68,3 +68,13 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda df, kind, first: df.select(F.col("scene").alias("scene_id"), F.lit(first).alias("first"), "id", F.concat(F.lit(kind), F.col("id").cast("string")).alias("name"), "geom")
     rows = one(squares(spark, sf_dir), "POLYGON_", 0).unionByName(one(points(spark, sf_dir), "POINT_", 1))
     return rows.select("scene_id", F.row_number().over(W.partitionBy("scene_id").orderBy("first", "id")).cast("int").alias("ord"), "name", "geom")
+
+
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scene_id, ord, name, geom: squares, then level lines of suppliers on forty heights, of each of five scenes."""
+    k = F.col("s_suppkey")
+    x, y = ((k * 6151) % 900).cast("double"), (((k * 3571) % 40) * 20).cast("double") + 0.5
+    level = _boxed(table(spark, sf_dir, "supplier").select(k.alias("id"), G.line(F.array(G.xy(x, y), G.xy(x + 100, y))).alias("geom")))
+    one = lambda df, kind, first: df.select((F.col("id") % 5).alias("scene_id"), F.lit(first).alias("first"), "id", F.concat(F.lit(kind), F.col("id").cast("string")).alias("name"), "geom")
+    rows = one(squares(spark, sf_dir), "POLYGON_", 0).unionByName(one(level, "LINE_", 1))
+    return rows.select("scene_id", F.row_number().over(W.partitionBy("scene_id").orderBy("first", "id")).cast("int").alias("ord"), "name", "geom")

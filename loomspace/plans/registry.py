@@ -96,6 +96,15 @@ def vertex_counts(spark: SparkSession, d: str) -> DataFrame:
     return derived.shapes(spark, d).select("id", G.vertex_count(g).alias("vertices"), G.geom_type(g).alias("geom_type"), G.is_valid(g).alias("valid"))
 
 
+@query(f"WITH {SHP} SELECT id, k <> 1 AS valid FROM shp")
+def ring_validity(spark: SparkSession, d: str) -> DataFrame:
+    """The derived rings, those of diamonds with two vertices exchanged, so that their edges cross."""
+    pts = F.col("geom")["pts"]
+    bow = F.array(pts[0], pts[2], pts[1], pts[3], pts[0])
+    ring = F.when(F.col("k") == 1, bow).otherwise(pts)
+    return derived.shapes(spark, d).select("id", ring.alias("ring")).select("id", G.is_valid(G.polygon(F.col("ring"))).alias("valid"))
+
+
 _TXT = "CAST(CAST(vx AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(vy AS BIGINT) AS VARCHAR)"
 
 
@@ -231,10 +240,13 @@ def st_touches_boxes(spark: SparkSession, d: str) -> DataFrame:
     return _square_pairs(spark, d, "touches")
 
 
-@query(BOX + "SELECT id, true AS inner_within, true AS outer_contains, false AS inner_overlaps FROM sq")
+@query(BOX + """, two AS (SELECT id, x + (id%4)*w/4 AS ix, w/2 AS iw, x, w FROM sq)
+SELECT id, ix+iw <= x+w AS inner_within, ix+iw <= x+w AS outer_contains, ix+iw > x+w AS inner_overlaps FROM two""")
 def st_within_nested_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of half the size, moved to the right by quarters: three of four lie within, the last reaches over the edge."""
     g = F.col("geom")
-    inner = G.scale(g, F.lit(0.5), F.lit(0.5))
+    small = G.scale(g, F.lit(0.5), F.lit(0.5), F.element_at(g["pts"], 1))
+    inner = G.translate(small, (F.col("id") % 4) * (g["maxx"] - g["minx"]) / 4, F.lit(0.0))
     rows = derived.squares(spark, d).select("id", inner.alias("a"), g.alias("b")).withColumn("m", relate(F.col("a"), F.col("b"))).withColumn("t", relate(F.col("b"), F.col("a")))
     a, b = F.col("a"), F.col("b")
     return rows.select("id", holds("within", F.col("m"), a, b).alias("inner_within"), holds("contains", F.col("t"), b, a).alias("outer_contains"), holds("overlaps", F.col("m"), a, b).alias("inner_overlaps"))
@@ -279,7 +291,7 @@ def like_type_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _emitted(spark: SparkSession, d: str, sql: str) -> DataFrame:
-    return sqlfront.run(spark, sql, {"generated_geometries": derived.generated_geometries(spark, d)})[0]
+    return sqlfront.run(spark, sql, {"generated_geometries": derived.generated_geometries(spark, d)}, analyze=False)[0]
 
 
 def _question(spark: SparkSession, a: str, r1: str, b: str, r2: str, c: str, kind: str) -> str:
@@ -288,23 +300,23 @@ def _question(spark: SparkSession, a: str, r1: str, b: str, r2: str, c: str, kin
     return make(row, "generated_geometries").first().sql
 
 
-_NEAR3 = f"near AS (SELECT b.* FROM sq a JOIN sq b ON a.id = 3 AND {_MEET})"
+_NEAR = f"near AS (SELECT b.* FROM sq a JOIN sq b ON a.id = 1026 AND {_MEET})"
 
 
-@query(f"WITH {PTS}, {SHP}, {SQ}, {_NEAR3} SELECT DISTINCT 'POINT_' || p.id AS name FROM pts p JOIN near n ON p.x > n.x AND p.x < n.x+n.w AND p.y > n.y AND p.y < n.y+n.w")
+@query(f"WITH {PTS}, {SHP}, {SQ}, {_NEAR} SELECT DISTINCT 'POINT_' || p.id AS name FROM pts p JOIN near n ON p.x > n.x AND p.x < n.x+n.w AND p.y > n.y AND p.y < n.y+n.w")
 def cte_chain_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return _emitted(spark, d, _question(spark, "POINT_1", "within", "POLYGON_1", "intersect", "POLYGON_3", "chain"))
+    return _emitted(spark, d, _question(spark, "POINT_1", "within", "POLYGON_1", "intersect", "POLYGON_1026", "chain"))
 
 
-@query(f"WITH {SHP}, {SQ} SELECT 'POLYGON_' || b.id AS name FROM sq a JOIN sq b ON a.id = 3 AND {_MEET} INTERSECT SELECT 'POLYGON_' || b.id FROM sq a JOIN sq b ON a.id = 6 AND NOT ({_MEET})")
+@query(f"WITH {SHP}, {SQ} SELECT 'POLYGON_' || b.id AS name FROM sq a JOIN sq b ON a.id = 1026 AND {_MEET} INTERSECT SELECT 'POLYGON_' || b.id FROM sq a JOIN sq b ON a.id = 6 AND NOT ({_MEET})")
 def multi_condition_intersect(spark: SparkSession, d: str) -> DataFrame:
-    return _emitted(spark, d, _question(spark, "POLYGON_1", "intersect", "POLYGON_3", "disjoint", "POLYGON_6", "multi"))
+    return _emitted(spark, d, _question(spark, "POLYGON_1", "intersect", "POLYGON_1026", "disjoint", "POLYGON_6", "multi"))
 
 
-@query(f"WITH {PTS}, {SHP}, {SQ}, {_NEAR3} SELECT 'POLYGON_' || n.id AS name FROM near n JOIN sq t ON t.id = 6 AND n.id <> 3 AND NOT (t.x <= n.x+n.w AND n.x <= t.x+t.w AND t.y <= n.y+n.w AND n.y <= t.y+t.w) UNION ALL SELECT 'POINT_' || p.id FROM pts p JOIN sq a ON a.id = 3 AND p.x BETWEEN a.x AND a.x+a.w AND p.y BETWEEN a.y AND a.y+a.w JOIN sq t ON t.id = 6 AND NOT (p.x BETWEEN t.x AND t.x+t.w AND p.y BETWEEN t.y AND t.y+t.w)")
+@query(f"WITH {PTS}, {SHP}, {SQ}, {_NEAR} SELECT 'POLYGON_' || n.id AS name FROM near n JOIN sq t ON t.id = 6 AND n.id <> 1026 AND NOT (t.x <= n.x+n.w AND n.x <= t.x+t.w AND t.y <= n.y+n.w AND n.y <= t.y+t.w) UNION ALL SELECT 'POINT_' || p.id FROM pts p JOIN sq a ON a.id = 1026 AND p.x BETWEEN a.x AND a.x+a.w AND p.y BETWEEN a.y AND a.y+a.w JOIN sq t ON t.id = 6 AND NOT (p.x BETWEEN t.x AND t.x+t.w AND p.y BETWEEN t.y AND t.y+t.w)")
 def placeholder_two_step_bag(spark: SparkSession, d: str) -> DataFrame:
-    every = questions.placeholder_questions(spark, "generated_geometries", "geom", ("POLYGON_3", "POLYGON_6"))
-    return _emitted(spark, d, every.where("e1 = 'POLYGON_3' AND r1 = 'intersects' AND r2 = 'disjoint'").first().sql)
+    every = questions.placeholder_questions(spark, "generated_geometries", "geom", ("POLYGON_1026", "POLYGON_6"))
+    return _emitted(spark, d, every.where("e1 = 'POLYGON_1026' AND r1 = 'intersects' AND r2 = 'disjoint'").first().sql)
 
 
 # ---- the relation finder
@@ -345,6 +357,24 @@ def relation_finder_ogc(spark: SparkSession, d: str) -> DataFrame:
     return relations.find(derived.scenes(spark, d), "ogc", _chosen)
 
 
+_TRACKS = """trk AS (SELECT scene, CAST(row_number() OVER (PARTITION BY scene ORDER BY first, id) AS INT) AS ord, kind || '_' || id AS name, kind, x, y, w FROM (
+  SELECT id%5 AS scene, 0 AS first, id, 'POLYGON' AS kind, x, y, w FROM sq
+  UNION ALL SELECT s_suppkey%5, 1, s_suppkey, 'LINE', CAST((s_suppkey*6151)%900 AS DOUBLE), CAST(((s_suppkey*3571)%40)*20 AS DOUBLE) + 0.5, 100 FROM supplier))"""
+
+
+@query(f"""WITH {SHP}, {SQ}, {_TRACKS}, prs AS (SELECT a.scene, a.ord AS ao, b.ord AS bo, a.name AS an, b.name AS bn, a.kind AS ak, a.x AS ax, a.y AS ay, a.w AS aw, b.x AS bx, b.y AS by_ FROM trk a JOIN trk b ON a.scene = b.scene AND a.ord < b.ord AND b.kind = 'LINE'),
+mix AS (SELECT *, ax < bx+100 AND bx < ax+aw AS through FROM prs WHERE ak = 'POLYGON' AND ay < by_ AND by_ < ay+aw AND ax <= bx+100 AND bx <= ax+aw),
+two AS (SELECT *, abs(ax-bx) AS dx FROM prs WHERE ak = 'LINE' AND ay = by_ AND ax <> bx)
+SELECT scene AS scene_id, ao AS a_ord, bo AS b_ord, 3 AS step, bn AS a, an AS b, 'cross' AS rel FROM mix WHERE through
+UNION ALL SELECT scene, ao, bo, 4, an, bn, 'touches' FROM mix
+UNION ALL SELECT scene, ao, bo, 2, an, bn, 'overlaps' FROM two WHERE dx < 100
+UNION ALL SELECT scene, ao, bo, 4, an, bn, 'touches' FROM two WHERE dx <= 100""")
+def relation_finder_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Level lines among squares, and among each other: crossings, contacts, and shared parts. Pairs of squares are left out."""
+    found = relations.find(derived.tracks(spark, d), "compat", rate=0)
+    return found.where(F.col("a").startswith("LINE") | F.col("b").startswith("LINE"))
+
+
 @query(_finder("compat") + "SELECT rel, count(*) AS n FROM fnd GROUP BY rel")
 def relation_label_counts(spark: SparkSession, d: str) -> DataFrame:
     return relation_finder_compat(spark, d).groupBy("rel").agg(F.count("a").alias("n"))
@@ -353,17 +383,12 @@ def relation_label_counts(spark: SparkSession, d: str) -> DataFrame:
 # ---- questions
 
 
-def _all_triples(spark: SparkSession, d: str) -> DataFrame:
+def _triples(spark: SparkSession, d: str) -> DataFrame:
     """All of the finder's triples, renamed to the questions' labels."""
     return questions.known_triples(tables.numbered(relation_finder_compat(spark, d)), normalize=True)
 
 
-def _triples(spark: SparkSession, d: str) -> DataFrame:
-    """The finder's triples without the disjoint ones, as in the SQL below, renamed to the questions' labels."""
-    return questions.known_triples(tables.numbered(relations.find(derived.scenes(spark, d), "compat", rate=0)), normalize=True)
-
-
-_KNOWN = _finder("compat") + ", tri AS (SELECT scene, row_number() OVER (PARTITION BY scene ORDER BY ao, bo, step, a, b) AS id, a, b, CASE rel WHEN 'contains' THEN 'contain' WHEN 'overlaps' THEN 'overlap' ELSE rel END AS rel FROM (SELECT * FROM fnd WHERE rel NOT IN ('disjoint'))), kno AS (SELECT * FROM tri WHERE rel IN ('within', 'contain', 'overlap')) "
+_KNOWN = _finder("compat") + ", tri AS (SELECT scene, row_number() OVER (PARTITION BY scene ORDER BY ao, bo, step, a, b) AS id, a, b, CASE rel WHEN 'contains' THEN 'contain' WHEN 'overlaps' THEN 'overlap' ELSE rel END AS rel FROM fnd), kno AS (SELECT * FROM tri WHERE rel IN ('within', 'contain', 'overlap', 'disjoint')) "
 
 
 @query(_KNOWN + "SELECT rel, split_part(a, '_', 1) AS subject, count(*) AS n FROM kno GROUP BY ALL")
@@ -441,22 +466,52 @@ def random_generators(spark: SparkSession, d: str) -> DataFrame:
     return p.unionByName(generate.random_lines(spark, 8, 3, cfg, 3)).unionByName(generate.random_polygons(spark, 8, cfg, 3).select("scene_id", "slot", F.lit("irregular").alias("style"), "geom"))
 
 
-@query()
+def _tabled(spark: SparkSession, d: str) -> DataFrame:
+    """The derived scenes as the table of geometries."""
+    style = F.when(F.col("geom.kind") == G.POLYGON, "regular").otherwise("point")
+    return generate.geometry_table(derived.scenes(spark, d).select("scene_id", "ord", "name", style.alias("style"), "geom"))
+
+
+_INT = lambda e: f"CAST(CAST({e} AS BIGINT) AS VARCHAR)"
+_SQUARE = (("x", "y"), ("x+w", "y"), ("x+w", "y+w"), ("x", "y+w"), ("x", "y"))
+_WKT = "CASE kind WHEN 'POLYGON' THEN 'POLYGON ((' || " + " || ', ' || ".join(f"{_INT(x)} || ' ' || {_INT(y)}" for x, y in _SQUARE) + f" || '))' ELSE 'POINT (' || {_INT('x')} || ' ' || {_INT('y')} || ')' END"
+
+
+@query(f"""WITH {PTS}, {SHP}, {SQ}, {_GEO} SELECT scene AS scene_id, CAST(CASE kind WHEN 'POLYGON' THEN 0 ELSE 1 END AS INT) AS kind_order, ord,
+  'INSERT INTO generated_geometries (name, geom_type, style, vertices, geom) VALUES (''' || name || ''', ' || CASE kind WHEN 'POLYGON' THEN '''Polygon'', ''regular'', 4' ELSE '''Point'', ''point'', 1' END || ', ST_GeomFromText(''' || {_WKT} || '''));' AS sql FROM geo""")
 def insert_sql_text(spark: SparkSession, d: str) -> DataFrame:
-    return tables.insert_sql(generate.scenes(spark, 4))
+    return tables.insert_sql(_tabled(spark, d))
 
 
-@query()
+_XY = lambda x, y: f"CAST({x} AS VARCHAR) || ',' || CAST({y} AS VARCHAR)"
+_ELEMENT = (
+    "CASE kind WHEN 'POLYGON' THEN '<polygon points=\"' || " + " || ' ' || ".join(_XY(x, y) for x, y in _SQUARE) + " || '\" fill=\"hsl(' || CAST((ord*137)%360 AS VARCHAR) || ',60%,60%)\" fill-opacity=\"0.6\" stroke=\"black\"/>' "
+    "ELSE '<circle cx=\"' || CAST(x AS VARCHAR) || '\" cy=\"' || CAST(y AS VARCHAR) || '\" r=\"2\" fill=\"black\"/>' END"
+)
+
+
+@query(f"""WITH {PTS}, {SHP}, {SQ}, {_GEO}, drawn AS (SELECT scene, {_ELEMENT} AS element, row_number() OVER (PARTITION BY scene ORDER BY CASE kind WHEN 'POLYGON' THEN 0 ELSE 2 END, w*w DESC, ord) AS z FROM geo)
+SELECT scene AS scene_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1000 1000">' || chr(10) || string_agg(element, chr(10) ORDER BY z) || chr(10) || '</svg>' AS svg FROM drawn GROUP BY scene""")
 def render_svg(spark: SparkSession, d: str) -> DataFrame:
-    return tables.svg(generate.scenes(spark, 4))
+    return tables.svg(_tabled(spark, d), (0, 0, 1000, 1000))
 
 
 @query()
 def question_report(spark: SparkSession, d: str) -> DataFrame:
-    return questions.report(questions.one_question(_all_triples(spark, d), seed=1).where("error is null"))
+    return questions.report(questions.one_question(_triples(spark, d), seed=1).where("error is null"))
 
 
-@query()
+_ENTITIES = "ent AS (SELECT unnest(['Polygon_A', 'Polygon_B', 'Point_C', 'Line_D']) AS e)"
+_RELS = "rels AS (SELECT unnest(['intersects', 'contains', 'within', 'overlaps', 'touches', 'disjoint', 'crosses']) AS r, unnest(['ST_Intersects', 'ST_Contains', 'ST_Within', 'ST_Overlaps', 'ST_Touches', 'ST_Disjoint', 'ST_Crosses']) AS f)"
+_FILLED = "'" + questions.PLACEHOLDER_SQL.replace("'", "''") + "'"
+for _name, _value in {"e1": "e1", "e2": "e2", "f1": "f1", "f2": "f2", "table": "'parcels'", "geom": "'shape_geom'"}.items():
+    _FILLED = f"replace({_FILLED}, '{{{_name}}}', {_value})"
+
+
+@query(f"""WITH {_ENTITIES}, {_RELS}, every AS (SELECT a.e AS e1, b.e AS e2, p.r AS r1, q.r AS r2, p.f AS f1, q.f AS f2 FROM ent a JOIN ent b ON a.e <> b.e CROSS JOIN rels p CROSS JOIN rels q)
+SELECT e1, e2, r1, r2, 'Question: Which objects in the database ' || r2 || ' the ''' || e2 || ''', but also ' || r1 || ' the ''' || e1 || '''? List only the names of the resulting polygons.' AS question,
+  ['Step 1 (Filtering by ' || e1 || '): Identify the set of all shape(s) that have a ''' || r1 || ''' topological relationship with the ''' || e1 || '''', 'Step 2 (Filtering by ' || e2 || '): From the results of Step 1 further filter this set to include only the polygons that also have a ''' || r2 || ''' topological relationship with the ''' || e2 || '''.', 'Step 3 (Output): Return the names of the shape(s) remaining after both filtering steps.'] AS reasoning,
+  {_FILLED} AS sql FROM every""")
 def placeholder_question_text(spark: SparkSession, d: str) -> DataFrame:
     return questions.placeholder_questions(spark, "parcels", "shape_geom")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,20 +11,33 @@ from loomspace.operators.predicates import register
 
 _PREFIX = re.compile(r"^\s*EXPLAIN\s*(?:\([^)]*\)|ANALYZE\b)?\s*", re.I)
 
+_ANALYZE = re.compile(r"^\s*EXPLAIN\s*(?:\([^)]*\bANALYZE\b[^)]*\)|ANALYZE\b)", re.I)
+
 
 def strip_explain(sql: str) -> tuple[str, bool]:
     body = _PREFIX.sub("", sql, count=1)
     return body.strip().rstrip(";").strip(), body != sql
 
 
-def run(spark: SparkSession, sql: str, views: dict[str, DataFrame] | None = None, args: dict | None = None) -> tuple[DataFrame, str | None]:
-    """The result, and the formatted plan if the text asks for one. views: tables by the names that the text uses."""
+def run(spark: SparkSession, sql: str, views: dict[str, DataFrame] | None = None, args: dict | None = None, analyze: bool = True) -> tuple[DataFrame, str | None]:
+    """The result, and a report if the text asks for a plan. views: tables by the names that the text uses.
+
+    ANALYZE runs the plan: the report is its rows and seconds, and the plan as it was carried
+    out in the end.  Without it, or with analyze=False, the plan is that before a run.
+    """
     register(spark)
     for name, df in (views or {}).items():
         df.createOrReplaceTempView(name)
     body, explained = strip_explain(sql)
     df = spark.sql(body, args=args) if args else spark.sql(body)
-    return df, df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")) if explained else None
+    if not explained:
+        return df, None
+    ran, plan = df._jdf.queryExecution(), spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    if not analyze or not _ANALYZE.match(sql):
+        return df, ran.explainString(plan)
+    began = time.time()
+    rows = ran.toRdd().count()
+    return df, f"rows: {rows}\nseconds: {time.time() - began:.3f}\n== Physical Plan ==\n{ran.executedPlan().toString()}"
 
 
 def version(spark: SparkSession) -> DataFrame:

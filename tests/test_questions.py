@@ -79,3 +79,35 @@ def test_files_and_scenes(spark, triples, tmp_path):
     assert tables.svg(g).first().svg.startswith("<svg")
     with pytest.raises(ValueError):
         SceneConfig(polygons=3, contained=2).check()
+
+
+def test_files_of_several_scenes_and_the_spread_form(spark, tmp_path):
+    rows = [(s, i, f"A_{i}", f"B_{s}", "within") for s in range(5) for i in range(1, 4)]
+    df = spark.createDataFrame(rows, "scene_id long, id long, a string, b string, rel string").coalesce(1)
+    tables.write_relationships(df.repartition(1), str(tmp_path / "r"))
+    assert sorted(map(tuple, tables.read_relationships(spark, str(tmp_path / "r")).collect())) == rows
+    (tmp_path / "one.json").write_text('{\n  "relationships": [\n    [\n      "A_1",\n      "B_1",\n      "touches"\n    ],\n    ["A_2", "B_1", "cross"]\n  ]\n}\n')
+    assert sorted(map(tuple, tables.read_relationships(spark, str(tmp_path / "one.json")).collect())) == [(0, 1, "A_1", "B_1", "touches"), (0, 2, "A_2", "B_1", "cross")]
+    (tmp_path / "mixed").mkdir()
+    (tmp_path / "mixed" / "a.json").write_text((tmp_path / "one.json").read_text())
+    (tmp_path / "mixed" / "b.json").write_text('{"scene_id": 7, "relationships": [["X_1", "Y_1", "within"]]}\n\n{"scene_id": 8, "relationships": []}\n')
+    assert tables.read_relationships(spark, str(tmp_path / "mixed")).count() == 3
+
+
+def test_analyze_runs_the_plan(spark):
+    from loomspace.plans import sqlfront
+
+    spark.range(10).createOrReplaceTempView("ten")
+    df, report = sqlfront.run(spark, "EXPLAIN (ANALYZE, BUFFERS) SELECT id % 3 AS k, count(*) AS n FROM ten GROUP BY 1;")
+    assert df.count() == 3 and report.startswith("rows: 3\nseconds: ") and "isFinalPlan=true" in report
+    assert "Physical Plan" in sqlfront.run(spark, "EXPLAIN SELECT 1 AS one")[1] and sqlfront.run(spark, "SELECT 1 AS one")[1] is None
+
+
+def test_dataset(spark):
+    data = tables.SpatialDataset(spark, "mix", 2, SceneConfig(polygons=3, contained=1, lines=2, points=3), seed=4)
+    found = data.relationships(rate=0.5).cache()
+    assert found.columns == ["scene_id", "id", "a", "b", "rel"] and found.count() > 0
+    assert data.questions(normalize=True).columns[:2] == data.questions().columns[:2]
+    assert {r.geom_type for r in tables.SpatialDataset(spark, "polygon", 1, SceneConfig(polygons=2, contained=0)).geometries.collect()} == {"Polygon"}
+    with pytest.raises(ValueError):
+        tables.SpatialDataset(spark, "other")
