@@ -90,8 +90,9 @@ def features(samples: bytes) -> str:
     return f"rows={len(x)};mean={x.mean():.4f};std={x.std():.4f};grad={np.packbits(bits).tobytes().hex()}"
 
 
-_STORE = "digest string, media binary, n long"
-_SEEN = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+# Digests are bytes while they travel; results write them in hex.
+_STORE = "digest binary, media binary, n long"
+_SEEN = "digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,10 +102,10 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text in b.column(0).slice(at, 256).to_pylist():
                 p = payload(text)
                 for samples in (p, p[-WIDTH:]):
-                    held.setdefault(hashlib.sha256(samples).hexdigest(), [samples, 0])[1] += 1
+                    held.setdefault(hashlib.sha256(samples).digest(), [samples, 0])[1] += 1
             digests = list(held)
             media = [encode_png(held[d][0]) for d in digests]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary()), pa.array([held[d][1] for d in digests], pa.int64())], names=["digest", "media", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(media, pa.binary()), pa.array([held[d][1] for d in digests], pa.int64())], names=["digest", "media", "n"])
     trim()
 
 
@@ -122,8 +123,8 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d, stored in zip(b.column(0).to_pylist(), b.column(1)):
             stored = stored.as_py()
             p = decode_png(stored)
-            rows.append((d, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), features(p)))
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            rows.append((d, len(p), hashlib.sha256(p).digest(), zlib.crc32(p[-WIDTH:]), len(stored), hashlib.sha256(stored).digest(), features(p)))
+        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
         cols = list(zip(*rows)) if rows else [[]] * 7
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in _SEEN.split(", ")])
     trim()
@@ -190,13 +191,21 @@ def interleaved(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return rows.select("id", F.explode("pieces").alias("s")).select("id", "s.*")
 
 
+def _hex(c: str) -> Column:
+    return F.lower(F.hex(c))
+
+
+def _joined(pieces: DataFrame, media: DataFrame, hot: DataFrame) -> DataFrame:
+    return salted_join(pieces.withColumn("digest", F.unhex("digest")), media, "digest", hot, "left")
+
+
 def resolve(pieces: DataFrame, media: DataFrame, hot: DataFrame) -> DataFrame:
     """The pieces with the columns of the media row that their digest names.
 
     media: one row per digest.  hot: digests of very many pieces (see hot_keys), which are
     dealt to copies of their media row.
     """
-    return salted_join(pieces, media, "digest", hot, "left")
+    return _joined(pieces, media, hot).withColumns({c: _hex(c) for c in ("digest", "payload_sha256", "media_sha256")})
 
 
 def as_page(text: Column, digest: Column, tail: Column, n_bytes: Column) -> Column:
@@ -223,9 +232,13 @@ def documents_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), size.cast("long").alias("n_bytes"), body.alias("body"), samples.alias("samples"))
     page = as_page(F.col("body"), F.sha2("samples", 256), F.sha2(F.substring(F.col("samples"), -WIDTH, WIDTH), 256), F.col("n_bytes"))
     pages = sequences(rows.select("row", "doc_id", "n_bytes", page.alias("html")), "html")
-    pieces = pages.select("row", "doc_id", "n_bytes", F.size("pieces").alias("n_pieces"), F.explode(F.filter("pieces", lambda p: p["kind"] == "media")).alias("s"))
-    pieces = pieces.select("row", "doc_id", "n_bytes", "n_pieces", "s.pos", "s.caption", "s.digest")
-    found = resolve(pieces, read_back(stored), hot)
-    image = F.struct("pos", "caption", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    both = found.groupBy("row", "doc_id", "n_bytes", "n_pieces").agg(F.min(image).alias("image"), F.max(F.struct("pos", "caption", "tail_crc32")).alias("end"))
-    return both.select("doc_id", "n_bytes", "n_pieces", "image.pos", "image.caption", F.col("end.pos").alias("end_pos"), F.col("end.caption").alias("end_caption"), "image.payload_bytes", "image.payload_sha256", "end.tail_crc32", "image.media_bytes", "image.media_sha256", "image.feature")
+    # A page has two references: the whole image's and its end's.
+    pieces = pages.select("row", "doc_id", "n_bytes", F.size("pieces").alias("n_pieces"), F.posexplode(F.filter("pieces", lambda p: p["kind"] == "media")).alias("k", "s"))
+    found = _joined(pieces.select("row", "doc_id", "n_bytes", "n_pieces", "k", "s.pos", "s.caption", "s.digest"), read_back(stored), hot)
+    image = F.when(F.col("k") == 0, F.struct("pos", "caption", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256", "feature"))
+    end = F.when(F.col("k") == 1, F.struct("pos", "caption", "tail_crc32"))
+    both = found.groupBy("row", "doc_id", "n_bytes", "n_pieces").agg(F.max(image).alias("image"), F.max(end).alias("end"))
+    return both.select(
+        "doc_id", "n_bytes", "n_pieces", "image.pos", "image.caption", F.col("end.pos").alias("end_pos"), F.col("end.caption").alias("end_caption"), "image.payload_bytes",
+        _hex("image.payload_sha256").alias("payload_sha256"), "end.tail_crc32", "image.media_bytes", _hex("image.media_sha256").alias("media_sha256"), "image.feature",
+    )

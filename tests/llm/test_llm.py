@@ -278,8 +278,8 @@ def test_interleaved_pages_resolve_in_their_order(spark):
     image = lambda d, caption: f"<figure><img src='sha256:{d}'><figcaption>{caption}</figcaption></figure>"
     pages = [(1, f"<p>A{image(digest[1], 'second')}B</p>{image(digest[0], 'first')}<p>C"), (2, image("f" * 64, "lost")), (3, None), *((10 + i, f"<p>{i}</p>{image(digest[0], 'hot')}") for i in range(200))]
     pieces = media.interleaved(spark.createDataFrame(pages, "page_id long, html string"), "page_id", "html").repartition(3)
-    for hot in ([], [(digest[0],)]):
-        got = media.resolve(pieces, media.read_back(stored), spark.createDataFrame(hot, "hot string")).collect()
+    for hot in ([], [(bytearray.fromhex(digest[0]),)]):
+        got = media.resolve(pieces, media.read_back(stored), spark.createDataFrame(hot, "hot binary")).collect()
         assert len(got) == 5 + 1 + 400
         first = sorted((r.pos, r.kind, r.text, r.caption, r.payload_sha256) for r in got if r.id == 1)
         assert first == [(0, "text", "A", None, None), (1, "media", None, "second", digest[1]), (2, "text", "B", None, None), (3, "media", None, "first", digest[0]), (4, "text", "C", None, None)]
