@@ -125,8 +125,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         known = known.where(learn("id"))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     known = sampled(known, "id", known.count(), max_train_rows).limit(2 * max_train_rows)
-    rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).join(F.broadcast(known), "id").select("text", "y", F.xxhash64("id", "text").alias("o"))
-    return rows.dropDuplicates(["o"]).orderBy("o").limit(max_train_rows).select("text", "y")
+    rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).join(F.broadcast(known), "id").select("text", "y", F.xxhash64("id", "text").alias("o"), F.xxhash64("id").alias("by_id"))
+    # Sampled by rows, in one partition then, and given in the order of ids' hashes.
+    return rows.dropDuplicates(["o"]).orderBy("o").limit(max_train_rows).sortWithinPartitions("by_id", F.xxhash64("text")).select("text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn=None, max_train_rows: int = MAX_TRAIN_ROWS, bits: int = BITS, **options) -> DataFrame:
