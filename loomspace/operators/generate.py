@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from loomspace.functions import geometry as G
 from loomspace.functions.relate import batch_matrices
 
+from .order import block_of, numbered
 from .predicates import holds, relate
 
 
@@ -415,5 +416,5 @@ def geometry_table(rows: DataFrame) -> DataFrame:
 def named(rows: DataFrame) -> DataFrame:
     """rows (scene_id, ord, geom) with names by kind, in the order of ord."""
     kind = F.when(F.col("geom.kind") == G.LINE, "LINE").otherwise(F.upper("geom.kind"))
-    number = F.row_number().over(W.partitionBy("scene_id", "geom.kind").orderBy("ord"))
-    return rows.withColumn("name", F.concat_ws("_", kind, number))
+    placed = numbered(rows.withColumn("_kind", kind), ["scene_id", "_kind"], [block_of(F.col("ord"))], ["ord"], "_number")
+    return placed.withColumn("name", F.concat_ws("_", "_kind", "_number")).drop("_kind", "_number")

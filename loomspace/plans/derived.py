@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from loomspace.functions import geometry as G
+from loomspace.operators.order import block_of, numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,11 +63,23 @@ def generated_geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one(squares(spark, sf_dir), "POLYGON_").unionByName(one(points(spark, sf_dir), "POINT_"))
 
 
+def _in_order(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    placed = numbered(rows, ["scene_id"], [F.col("first"), block_of(F.col("id"))], ["id"], "place", keys)
+    return placed.select("scene_id", F.col("place").cast("int").alias("ord"), "name", "geom")
+
+
+def _keys(df: DataFrame, scene: Column, first: int, key: str) -> DataFrame:
+    """The rows of a table as keys of a scene, without their geometry."""
+    return df.select(scene.cast("long").alias("scene_id"), F.lit(first).alias("first"), F.col(key).alias("id"))
+
+
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scene_id, ord, name, geom: squares and then points of each of 25 scenes."""
     one = lambda df, kind, first: df.select(F.col("scene").alias("scene_id"), F.lit(first).alias("first"), "id", F.concat(F.lit(kind), F.col("id").cast("string")).alias("name"), "geom")
     rows = one(squares(spark, sf_dir), "POLYGON_", 0).unionByName(one(points(spark, sf_dir), "POINT_", 1))
-    return rows.select("scene_id", F.row_number().over(W.partitionBy("scene_id").orderBy("first", "id")).cast("int").alias("ord"), "name", "geom")
+    of_squares = table(spark, sf_dir, "part").where("p_partkey % 3 = 0")
+    keys = _keys(of_squares, F.col("p_partkey") % 25, 0, "p_partkey").unionByName(_keys(table(spark, sf_dir, "customer"), F.col("c_nationkey"), 1, "c_custkey"))
+    return _in_order(rows, keys)
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +89,6 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = _boxed(table(spark, sf_dir, "supplier").select(k.alias("id"), G.line(F.array(G.xy(x, y), G.xy(x + 100, y))).alias("geom")))
     one = lambda df, kind, first: df.select((F.col("id") % 5).alias("scene_id"), F.lit(first).alias("first"), "id", F.concat(F.lit(kind), F.col("id").cast("string")).alias("name"), "geom")
     rows = one(squares(spark, sf_dir), "POLYGON_", 0).unionByName(one(level, "LINE_", 1))
-    return rows.select("scene_id", F.row_number().over(W.partitionBy("scene_id").orderBy("first", "id")).cast("int").alias("ord"), "name", "geom")
+    of_squares = table(spark, sf_dir, "part").where("p_partkey % 3 = 0")
+    keys = _keys(of_squares, F.col("p_partkey") % 5, 0, "p_partkey").unionByName(_keys(table(spark, sf_dir, "supplier"), k % 5, 1, "s_suppkey"))
+    return _in_order(rows, keys)

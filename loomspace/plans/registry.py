@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomspace.functions import geometry as G
-from loomspace.operators import generate, joins, questions, relations
+from loomspace.operators import generate, joins, order, questions, relations
 from loomspace.operators.generate import SceneConfig
 from loomspace.operators.predicates import holds, relate, with_relation
 from loomspace.sources import tables
@@ -432,15 +432,15 @@ def style_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SHP}, s AS (SELECT scene, id, row_number() OVER (PARTITION BY scene ORDER BY (id*7919)%1009, id) - 1 AS place FROM shp) SELECT scene AS scene_id, CAST(floor(place/2) AS BIGINT) AS pair, min(id) AS lo, max(id) AS hi, count(*) AS n FROM s GROUP BY ALL")
 def pair_slicing(spark: SparkSession, d: str) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("scene").orderBy((F.col("id") * 7919) % 1009, "id")) - 1
-    rows = derived.shapes(spark, d).select("scene", "id", F.floor(place / 2).alias("pair"))
+    rows = derived.shapes(spark, d).select("scene", "id")
+    rows = order.numbered(rows, ["scene"], [(F.col("id") * 7919) % 1009, order.block_of(F.col("id"))], ["id"], "place").withColumn("pair", F.floor((F.col("place") - 1) / 2))
     return rows.groupBy(F.col("scene").alias("scene_id"), "pair").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("id").alias("n"))
 
 
 @query(f"WITH {SHP} SELECT scene AS scene_id, id, CAST(row_number() OVER (PARTITION BY scene ORDER BY CASE k WHEN 0 THEN w*w ELSE w*w/2 END DESC, id) AS INT) AS place FROM shp")
 def sort_by_area_desc(spark: SparkSession, d: str) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("scene").orderBy(F.desc(G.area(F.col("geom"))), "id"))
-    return derived.shapes(spark, d).select(F.col("scene").alias("scene_id"), "id", place.alias("place"))
+    rows = derived.shapes(spark, d).select(F.col("scene").alias("scene_id"), "id", G.area(F.col("geom")).alias("area"))
+    return order.numbered(rows, ["scene_id"], [-F.col("area"), order.block_of(F.col("id"))], ["id"], "place").select("scene_id", "id", F.col("place").cast("int").alias("place"))
 
 
 @query(f"WITH {PTS} SELECT scene AS scene_id, id FROM pts QUALIFY row_number() OVER (PARTITION BY scene ORDER BY (id*104729)%10007, id) <= 3")
