@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers as P
-from loomspace.llm import bpe, components, exact_dedup, html_extract, langid, license_scan, lm, media, mixing, simhash, toxicity
+from loomspace.llm import bpe, common, components, exact_dedup, html_extract, langid, license_scan, lm, media, mixing, simhash, toxicity
 
 LOREM = "the quick brown fox jumps over the lazy dog and then some more words come to make this a longer text of its own"
 ROWS = [
@@ -116,6 +116,23 @@ def test_long_chain_is_one_component(spark):
     assert len(got) == 303 and set(got.values()) == {0, 500}
 
 
+def test_hubs_are_nodes_as_any_other(spark):
+    """Two hubs with 40 leaves each, one of them above its leaves, both joined by a chain, and a small group apart."""
+    pairs = [(100, 200 + i) for i in range(40)] + [(1000, 300 + i) for i in range(40)] + [(239, 300), (7, 8)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    nodes = {x for p in pairs for x in p}
+    assert got == {x: 7 if x < 100 else 100 for x in nodes}
+
+
+def test_a_hot_key_joins_as_any_other(spark):
+    rows = spark.range(2500).selectExpr("id", "if(id < 2000, 1, id) as key")
+    sizes = rows.groupBy("key").count()
+    hot = common.hot_keys(sizes, "key", "count")
+    assert [r.hot for r in hot.collect()] == [1]
+    got = common.salted_join(rows, sizes, "key", hot).collect()
+    assert sorted((r.id, r["count"]) for r in got) == [(i, 2000 if i < 2000 else 1) for i in range(2500)]
+
+
 def test_mixing(docs, empty, spark):
     cat, got = {}, mixing.taken(*mixing.mix(docs, block_words=4, shard_blocks=8)).collect()
     assert len(got) == len(ROWS) and all(r.taken <= 2 * r["size"] for r in got)
