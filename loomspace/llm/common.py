@@ -7,6 +7,7 @@ import ctypes
 import os
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,6 +60,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Cuts the lineage by a Parquet table of its own in the shared folder, which later steps read by columns."""
+    path = os.path.join(shared_folder(df.sparkSession), f"{what}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def packed(docs: DataFrame, **columns: Column) -> DataFrame:
     """The input's row as one struct `row`, beside computed columns: no name of the input can clash with theirs."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in columns.items()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, langid, license_scan, lm, media, mixing, simhash, toxicity
+from . import bpe, divergence, exact_dedup, html_extract, langid, license_scan, lm, media, mixing, simhash, toxicity
 from .common import table
 
 
@@ -59,8 +59,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix_sources, op2_byte_bpe, op3_exact_dedup, op4_simhash, op5_license_scan, op6_toxicity, op7_main_text, op8_lm_score, op9_media, op10_language)
+    own = (op1_mix_sources, op2_byte_bpe, op3_exact_dedup, op4_simhash, op5_license_scan, op6_toxicity, op7_main_text, op8_lm_score, op9_media, op10_language, op11_divergence)
     return {f.__name__: f for f in own}
 
 
@@ -72,7 +76,26 @@ SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id IS NOT DISTINCT FROM g.keep_i
 FROM n JOIN g ON n.body = g.body
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
+occ AS (SELECT r, lang, source, unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+cnt AS (SELECT lang, source, term, count(*) AS n FROM occ GROUP BY ALL),
+voc AS (SELECT lang, term FROM occ GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+kept AS (SELECT cnt.* FROM cnt JOIN voc USING (lang, term)),
+kinds AS (SELECT lang, count(*) AS v FROM voc GROUP BY lang),
+grp AS (SELECT g.lang, g.source, coalesce(s.total, 0)::HUGEINT AS total, coalesce(k.v, 0)::HUGEINT AS v
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN (SELECT lang, source, sum(n) AS total FROM kept GROUP BY ALL) s USING (lang, source) LEFT JOIN kinds k USING (lang)),
+cell AS (SELECT g.lang, g.source, voc.term, coalesce(k.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(k.n, 0) + 1) // (g.total + g.v) AS p
+  FROM grp g JOIN voc USING (lang) LEFT JOIN kept k ON k.lang = g.lang AND k.source = g.source AND k.term = voc.term),
+far AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM cell a JOIN cell b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+whole AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 1) // (sum(sum(n)) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM kept GROUP BY lang, term),
+own AS (SELECT c.lang, c.source, 'term' AS part, c.term AS item, ((c.p - w.q) * (c.p - w.q) // w.q)::BIGINT AS value FROM cell c JOIN whole w USING (lang, term) WHERE c.n > 0 AND c.p > w.q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM own))
+SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op11_divergence": OP11_SQL}
