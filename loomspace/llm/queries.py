@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, exact_dedup, html_extract, langid, license_scan, lm, media, mixing, simhash, toxicity
+from . import bpe, divergence, exact_dedup, html_extract, langid, license_scan, lm, media, mixing, pii, simhash, token_align, toxicity
 from .common import table
 
 
@@ -63,8 +63,18 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix_sources, op2_byte_bpe, op3_exact_dedup, op4_simhash, op5_license_scan, op6_toxicity, op7_main_text, op8_lm_score, op9_media, op10_language, op11_divergence)
+    own = (op1_mix_sources, op2_byte_bpe, op3_exact_dedup, op4_simhash, op5_license_scan, op6_toxicity, op7_main_text, op8_lm_score, op9_media, op10_language, op11_divergence, op12_token_align, op13_pii)
     return {f.__name__: f for f in own}
 
 
