@@ -155,7 +155,7 @@ class Aligner:
         self.len_a, self.len_b = (np.array([len(x) for x in t.bytes], dtype=np.int64) for t in (a, b))
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY})
         self.run("CREATE TEMP TABLE partial (pair BIGINT, docs BIGINT)")
-        self.counted = 0
+        self.written = [f"{x}{i}" for i in range(max(a.size, b.size)) for x in ("", ";", "|", ",")]  # each id behind each separator
         self.forget()
 
     def run(self, sql: str) -> None:
@@ -187,7 +187,7 @@ class Aligner:
             start = np.concatenate(([True], g[1:] != g[:-1]))
             fresh_unit = np.concatenate(([True], unit[1:] != unit[:-1]))
             sign = np.where(fresh_unit, 0, np.where(start, 1, np.where(np.concatenate(([False], side[1:] != side[:-1])), 2, 3)))
-            parts = [f"{x}{i}" for x, i in zip(np.array(["", ";", "|", ","])[sign].tolist(), got["id"].to_pylist())]
+            parts = list(map(self.written.__getitem__, (got["id"].to_numpy() * 4 + sign).tolist()))
             cuts = [*np.flatnonzero(fresh_unit).tolist(), len(parts)]
             for k, a, b in zip(unit[fresh_unit].tolist(), cuts, cuts[1:]):
                 self.groups[k] = "".join(parts[a:b])
