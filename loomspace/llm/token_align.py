@@ -93,8 +93,8 @@ class PieceTokens:
             self.bytes.append(bytes([int(byte[1], 16)]) if byte else piece.replace(MARK, " ").encode())
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """The texts begin with the space that the model adds."""
-        return self.own.encode([t[1:] for t in texts], num_threads=1)
+        """The texts begin with the space that the model adds; it adds none to nothing."""
+        return [own or [self.own.piece_to_id(MARK)] for own in self.own.encode([t[1:] for t in texts], num_threads=1)]
 
 
 def _tokenized(t: ByteTokens | PieceTokens, units: list[str], sizes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
