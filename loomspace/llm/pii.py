@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,6 +52,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _AT = re.compile(LOCAL + r"((?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]+)*)?", re.I)
 _V6 = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:])")
 _NUMBER = re.compile(r"\+?\(?[0-9]+(?:[\x20.()/-]{1,2}[0-9]+)*")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _DIGITS = re.compile(r"[^0-9]+")
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LONGEST_WORD, WINDOW = 40, 90
@@ -84,32 +86,43 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of what has an identifier's shape and overlaps no base span; a number may be of two kinds."""
-    taken, out = sorted((s, e) for _, s, e in base), []
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, apart and in order."""
+    starts, ends = [], []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
 
-    def free(s: int, e: int) -> bool:
-        return all(e <= a or b <= s for a, b in taken) and not (e < len(text) and text[e].isalnum()) and not (s and text[s - 1].isalnum())
 
-    def take(kinds: tuple[int, ...], s: int, e: int) -> None:
-        taken.append((s, e))
-        out.extend((k, s, e) for k in kinds)
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of what has an identifier's shape and overlaps no base span; a number may be of two kinds."""
+    out: list[tuple[int, int, int]] = []
+
+    def of(shape: re.Pattern, kinds) -> None:
+        """Matches of a shape that stand apart from letters, digits and all that was found before."""
+        starts, ends = _merged([(s, e) for _, s, e in base] + [(s, e) for _, s, e in out])
+        for m in shape.finditer(text):
+            s, e = m.span()
+            if own := kinds(m):
+                k = bisect_right(ends, s)
+                if (k == len(ends) or e <= starts[k]) and not text[e : e + 1].isalnum() and not (s and text[s - 1].isalnum()):
+                    out.extend((kind, s, e) for kind in own)
+
+    def number(m: re.Match) -> tuple[int, ...]:
+        if m[0].count(".") == 3 and _DOTTED.fullmatch(m[0]):
+            return (IP,)
+        n = len(_DIGITS.sub("", m[0]))
+        return ((CARD,) if 12 <= n <= 19 else ()) + ((PHONE,) if 7 <= n <= 15 else ())
 
     if "@" in text or "[at]" in text or "(at)" in text:
-        for m in _AT.finditer(text):
-            if m[1] and free(m.start(), m.end()):
-                take((EMAIL,), m.start(), m.end())
+        of(_AT, lambda m: (EMAIL,) if m[1] else ())
     if ":" in text:
-        for m in _V6.finditer(text):
-            if ("::" in m[0] or m[0].count(":") == 7) and len(m[0]) > 4 and free(m.start(), m.end()):
-                take((IP,), m.start(), m.end())
-    for m in _NUMBER.finditer(text):
-        n = len(_DIGITS.sub("", m[0]))
-        kinds = ((CARD,) if 12 <= n <= 19 else ()) + ((PHONE,) if 7 <= n <= 15 else ())
-        if m[0].count(".") == 3 and re.fullmatch(r"[0-9]+(\.[0-9]+){3}", m[0]):
-            kinds = (IP,)
-        if kinds and free(m.start(), m.end()):
-            take(kinds, m.start(), m.end())
+        of(_V6, lambda m: (IP,) if len(m[0]) > 4 and ("::" in m[0] or m[0].count(":") == 7) else ())
+    of(_NUMBER, number)
     return out
 
 

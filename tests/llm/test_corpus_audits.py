@@ -159,9 +159,8 @@ def test_base_spans_are_those_of_the_plain_expressions():
         t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
         assert pii.base_spans(t) == plain_spans(t), t
     for t in ("a" * 300_000, "1" * 300_000, "a@" * 100_000, "1." * 100_000, "+1" * 100_000, "+1 " + "2(" * 100_000, "1 " * 100_000, ("x" * 50_000 + "@") * 3 + "d.e"):
-        found = pii.base_spans(t)
-        pii.candidates(t, found)
-        assert not found or t.endswith("d.e")
+        pii.candidates(t, pii.base_spans(t))
+    assert len(pii.base_spans("1." * 100_000)) == 25_000 and len(pii.candidates("555 1234, " * 50_000, [])) == 50_000
 
 
 def planted(rng):
@@ -194,11 +193,11 @@ def test_contexts_of_seeds_find_identifiers_of_other_forms(spark):
 def test_usual_words_are_no_patterns_and_rounds_go_on(spark):
     """`the` leads to seeds alone, but mostly to no identifier; `fax` is found by values that `phone:` finds first."""
     rng = random.Random(5)
-    numbers = [f"{rng.randint(200, 999)} 555 {rng.randint(1000, 9999)}" for _ in range(30)]
-    texts = [f"phone: +1 {n} and the end of the line the +1 {n}" for n in numbers] + ["the mill the sea the tide the boats"] * 60
+    numbers = [f"{rng.randint(200, 999)} 555 {rng.randint(1000, 9999)}" for _ in range(120)]
+    texts = [f"phone: +1 {n} and the end of the line the +1 {n}" for n in numbers] + ["the mill the sea the tide the boats"] * 120
     other = [f"{rng.randint(200, 999)} 777 {rng.randint(1000, 9999)}" for _ in range(14)]
-    texts += [f"phone: {n}" for n in other[:7]] + [f"fax {n}" for n in other[:7]] * 2 + [f"fax {other[7]}", f"the {other[8]}"]
+    texts += [f"phone: {n}" for n in other[:10]] + [f"fax {n}" for n in other[:10]] * 2 + [f"fax {other[10]}", f"the {other[11]}"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = pii.extract(df).collect()
     found = {texts[r.doc_id]: r.spans for r in rows}
-    assert found[f"fax {other[0]}"] == f"phone:4:{4 + len(other[0])}" and found[f"fax {other[7]}"] != "" and found[f"the {other[8]}"] == ""
+    assert found[f"fax {other[0]}"] == f"phone:4:{4 + len(other[0])}" and found[f"fax {other[10]}"] != "" and found[f"the {other[11]}"] == ""
