@@ -34,6 +34,7 @@ BUCKET_BYTES = 32 << 20
 PARTITION_BYTES = 256 << 20
 MAP_BYTES = 16 << 20  # of the table inside a map task
 SPLIT_BITS = 2
+ROW_BYTES = 400  # what a content takes in a table beside its text
 _RECORD = "bucket long, h long, sha string, body string, keep_id long, n_rows long, n_keep long"
 
 
@@ -72,7 +73,7 @@ class ContentTable:
         self.slots[at] = len(self.entries)
         self.hashes.append(h)
         self.entries.append([bucket, h, sha, body, doc_id, n, n_keep])
-        self.bytes += sys.getsizeof(body) + 400
+        self.bytes += sys.getsizeof(body) + ROW_BYTES
         if 2 * len(self.entries) > len(self.slots):
             self.slots = np.full(2 * len(self.slots), -1, dtype=np.int64)
             for i, g in enumerate(self.hashes):
@@ -120,7 +121,7 @@ def _prefix(depth: int):
 def grace_levels(sizes: DataFrame, bucket_bytes: int, split_bits: int = SPLIT_BITS) -> tuple[int, list[tuple[int, DataFrame]], int]:
     """The first depth, for each further depth the prefixes before it that are parted again, and all bytes.
 
-    sizes: distinct (h, n_bytes).  The first depth is where the average bucket is half of
+    sizes: distinct (h, n_bytes), the bytes that a content takes in a table.  The first depth is where the average bucket is half of
     what fits; only buckets of more than one content that are too large go on.
     """
     total = int(sizes.agg(F.sum("n_bytes")).first()[0] or 0)
@@ -150,7 +151,7 @@ def _bucketed(records: DataFrame, first: int, levels: list[tuple[int, DataFrame]
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row for each distinct content: sha, keep_id, n_rows, n_keep (rows that have keep_id)."""
     body = lower_az(whole_text(text_col))
-    sizes = docs.select(F.xxhash64(body).alias("h"), F.octet_length(body).cast("long").alias("n_bytes")).distinct()
+    sizes = docs.select(F.xxhash64(body).alias("h"), (F.octet_length(body).cast("long") + ROW_BYTES).alias("n_bytes")).distinct()
     first, levels, total = grace_levels(checkpointed(sizes), bucket_bytes)
     records = docs.select(F.col(id_col).cast("long").alias("keep_id"), body.alias("body")).select(F.xxhash64("body").alias("h"), F.sha2("body", 256).alias("sha"), "body", "keep_id")
     one = F.lit(1).cast("long")

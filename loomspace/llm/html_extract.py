@@ -31,23 +31,32 @@ from .common import whole_text
 # Fixed values of HTML: elements without content, those whose content is no text, those
 # that stand in a line, and those whose start closes an open paragraph or item.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = r"script|style|noscript|template|textarea|svg|math|iframe|object|canvas|select|title"
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+RAW = r"script|style|noscript|template|textarea|svg|iframe|canvas|select|title"
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark object q s samp small span strike strong sub sup time tt u var wbr img "
+    "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace semantics annotation".split()
+)
 CLOSED_BY_SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-# What containers are and are called. Weights are costs in thousandths.
-BOILER_TAGS = {"nav": 6000, "footer": 6000, "aside": 5500, "form": 5500, "header": 4500, "menu": 6000, "button": 6000, "dialog": 6000, "head": 9000, "fieldset": 5000}
+# What containers are and are called. Weights are costs in thousandths. Hard evidence holds for
+# all that is inside; soft evidence ends at an article or main part within it, as pages that
+# wrap everything in a form or name a column after its layout have.
+HARD_TAGS = {"nav": 6000, "footer": 6000, "aside": 5500, "menu": 6000, "button": 6000, "dialog": 6000, "head": 9000}
+SOFT_TAGS = {"form": 5500, "header": 4500, "fieldset": 5000}
 CONTENT_TAGS = {"article": 3500, "main": 2500}
-BOILER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|nav(?:bar|igation)?|menu|"
-    r"breadcrumbs?|sidebar|side|widget|related|recommend(?:ed|ations)?|share|sharing|social|comments?|replies|discussion|disqus|footer|foot|masthead|topbar|toolbar|pagination|pager|copyright|legal|tags?|toc|skip)(?:$|[\s_-])", re.I)
+BOILER_NAMES = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal newsletter subscribe signup login nav navbar navigation menu "
+    "breadcrumb breadcrumbs sidebar side widget related recommend recommended recommendations share sharing social footer foot masthead topbar toolbar pagination pager copyright legal tag tags toc skip".split()
+)
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
-CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|body|text)(?:$|[\s_-])", re.I)
-COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|replies|discussion|disqus)(?:$|[\s_-]|\d)", re.I)
+CONTENT_NAMES = frozenset("article content entry main post story body text".split())
+COMMENT_NAMES = frozenset("comment comments reply replies discussion disqus".split())
+# Class names that tell of a state or a lack, as `no-sidebar` or `comments-open`.
+STATE_NAMES = re.compile(r"^(?:no|not|has|is|with|without|hide|show)[-_]|[-_](?:open|opened|closed|enabled|disabled|active|inactive|on|off|none|false|true)$")
 
-_TOKENS = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|(?P<text>[^<]+|<)", re.S | re.I)
-_ATTR = re.compile(r"\b(class|id|role|aria-label|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_TOKENS = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|(?P<text>[^<]+|<)", re.S | re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
 @dataclass(slots=True)
@@ -55,41 +64,48 @@ class Block:
     text: str
     links: int  # characters inside links
     tag: str
-    inside: tuple  # the containers' own evidence, outermost first
+    inside: tuple  # the containers' own evidence (content, soft, hard), outermost first
     parent: int
 
 
 @dataclass(slots=True)
 class _Open:
     tag: str
-    evidence: int
+    evidence: tuple[int, int, int]
     number: int
 
 
-def _evidence(tag: str, attrs: str) -> int:
-    """Evidence that a container gives, in thousandths: below zero for boilerplate."""
-    e = CONTENT_TAGS.get(tag, 0) - BOILER_TAGS.get(tag, 0)
-    if attrs:
-        for name, *value in _ATTR.findall(attrs):
-            v, name = "".join(value), name.lower()
-            if name in ("class", "id"):
-                if COMMENT_NAMES.search(v):
-                    e -= 7000
-                elif BOILER_NAMES.search(v):
-                    e -= 5500
-                elif CONTENT_NAMES.search(v):
-                    e += 1500
-            elif name == "role":
-                e += 2500 if v == "main" or v == "article" else -5500 if v.lower() in BOILER_ROLES else 0
-            elif name == "hidden" or (name == "aria-hidden" and v == "true") or (name == "style" and re.search(r"display\s*:\s*none", v)):
-                e -= 7000
-    return e
+NOTHING = (0, 0, 0)
+
+
+def _evidence(tag: str, attrs: str) -> tuple[int, int, int]:
+    """Evidence that a container gives, in thousandths: for content, and soft and hard evidence against it.
+
+    The classes of `html` and `body` tell of the whole page, not of a part, and don't count.
+    """
+    content, soft, hard = CONTENT_TAGS.get(tag, 0), SOFT_TAGS.get(tag, 0), HARD_TAGS.get(tag, 0)
+    for name, *value in _ATTR.findall(attrs) if attrs else ():
+        v, name = "".join(value).lower(), name.lower()
+        if name in ("class", "id") and tag not in ("html", "body"):
+            parts = {p for t in (v.split() if name == "class" else [v.strip()]) if not STATE_NAMES.search(t) for p in re.split(r"[-_\s]", t.rstrip("0123456789"))}
+            if parts & COMMENT_NAMES:
+                hard = max(hard, 7000)
+            elif parts & BOILER_NAMES:
+                soft = max(soft, 5500)
+            elif parts & CONTENT_NAMES:
+                content += 1500
+        elif name == "role":
+            content += 2500 if v in ("main", "article") else 0
+            hard = max(hard, 5500 if v in BOILER_ROLES else 0)
+        elif name == "hidden" or (name == "aria-hidden" and v == "true") or (name == "style" and re.search(r"display\s*:\s*none", v)):
+            hard = max(hard, 7000)
+    return content, soft, hard
 
 
 def blocks(html: str) -> list[Block]:
     """The blocks of text of a page in their order."""
     out: list[Block] = []
-    stack = [_Open("#", 0, 0)]
+    stack = [_Open("#", NOTHING, 0)]
     words: list[str] = []
     state = {"links": 0, "number": 0, "depth": 0}
     tag_of = ["#"]
@@ -100,7 +116,7 @@ def blocks(html: str) -> list[Block]:
             if text:
                 inner = next((s for s in reversed(stack) if s.tag not in INLINE), stack[0])
                 above = next((s for s in reversed(stack[:-1]) if s.tag not in INLINE and s is not inner), stack[0])
-                out.append(Block(text, min(state["links"], len(text)), inner.tag, tuple(s.evidence for s in stack if s.evidence), above.number))
+                out.append(Block(text, min(state["links"], len(text)), inner.tag, tuple(s.evidence for s in stack if s.evidence != NOTHING), above.number))
             words.clear()
             state["links"] = 0
 
@@ -130,6 +146,8 @@ def blocks(html: str) -> list[Block]:
                 state["depth"] -= stack[at].tag == "a"
                 del stack[at]
             continue
+        if tag == "br":
+            words.append(" ")
         if tag in INLINE:
             if tag not in VOID and tag != "img":
                 state["depth"] += tag == "a"
@@ -156,12 +174,12 @@ def blocks(html: str) -> list[Block]:
 
 def costs(b: Block) -> tuple[int, int]:
     """What it costs to call the block content, and to call it boilerplate."""
-    e = 0
-    for x in b.inside:
-        e += x
-    worst = min((x for x in b.inside if x < 0), default=0)
-    if worst < 0:
-        e = min(e, worst + 1500)  # an article does not redeem the menu inside it
+    # Soft evidence from outside the nearest article or main part weighs a quarter.
+    near = max((i for i, (c, _, _) in enumerate(b.inside) if c >= 2500), default=0)
+    e = sum(c for c, _, _ in b.inside) - sum(s // 4 for _, s, _ in b.inside[:near])
+    worst = max((x for i, (_, s, h) in enumerate(b.inside) for x in (s if i >= near else 0, h)), default=0)
+    if worst:
+        e = min(e, 1500) - worst  # an article does not redeem the menu inside it
     n, density = len(b.text), b.links / max(1, len(b.text))
     e += min(2500, 25 * n) - 600
     e -= int(4000 * density) if density > 0.5 else 0

@@ -3,10 +3,9 @@
 A text's UTF-8 is cut to windows of a fixed number of bytes, the last filled with zeros.
 Bytes have learned vectors; filters of several widths run over a window, the largest value
 of each filter goes on, and a softmax names the language.  The network is trained in numpy
-with Adam on windows of a bounded sample: about `per_lang` documents of each language, twice
-as many for all languages together at most, chosen by hashes of id and text (rows that
-repeat both count once), and of each of them `per_doc` windows at most, evenly spaced over
-the whole text.  To apply it, each filter's offsets are multiplied with the byte
+with Adam on all windows of a bounded sample of documents: about `per_lang` of each language,
+twice as many for all languages together at most, chosen by hashes of id and text (rows that
+repeat both count once).  To apply it, each filter's offsets are multiplied with the byte
 vectors once, in pairs of bytes, so that a filter's value is a sum of table entries.
 
 A text's language is that of the largest mean probability over all its windows, and the
@@ -19,11 +18,11 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +32,9 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 VECTOR = 8
-PER_LANG = 1200
-PER_DOC = 4
+PER_LANG = 400
 LANGS_BOUND = 500
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def windows(text: bytes, size: int = WINDOW) -> np.ndarray:
@@ -134,7 +132,7 @@ def probabilities(x: np.ndarray, tables: tuple) -> np.ndarray:
     return s / s.sum(axis=1, keepdims=True)
 
 
-def _fit(langs: list[str], per_doc: int):
+def _fit(langs: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pickle
 
@@ -143,16 +141,15 @@ def _fit(langs: list[str], per_doc: int):
             for text, lang in zip(b["text"], b["lang"]):
                 w = windows(text.encode())
                 if len(w) and _LETTER.search(text):
-                    pick = np.linspace(0, len(w) - 1, min(per_doc, len(w))).astype(int)  # over the whole text
-                    x.append(w[pick])
-                    y += [at[lang]] * len(pick)
+                    x.append(w)
+                    y += [at[lang]] * len(w)
         if x:
             yield pd.DataFrame({"model": [pickle.dumps(Network(langs).fit(np.concatenate(x), np.array(y)).tables())]})
 
     return run
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn=None, per_lang: int = PER_LANG, per_doc: int = PER_DOC, bound: int = LANGS_BOUND) -> bytes | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn=None, per_lang: int = PER_LANG, bound: int = LANGS_BOUND) -> bytes | None:
     """The pickled tables of a network (under 30 MB for any data); None where nothing can be learned."""
     known = docs.where(F.col(lang_col).isNotNull())
     if learn is not None:
@@ -169,7 +166,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = known.select(whole_text(text_col).alias("text"), lang.alias("lang"), number.alias("o")).where(F.pmod("o", F.lit(grain)) < share[F.col("lang")])
     # Bounded by per_lang and the number of languages: one task trains.
     rows = rows.dropDuplicates(["o", "lang"]).orderBy("o", "lang").limit(2 * per_lang * len(langs)).select("text", "lang")
-    got = rows.mapInPandas(_fit(langs, per_doc), "model binary").collect()
+    got = rows.mapInPandas(_fit(langs), "model binary").collect()
     return bytes(got[0].model) if got else None
 
 
