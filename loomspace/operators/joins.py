@@ -27,11 +27,11 @@ def _size(g: Column) -> Column:
     return F.when(extent > 0, F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.ceil(F.log2(extent)).cast("int"))))
 
 
-def levels(*sides: tuple[DataFrame, str]) -> list[int]:
+def levels(*sides: tuple[DataFrame, str | Column]) -> list[int]:
     """The levels that boxes of the sides (frame, geometry column) need, the median's the lowest."""
     counts = None
     for df, g in sides:
-        part = df.select(_size(F.col(g)).alias("l")).where("l is not null").groupBy("l").count()
+        part = df.select(_size(F.col(g) if isinstance(g, str) else g).alias("l")).where("l is not null").groupBy("l").count()
         counts = part if counts is None else counts.unionByName(part)
     found: dict[int, int] = {}
     for r in counts.collect():  # MOST - LEAST + 1 a side at most
@@ -44,9 +44,8 @@ def levels(*sides: tuple[DataFrame, str]) -> list[int]:
     return [0]
 
 
-def _celled(df: DataFrame, g: str, use: list[int], prefix: str) -> DataFrame:
+def _celled(df: DataFrame, geom: Column, use: list[int], prefix: str) -> DataFrame:
     """A row for each cell of each level in use from the geometry's own on; its box in columns of its own."""
-    geom = F.col(g)
     df = df.where(geom.isNotNull()).select("*", *(geom[c].alias(f"{prefix}_{c}") for c in ("minx", "miny", "maxx", "maxy")))
     own = F.greatest(F.lit(use[0]), F.least(F.lit(use[-1]), F.coalesce(_size(geom), F.lit(use[0]))))
     df = df.withColumn(f"{prefix}_level", own)
@@ -63,14 +62,15 @@ def _celled(df: DataFrame, g: str, use: list[int], prefix: str) -> DataFrame:
     return df.select("*", *(cell[c].alias(f"{prefix}_{c}") for c in "lxy")).drop(f"{prefix}_cell")
 
 
-def candidates(left: DataFrame, right: DataFrame, on: list[tuple[str, str]] | None = None, use: list[int] | None = None) -> DataFrame:
-    """Pairs whose boxes meet, with the columns of both sides; these have no names in common.
+def candidates(left: DataFrame, right: DataFrame, on: list[tuple[str, str]] | None = None, use: list[int] | None = None, a: Column | None = None, b: Column | None = None) -> DataFrame:
+    """Pairs whose boxes meet, with the columns of both sides.
 
-    left has its geometry in `a`, right in `b`. on: further equalities (left name, right
-    name). use: the levels in use, ascending; any choice gives the same pairs.
+    left has its geometry in `a`, right in `b`, or in the columns given.  on: further equalities
+    (left name, right name).  use: the levels in use, ascending; any choice gives the same pairs.
     """
-    use = sorted(use) if use else levels((left, "a"), (right, "b"))
-    x, y = _celled(left, "a", use, "_a"), _celled(right, "b", use, "_b")
+    a, b = F.col("a") if a is None else a, F.col("b") if b is None else b
+    use = sorted(use) if use else levels((left, a), (right, b))
+    x, y = _celled(left, a, use, "_a"), _celled(right, b, use, "_b")
     c = lambda name: F.col(f"_{name}")
     size = F.pow(F.lit(2.0), c("a_l"))
     corner = (F.floor(F.greatest(c("a_minx"), c("b_minx")) / size) == c("a_x")) & (F.floor(F.greatest(c("a_miny"), c("b_miny")) / size) == c("a_y"))
@@ -79,7 +79,7 @@ def candidates(left: DataFrame, right: DataFrame, on: list[tuple[str, str]] | No
     for p, q in on or []:
         condition &= F.col(p) == F.col(q)
     pairs = x.join(y, condition & meet & corner & (c("a_l") == F.greatest(c("a_level"), c("b_level"))))
-    return pairs.select(*left.columns, *right.columns)
+    return pairs.drop(*(f"_{side}_{name}" for side in "ab" for name in ("minx", "miny", "maxx", "maxy", "level", "l", "x", "y")))
 
 
 def spatial_join(left: DataFrame, right: DataFrame, predicate: str, on: list[tuple[str, str]] | None = None, native: bool = False, use: list[int] | None = None) -> DataFrame:
@@ -102,3 +102,15 @@ def semi_join(left: DataFrame, right: DataFrame, key: str, predicate: str = "int
 def disjoint_from(left: DataFrame, one: DataFrame, key: str, native: bool = False) -> DataFrame:
     """Left rows disjoint from all geometries `b` of a side: those that intersect none."""
     return semi_join(left, one, key, "intersects", native, anti=True)
+
+
+def disjoint_counts(left: DataFrame, right: DataFrame, key: str, native: bool = False, use: list[int] | None = None) -> DataFrame:
+    """key, n_disjoint: to how many right rows each left row is disjoint, as all of them less those that it intersects.
+
+    No disjoint pair is formed.  Rows without a geometry are disjoint from nothing, and nothing
+    is from them: they don't count, and left ones have null.
+    """
+    meets = spatial_join(left, right, "intersects", native=native, use=use).groupBy(key).agg(F.count("b").alias("n_meet"))
+    every = right.agg(F.count("b").alias("n_right"))  # one row
+    rows = left.join(meets, key, "left").join(F.broadcast(every))
+    return rows.select(key, F.when(F.col("a").isNotNull(), F.col("n_right") - F.coalesce("n_meet", F.lit(0))).alias("n_disjoint"))

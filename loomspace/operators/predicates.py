@@ -97,7 +97,8 @@ def register(spark: SparkSession) -> None:
         "st_contains": f"{outside} AND {m} RLIKE '{_expression(CONTAINS)}'",
         "st_equals": f"{inside} AND {outside} AND {m} RLIKE '{_expression(EQUALS)}'",
         "st_intersects": f"{meet} AND NOT {m} RLIKE '{_expression(DISJOINT)}'",
-        "st_disjoint": f"{m} RLIKE '{_expression(DISJOINT)}'",
+        # Boxes apart decide it; the kernel is handed nothing then.
+        "st_disjoint": f"(NOT ({meet}) OR loomspace_relate(CASE WHEN {meet} THEN a END, CASE WHEN {meet} THEN b END) RLIKE '{_expression(DISJOINT)}')",
         "st_touches": f"{meet} AND NOT (a.kind = 'Point' AND b.kind = 'Point') AND {m} RLIKE '{_expression(*TOUCHES)}'",
         "st_overlaps": f"{meet} AND a.kind = b.kind AND {m} RLIKE CASE a.kind WHEN 'LineString' THEN '{_expression(OVERLAPS_LINES)}' ELSE '{_expression(OVERLAPS_SAME)}' END",
         "st_crosses": f"{meet} AND {m} RLIKE CASE WHEN ({dim('a')}) < ({dim('b')}) THEN '{_expression(CROSSES_LOWER)}' WHEN ({dim('a')}) > ({dim('b')}) THEN '{_expression(CROSSES_HIGHER)}' WHEN a.kind = 'LineString' THEN '{_expression(CROSSES_LINES)}' ELSE '{never}' END",

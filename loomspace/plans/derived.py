@@ -63,6 +63,12 @@ def generated_geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one(squares(spark, sf_dir), "POLYGON_").unionByName(one(points(spark, sf_dir), "POINT_"))
 
 
+def named_geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, geom of all shapes and points as one table."""
+    one = lambda df, kind: df.select(F.concat(F.lit(kind), F.col("id").cast("string")).alias("name"), "geom")
+    return one(shapes(spark, sf_dir), "POLYGON_").unionByName(one(points(spark, sf_dir), "POINT_"))
+
+
 def _in_order(rows: DataFrame, keys: DataFrame) -> DataFrame:
     placed = numbered(rows, ["scene_id"], [F.col("first"), block_of(F.col("id"))], ["id"], "place", keys)
     return placed.select("scene_id", F.col("place").cast("int").alias("ord"), "name", "geom")
@@ -74,11 +80,10 @@ def _keys(df: DataFrame, scene: Column, first: int, key: str) -> DataFrame:
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """scene_id, ord, name, geom: squares and then points of each of 25 scenes."""
+    """scene_id, ord, name, geom: shapes of all three kinds and then points of each of 25 scenes."""
     one = lambda df, kind, first: df.select(F.col("scene").alias("scene_id"), F.lit(first).alias("first"), "id", F.concat(F.lit(kind), F.col("id").cast("string")).alias("name"), "geom")
-    rows = one(squares(spark, sf_dir), "POLYGON_", 0).unionByName(one(points(spark, sf_dir), "POINT_", 1))
-    of_squares = table(spark, sf_dir, "part").where("p_partkey % 3 = 0")
-    keys = _keys(of_squares, F.col("p_partkey") % 25, 0, "p_partkey").unionByName(_keys(table(spark, sf_dir, "customer"), F.col("c_nationkey"), 1, "c_custkey"))
+    rows = one(shapes(spark, sf_dir), "POLYGON_", 0).unionByName(one(points(spark, sf_dir), "POINT_", 1))
+    keys = _keys(table(spark, sf_dir, "part"), F.col("p_partkey") % 25, 0, "p_partkey").unionByName(_keys(table(spark, sf_dir, "customer"), F.col("c_nationkey"), 1, "c_custkey"))
     return _in_order(rows, keys)
 
 

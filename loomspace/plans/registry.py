@@ -34,6 +34,16 @@ PIP = f"""pip AS (SELECT pid, sid, CASE WHEN edged THEN 'touches' ELSE 'within'
     count(*) FILTER ((e.ay > p.y) <> (e.by_ > p.y) AND ({_O} > 0) = (e.by_ > e.ay)) % 2 AS odd
   FROM pts p JOIN shp s ON p.x BETWEEN s.x AND s.x + s.w AND p.y BETWEEN s.y AND s.y + s.w JOIN edge e ON e.id = s.id GROUP BY 1, 2
 ) WHERE edged OR odd = 1)"""
+# Pairs of shapes whose boxes meet, by separating axes: the shapes are convex, their rings run counter-clockwise.
+_SHP_MEET = "a.x <= b.x+b.w AND b.x <= a.x+a.w AND a.y <= b.y+b.w AND b.y <= a.y+a.w"
+CONVEX = f"""bxp AS (SELECT a.id AS ida, b.id AS idb FROM shp a JOIN shp b ON a.id < b.id AND {_SHP_MEET}),
+axs AS (SELECT DISTINCT p.ida, p.idb, e.by_-e.ay AS nx, e.ax-e.bx AS ny FROM bxp p JOIN edge e ON e.id = p.ida UNION SELECT p.ida, p.idb, e.by_-e.ay, e.ax-e.bx FROM bxp p JOIN edge e ON e.id = p.idb),
+pra AS (SELECT ida, idb, nx, ny, min(nx*vx+ny*vy) AS lo, max(nx*vx+ny*vy) AS hi FROM axs JOIN ring ON ring.id = ida GROUP BY ALL),
+prb AS (SELECT ida, idb, nx, ny, min(nx*vx+ny*vy) AS lo, max(nx*vx+ny*vy) AS hi FROM axs JOIN ring ON ring.id = idb GROUP BY ALL),
+sep AS (SELECT ida, idb, bool_or(a.hi < b.lo OR b.hi < a.lo) AS apart, bool_or(a.hi <= b.lo OR b.hi <= a.lo) AS outer_ FROM pra a JOIN prb b USING (ida, idb, nx, ny) GROUP BY ida, idb),
+ina AS (SELECT ida, idb, bool_and((e.bx-e.ax)*(r.vy-e.ay)-(e.by_-e.ay)*(r.vx-e.ax) >= 0) AS in_ FROM bxp JOIN ring r ON r.id = ida JOIN edge e ON e.id = idb GROUP BY ida, idb),
+inb AS (SELECT ida, idb, bool_and((e.bx-e.ax)*(r.vy-e.ay)-(e.by_-e.ay)*(r.vx-e.ax) >= 0) AS out_ FROM bxp JOIN ring r ON r.id = idb JOIN edge e ON e.id = ida GROUP BY ida, idb),
+cvx AS (SELECT ida, idb, NOT apart AS meet, NOT outer_ AS over_, in_, out_ FROM sep JOIN ina USING (ida, idb) JOIN inb USING (ida, idb))"""
 BASE = f"WITH {PTS}, {SHP}, {RING}, {EDGE}, {PIP} "
 BOX = f"WITH {SHP}, {SQ} "
 _MEET = "a.x <= b.x+b.w AND b.x <= a.x+a.w AND a.y <= b.y+b.w AND b.y <= a.y+a.w"
@@ -164,15 +174,12 @@ def clamped_walk(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- predicates and joins
 
-SHAPE_LEVELS = [5]  # the derived shapes are 20 wide at most: one level, cells of 32
-
-
 def _sides(left: DataFrame, right: DataFrame, a: str = "pid", b: str = "sid") -> tuple[DataFrame, DataFrame]:
     return left.select(F.col("id").alias(a), F.col("geom").alias("a")), right.select(F.col("id").alias(b), F.col("geom").alias("b"))
 
 
 def _point_pairs(spark: SparkSession, d: str, predicate: str) -> DataFrame:
-    return joins.spatial_join(*_sides(derived.points(spark, d), derived.shapes(spark, d)), predicate, native=True, use=SHAPE_LEVELS)
+    return joins.spatial_join(*_sides(derived.points(spark, d), derived.shapes(spark, d)), predicate, native=True)
 
 
 @query(BASE + "SELECT pid, sid, rel FROM pip")
@@ -193,7 +200,7 @@ def st_within_point_polygon(spark: SparkSession, d: str) -> DataFrame:
 
 @query(BASE + "SELECT pid, sid FROM pip WHERE rel = 'within'")
 def st_contains_polygon_point(spark: SparkSession, d: str) -> DataFrame:
-    return joins.spatial_join(*_sides(derived.shapes(spark, d), derived.points(spark, d), "sid", "pid"), "contains", native=True, use=SHAPE_LEVELS).select("pid", "sid")
+    return joins.spatial_join(*_sides(derived.shapes(spark, d), derived.points(spark, d), "sid", "pid"), "contains", native=True).select("pid", "sid")
 
 
 @query(BASE + "SELECT pid, sid FROM pip WHERE rel = 'touches'")
@@ -215,13 +222,29 @@ def st_disjoint_named(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PTS} SELECT a.id AS ida, b.id AS idb FROM pts a JOIN pts b ON a.x = b.x AND a.y = b.y AND a.id < b.id")
 def st_equals_points(spark: SparkSession, d: str) -> DataFrame:
     p = derived.points(spark, d)
-    return joins.spatial_join(*_sides(p, p, "ida", "idb"), "equals", native=True, use=[0]).where("ida < idb").select("ida", "idb")
+    return joins.spatial_join(*_sides(p, p, "ida", "idb"), "equals", native=True).where("ida < idb").select("ida", "idb")
+
+
+@query(BASE + "SELECT p.id AS pid, (SELECT count(*) FROM shp) - count(pip.sid) AS n_disjoint FROM pts p LEFT JOIN pip ON pip.pid = p.id GROUP BY p.id")
+def disjoint_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many shapes each point is disjoint from, without forming a disjoint pair."""
+    return joins.disjoint_counts(*_sides(derived.points(spark, d), derived.shapes(spark, d)), "pid", native=True)
+
+
+@query(BASE + f", {CONVEX} SELECT ida, idb, over_ AND NOT in_ AND NOT out_ AS overlaps, NOT over_ AS touches, in_ AND NOT out_ AS inside, out_ AND NOT in_ AS around, in_ AND out_ AS same FROM cvx WHERE meet")
+def shape_pair_relations(spark: SparkSession, d: str) -> DataFrame:
+    """All relations of squares, diamonds and triangles that meet."""
+    s = derived.shapes(spark, d)
+    pairs = with_relation(joins.candidates(*_sides(s, s, "ida", "idb")).where("ida < idb"))
+    m, a, b = F.col("relation"), F.col("a"), F.col("b")
+    is_ = lambda p: holds(p, m, a, b)
+    return pairs.where(is_("intersects")).select("ida", "idb", is_("overlaps").alias("overlaps"), is_("touches").alias("touches"), (is_("within") & ~is_("equals")).alias("inside"), (is_("contains") & ~is_("equals")).alias("around"), is_("equals").alias("same"))
 
 
 def _square_pairs(spark: SparkSession, d: str, predicate: str) -> DataFrame:
     s = derived.squares(spark, d)
     a, b = _sides(s, s, "ida", "idb")
-    pairs = with_relation(joins.candidates(a, b, use=SHAPE_LEVELS).where("ida < idb"))
+    pairs = with_relation(joins.candidates(a, b).where("ida < idb"))
     return pairs.where(holds(predicate, F.col("relation"), F.col("a"), F.col("b"))).select("ida", "idb")
 
 
@@ -272,12 +295,12 @@ def st_crosses_line_polygon(spark: SparkSession, d: str) -> DataFrame:
 
 @query(BASE + "SELECT id AS pid FROM pts WHERE id IN (SELECT pid FROM pip)")
 def spatial_semi_join(spark: SparkSession, d: str) -> DataFrame:
-    return joins.semi_join(*_sides(derived.points(spark, d), derived.shapes(spark, d)), "pid", native=True, use=SHAPE_LEVELS).select("pid")
+    return joins.semi_join(*_sides(derived.points(spark, d), derived.shapes(spark, d)), "pid", native=True).select("pid")
 
 
 @query(BASE + "SELECT id AS pid FROM pts WHERE id NOT IN (SELECT pid FROM pip)")
 def spatial_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    return joins.semi_join(*_sides(derived.points(spark, d), derived.shapes(spark, d)), "pid", native=True, anti=True, use=SHAPE_LEVELS).select("pid")
+    return joins.semi_join(*_sides(derived.points(spark, d), derived.shapes(spark, d)), "pid", native=True, anti=True).select("pid")
 
 
 # ---- emitted SQL, run as it is
@@ -303,6 +326,20 @@ def _question(spark: SparkSession, a: str, r1: str, b: str, r2: str, c: str, kin
 _NEAR = f"near AS (SELECT b.* FROM sq a JOIN sq b ON a.id = 1026 AND {_MEET})"
 
 
+@query(BASE + "SELECT 'POINT_' || pid AS a, 'POLYGON_' || sid AS b FROM pip")
+def sql_theta_join(spark: SparkSession, d: str) -> DataFrame:
+    """A comma join of two whole tables by a predicate, as SQL: it runs as a grid join."""
+    sql = "SELECT T1.name AS a, T2.name AS b FROM parcels AS T1, parcels AS T2 WHERE T1.name LIKE 'POINT_%' AND T2.name LIKE 'POLYGON_%' AND ST_Intersects(T1.geom, T2.geom)"
+    return sqlfront.run(spark, sql, {"parcels": derived.named_geometries(spark, d)})[0]
+
+
+@query(BASE + f", {CONVEX} SELECT 'POLYGON_' || ida AS a, 'POLYGON_' || idb AS b FROM cvx WHERE over_ AND NOT in_ AND NOT out_ UNION ALL SELECT 'POLYGON_' || idb, 'POLYGON_' || ida FROM cvx WHERE over_ AND NOT in_ AND NOT out_")
+def sql_theta_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """As sql_theta_join, inside a common table expression, between polygons of all kinds."""
+    sql = "WITH P AS (SELECT name, geom FROM parcels WHERE name LIKE 'POLYGON_%') SELECT T1.name AS a, T2.name AS b FROM P AS T1, P AS T2 WHERE ST_Overlaps(T1.geom, T2.geom)"
+    return sqlfront.run(spark, sql, {"parcels": derived.named_geometries(spark, d)})[0]
+
+
 @query(f"WITH {PTS}, {SHP}, {SQ}, {_NEAR} SELECT DISTINCT 'POINT_' || p.id AS name FROM pts p JOIN near n ON p.x > n.x AND p.x < n.x+n.w AND p.y > n.y AND p.y < n.y+n.w")
 def cte_chain_distinct(spark: SparkSession, d: str) -> DataFrame:
     return _emitted(spark, d, _question(spark, "POINT_1", "within", "POLYGON_1", "intersect", "POLYGON_1026", "chain"))
@@ -321,10 +358,14 @@ def placeholder_two_step_bag(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- the relation finder
 
-_GEO = f"""geo AS (SELECT scene, CAST(row_number() OVER (PARTITION BY scene ORDER BY first, id) AS INT) AS ord, kind || '_' || id AS name, kind, x, y, w FROM (
-  SELECT scene, 0 AS first, id, 'POLYGON' AS kind, x, y, w FROM sq UNION ALL SELECT scene, 1, id, 'POINT', x, y, 0 FROM pts))"""
-_PAIRS = f"""prs AS (SELECT a.scene, a.ord AS ao, b.ord AS bo, a.name AS an, b.name AS bn, a.kind AS ak, b.kind AS bk, {_MEET} AS meet, {_OVER} AS over_, {_IN} AS in_, {_OUT} AS out_,
-  b.x > a.x AND b.x < a.x+a.w AND b.y > a.y AND b.y < a.y+a.w AS inner_ FROM geo a JOIN geo b ON a.scene = b.scene AND a.ord < b.ord)"""
+_GEO = """geo AS (SELECT scene, CAST(row_number() OVER (PARTITION BY scene ORDER BY first, id) AS INT) AS ord, kind || '_' || id AS name, kind, id, k, x, y, w FROM (
+  SELECT scene, 0 AS first, id, 'POLYGON' AS kind, k, x, y, w FROM shp UNION ALL SELECT scene, 1, id, 'POINT', 0, x, y, 0 FROM pts))"""
+_PAIRS = """prs AS (SELECT a.scene, a.ord AS ao, b.ord AS bo, a.name AS an, b.name AS bn, a.kind AS ak, b.kind AS bk,
+  CASE WHEN b.kind = 'POINT' THEN pip.rel IS NOT NULL OR (a.kind = 'POINT' AND a.x = b.x AND a.y = b.y) ELSE coalesce(cvx.meet, false) END AS meet,
+  coalesce(cvx.over_, false) AS over_, coalesce(cvx.in_, false) AS in_, coalesce(cvx.out_, false) AS out_, coalesce(pip.rel = 'within', false) AS inner_
+  FROM geo a JOIN geo b ON a.scene = b.scene AND a.ord < b.ord
+  LEFT JOIN cvx ON a.kind = 'POLYGON' AND b.kind = 'POLYGON' AND cvx.ida = a.id AND cvx.idb = b.id
+  LEFT JOIN pip ON a.kind = 'POLYGON' AND b.kind = 'POINT' AND pip.sid = a.id AND pip.pid = b.id)"""
 
 
 def _finder(semantics: str) -> str:
@@ -338,7 +379,7 @@ def _finder(semantics: str) -> str:
         parts.append(f"SELECT scene, ao, bo, 4, an, bn, 'touches' FROM prs WHERE {poly} AND meet")
     else:
         parts += [f"SELECT scene, ao, bo, 0, bn, an, 'within' FROM prs WHERE {poly} AND out_", f"SELECT scene, ao, bo, 1, an, bn, 'contains' FROM prs WHERE {poly} AND out_", f"SELECT scene, ao, bo, 4, an, bn, 'touches' FROM prs WHERE {poly} AND meet AND NOT over_"]
-    return f"WITH {PTS}, {SHP}, {SQ}, {_GEO}, {_PAIRS}, fnd AS ({' UNION ALL '.join(parts)} UNION ALL SELECT scene, ao, bo, 5, an, bn, 'disjoint' FROM prs WHERE NOT meet AND (CAST(ao AS BIGINT)*7919 + CAST(bo AS BIGINT)*104729) % 100 < 5) "
+    return f"{BASE}, {CONVEX}, {_GEO}, {_PAIRS}, fnd AS ({' UNION ALL '.join(parts)} UNION ALL SELECT scene, ao, bo, 5, an, bn, 'disjoint' FROM prs WHERE NOT meet AND (CAST(ao AS BIGINT)*7919 + CAST(bo AS BIGINT)*104729) % 100 < 5) "
 
 
 _chosen = relations.Residues(lambda scene, a: a.cast("long") * 7919, lambda scene, b: b.cast("long") * 104729, 5, 100)
@@ -419,7 +460,7 @@ def chain_question_text(spark: SparkSession, d: str) -> DataFrame:
 # ---- dataflow
 
 
-@query(f"WITH {PTS}, {SHP}, {SQ}, {_GEO} SELECT scene AS scene_id, ord, kind || '_' || row_number() OVER (PARTITION BY scene, kind ORDER BY ord) AS name FROM geo")
+@query(f"WITH {PTS}, {SHP}, {_GEO} SELECT scene AS scene_id, ord, kind || '_' || row_number() OVER (PARTITION BY scene, kind ORDER BY ord) AS name FROM geo")
 def name_assignment(spark: SparkSession, d: str) -> DataFrame:
     return generate.named(derived.scenes(spark, d)).select("scene_id", "ord", "name")
 
@@ -472,25 +513,26 @@ def _tabled(spark: SparkSession, d: str) -> DataFrame:
     return generate.geometry_table(derived.scenes(spark, d).select("scene_id", "ord", "name", style.alias("style"), "geom"))
 
 
-_INT = lambda e: f"CAST(CAST({e} AS BIGINT) AS VARCHAR)"
-_SQUARE = (("x", "y"), ("x+w", "y"), ("x+w", "y+w"), ("x", "y+w"), ("x", "y"))
-_WKT = "CASE kind WHEN 'POLYGON' THEN 'POLYGON ((' || " + " || ', ' || ".join(f"{_INT(x)} || ' ' || {_INT(y)}" for x, y in _SQUARE) + f" || '))' ELSE 'POINT (' || {_INT('x')} || ' ' || {_INT('y')} || ')' END"
+_INT = lambda e: f"CASE WHEN {e} = floor({e}) THEN CAST(CAST({e} AS BIGINT) AS VARCHAR) ELSE CAST({e} AS VARCHAR) END"
+_BY_SHAPE = lambda f: "CASE k " + " ".join(f"WHEN {k} THEN {f([tuple(p.split(',')) for p in ring])}" for k, ring in _RINGS.items()) + " END"
+_WKT_RING = lambda ring: "'POLYGON ((' || " + " || ', ' || ".join(f"{_INT(x)} || ' ' || {_INT(y)}" for x, y in ring) + " || '))'"
+_WKT = f"CASE kind WHEN 'POLYGON' THEN {_BY_SHAPE(_WKT_RING)} ELSE 'POINT (' || {_INT('x')} || ' ' || {_INT('y')} || ')' END"
 
 
-@query(f"""WITH {PTS}, {SHP}, {SQ}, {_GEO} SELECT scene AS scene_id, CAST(CASE kind WHEN 'POLYGON' THEN 0 ELSE 1 END AS INT) AS kind_order, ord,
-  'INSERT INTO generated_geometries (name, geom_type, style, vertices, geom) VALUES (''' || name || ''', ' || CASE kind WHEN 'POLYGON' THEN '''Polygon'', ''regular'', 4' ELSE '''Point'', ''point'', 1' END || ', ST_GeomFromText(''' || {_WKT} || '''));' AS sql FROM geo""")
+@query(f"""WITH {PTS}, {SHP}, {_GEO} SELECT scene AS scene_id, CAST(CASE kind WHEN 'POLYGON' THEN 0 ELSE 1 END AS INT) AS kind_order, ord,
+  'INSERT INTO generated_geometries (name, geom_type, style, vertices, geom) VALUES (''' || name || ''', ' || CASE kind WHEN 'POLYGON' THEN '''Polygon'', ''regular'', ' || CASE k WHEN 2 THEN '3' ELSE '4' END ELSE '''Point'', ''point'', 1' END || ', ST_GeomFromText(''' || {_WKT} || '''));' AS sql FROM geo""")
 def insert_sql_text(spark: SparkSession, d: str) -> DataFrame:
     return tables.insert_sql(_tabled(spark, d))
 
 
 _XY = lambda x, y: f"CAST({x} AS VARCHAR) || ',' || CAST({y} AS VARCHAR)"
 _ELEMENT = (
-    "CASE kind WHEN 'POLYGON' THEN '<polygon points=\"' || " + " || ' ' || ".join(_XY(x, y) for x, y in _SQUARE) + " || '\" fill=\"hsl(' || CAST((ord*137)%360 AS VARCHAR) || ',60%,60%)\" fill-opacity=\"0.6\" stroke=\"black\"/>' "
+    "CASE kind WHEN 'POLYGON' THEN '<polygon points=\"' || " + _BY_SHAPE(lambda ring: " || ' ' || ".join(_XY(x, y) for x, y in ring)) + " || '\" fill=\"hsl(' || CAST((ord*137)%360 AS VARCHAR) || ',60%,60%)\" fill-opacity=\"0.6\" stroke=\"black\"/>' "
     "ELSE '<circle cx=\"' || CAST(x AS VARCHAR) || '\" cy=\"' || CAST(y AS VARCHAR) || '\" r=\"2\" fill=\"black\"/>' END"
 )
 
 
-@query(f"""WITH {PTS}, {SHP}, {SQ}, {_GEO}, drawn AS (SELECT scene, {_ELEMENT} AS element, row_number() OVER (PARTITION BY scene ORDER BY CASE kind WHEN 'POLYGON' THEN 0 ELSE 2 END, w*w DESC, ord) AS z FROM geo)
+@query(f"""WITH {PTS}, {SHP}, {_GEO}, drawn AS (SELECT scene, {_ELEMENT} AS element, row_number() OVER (PARTITION BY scene ORDER BY CASE kind WHEN 'POLYGON' THEN 0 ELSE 2 END, CASE k WHEN 0 THEN w*w ELSE w*w/2 END DESC, ord) AS z FROM geo)
 SELECT scene AS scene_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1000 1000">' || chr(10) || string_agg(element, chr(10) ORDER BY z) || chr(10) || '</svg>' AS svg FROM drawn GROUP BY scene""")
 def render_svg(spark: SparkSession, d: str) -> DataFrame:
     return tables.svg(_tabled(spark, d), (0, 0, 1000, 1000))

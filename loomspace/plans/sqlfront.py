@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomspace.operators.predicates import register
 
+from .gridrewrite import by_grid
+
 _PREFIX = re.compile(r"^\s*EXPLAIN\s*(?:\([^)]*\)|ANALYZE\b)?\s*", re.I)
 
 _ANALYZE = re.compile(r"^\s*EXPLAIN\s*(?:\([^)]*\bANALYZE\b[^)]*\)|ANALYZE\b)", re.I)
@@ -29,7 +31,7 @@ def run(spark: SparkSession, sql: str, views: dict[str, DataFrame] | None = None
     for name, df in (views or {}).items():
         df.createOrReplaceTempView(name)
     body, explained = strip_explain(sql)
-    df = spark.sql(body, args=args) if args else spark.sql(body)
+    df = by_grid(spark.sql(body, args=args) if args else spark.sql(body))
     if not explained:
         return df, None
     ran, plan = df._jdf.queryExecution(), spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
