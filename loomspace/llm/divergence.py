@@ -36,6 +36,7 @@ GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS = 3
 SCALE_STEPS = 3  # of a thousand each
 TOP_TERMS = 200
+GROUP_PARTS = 16
 GROUPS_SENT = 100_000
 
 
@@ -122,5 +123,8 @@ def _terms(wide: DataFrame, groups: DataFrame, top: int) -> DataFrame:
     held = wide.select("lang", F.col("term").alias("item"), "totals", "kinds", share(whole, F.col("lang_total"), F.col("kinds")).alias("q"), F.explode("own").alias("o"))
     held = held.select("lang", F.col("o.g").alias("g"), "item", "q", share(F.col("o.n"), F.col("totals")[F.col("o.g")], F.col("kinds")).alias("p"))
     held = held.where("p > q").select("lang", "g", "item", divergence(F.col("p"), F.col("q")).alias("value"))
-    ranked = held.withColumn("rank", F.row_number().over(W.partitionBy("lang", "g").orderBy(F.desc("value"), "item"))).where(F.col("rank") <= top)
+    # The best of every part of a group first, so that no task meets all of a large one.
+    best = [F.desc("value"), "item"]
+    held = held.withColumn("part_of", F.pmod(F.xxhash64("item"), F.lit(GROUP_PARTS))).withColumn("rank", F.row_number().over(W.partitionBy("lang", "g", "part_of").orderBy(*best))).where(F.col("rank") <= top)
+    ranked = held.withColumn("rank", F.row_number().over(W.partitionBy("lang", "g").orderBy(*best))).where(F.col("rank") <= top)
     return ranked.join(groups.select("lang", "g", "source"), ["lang", "g"]).select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
