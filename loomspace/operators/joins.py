@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspace.functions.geometry import LINE, computed
+
 from .predicates import holds, with_relation
 
 LEAST, MOST = -30, 60  # levels
@@ -82,6 +84,64 @@ def candidates(left: DataFrame, right: DataFrame, on: list[tuple[str, str]] | No
     return pairs.drop(*(f"_{side}_{name}" for side in "ab" for name in ("minx", "miny", "maxx", "maxy", "level", "l", "x", "y")))
 
 
+STEPS = 4  # a line's cells are 2^4 times smaller than the cell of its box
+
+
+def _cover(pts: Column, level: Column) -> Column:
+    """The cells of a level that a line passes through, as hashes: for each column of cells, those between its ends there.
+
+    Heights at a column's sides are taken a little wider, so that no cell is missed by rounding.
+    """
+    size = F.pow(F.lit(2.0), level)
+    at = lambda v: F.floor(v / size)
+
+    def of(p: Column, q: Column) -> Column:
+        left, right = F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])
+        slope = F.when(p["x"] == q["x"], 0.0).otherwise((q["y"] - p["y"]) / (q["x"] - p["x"]))
+        height = lambda x: p["y"] + (x - p["x"]) * slope
+
+        def rows(x: Column) -> Column:
+            lo, hi = height(F.greatest(x * size, left)), height(F.least((x + 1) * size, right))
+            # A line straight up has all of its height in one column.
+            low, high = F.when(p["x"] == q["x"], F.least(p["y"], q["y"])).otherwise(F.least(lo, hi)), F.when(p["x"] == q["x"], F.greatest(p["y"], q["y"])).otherwise(F.greatest(lo, hi))
+            return F.transform(F.sequence(at(low - size * 1e-6), at(high + size * 1e-6)), lambda y: F.xxhash64(x, y))
+
+        return F.flatten(F.transform(F.sequence(at(left - size * 1e-6), at(right + size * 1e-6)), rows))
+
+    last = F.size(pts) - 1
+    segments = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: of(F.element_at(pts, i), F.element_at(pts, F.least(i + 1, F.size(pts)))))
+    return F.array_distinct(F.flatten(segments))
+
+
+def _stepped(df: DataFrame, geom: Column, use: list[int], prefix: str) -> DataFrame:
+    """A row for each cell that a line passes through, of each level in use from its own on, with all of its cells of that level."""
+    df = df.where(geom.isNotNull() & (geom["kind"] == LINE)).select("*", *(geom[c].alias(f"{prefix}_{c}") for c in ("minx", "miny", "maxx", "maxy")))
+    own = F.greatest(F.lit(use[0]), F.least(F.lit(use[-1]), F.coalesce(_size(geom) - STEPS, F.lit(use[0]))))
+    df = df.withColumn(f"{prefix}_level", own).withColumn(f"{prefix}_l", F.explode(F.filter(F.array(*(F.lit(x) for x in use)), lambda x: x >= F.col(f"{prefix}_level"))))
+    df = computed(df, f"{prefix}_cells", _cover(geom["pts"], F.col(f"{prefix}_l")))
+    return df.withColumn(f"{prefix}_cell", F.explode(f"{prefix}_cells"))
+
+
+def line_candidates(left: DataFrame, right: DataFrame, use: list[int] | None = None, a: Column | None = None, b: Column | None = None, also: Column | None = None) -> DataFrame:
+    """Pairs of lines that pass through a cell in common, with the columns of both sides; rows of other kinds don't take part.
+
+    A line's cells are those along it, not those of its box, so that long lines meet only lines
+    near to them.  Two lines meet on the coarser of their levels, and the pair counts in the
+    first of the cells that they share.  also: a cheap condition on both sides' columns, tried
+    before a pair's cells are compared.
+    """
+    a, b = F.col("a") if a is None else a, F.col("b") if b is None else b
+    use = sorted(use) if use else [x - STEPS for x in levels((left, a), (right, b))]
+    x, y = _stepped(left, a, use, "_a"), _stepped(right, b, use, "_b")
+    c = lambda name: F.col(f"_{name}")
+    meet = (c("a_minx") <= c("b_maxx")) & (c("b_minx") <= c("a_maxx")) & (c("a_miny") <= c("b_maxy")) & (c("b_miny") <= c("a_maxy"))
+    first = c("a_cell") == F.array_min(F.array_intersect(c("a_cells"), c("b_cells")))
+    if also is not None:
+        meet &= also
+    pairs = x.join(y, (c("a_l") == c("b_l")) & (c("a_cell") == c("b_cell")) & (c("a_l") == F.greatest(c("a_level"), c("b_level"))) & meet & first)
+    return pairs.drop(*(f"_{side}_{name}" for side in "ab" for name in ("minx", "miny", "maxx", "maxy", "level", "l", "cells", "cell")))
+
+
 def spatial_join(left: DataFrame, right: DataFrame, predicate: str, on: list[tuple[str, str]] | None = None, native: bool = False, use: list[int] | None = None) -> DataFrame:
     """Pairs for which a predicate holds, with their matrix `relation`; left's geometry is `a`, right's `b`.
 

@@ -282,10 +282,10 @@ _SIDE = lambda p, q, e: f"(({p}.bx-{p}.ax)*({q}.{'ay' if e == 'a' else 'by_'}-{p
 def st_crosses_segments(spark: SparkSession, d: str) -> DataFrame:
     """Proper crossings of two-point lines, natively: both ends of each on different sides of the other."""
     x = derived.lines(spark, d)
-    pairs = joins.candidates(*_sides(x, x, "ida", "idb")).where("ida < idb")
     end = lambda g, i: F.element_at(F.col(g)["pts"], i)
     apart = lambda p, q: G.orient(end(p, 1), end(p, -1), end(q, 1)) * G.orient(end(p, 1), end(p, -1), end(q, -1)) < 0
-    return pairs.where(apart("a", "b") & apart("b", "a")).select("ida", "idb")
+    crossing = (F.col("ida") < F.col("idb")) & apart("a", "b") & apart("b", "a")
+    return joins.line_candidates(*_sides(x, x, "ida", "idb"), also=crossing).select("ida", "idb")
 
 
 @query(f"WITH {LEVEL}, {SHP}, {SQ} SELECT l.id AS lid, s.id AS sid FROM lev l JOIN sq s ON s.y < l.y AND l.y < s.y+s.w AND l.x < s.x+s.w AND s.x < l.x+100")
