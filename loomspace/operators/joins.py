@@ -46,11 +46,15 @@ def levels(*sides: tuple[DataFrame, str | Column]) -> list[int]:
     return [0]
 
 
+def _own(size: Column, use: list[int]) -> Column:
+    """The least level in use that isn't below a size; the highest where all are, the lowest for no size."""
+    return F.coalesce(F.array_min(F.filter(F.array(*(F.lit(x) for x in use)), lambda x: x >= F.coalesce(size, F.lit(use[0])))), F.lit(use[-1]))
+
+
 def _celled(df: DataFrame, geom: Column, use: list[int], prefix: str) -> DataFrame:
     """A row for each cell of each level in use from the geometry's own on; its box in columns of its own."""
     df = df.where(geom.isNotNull()).select("*", *(geom[c].alias(f"{prefix}_{c}") for c in ("minx", "miny", "maxx", "maxy")))
-    own = F.greatest(F.lit(use[0]), F.least(F.lit(use[-1]), F.coalesce(_size(geom), F.lit(use[0]))))
-    df = df.withColumn(f"{prefix}_level", own)
+    df = df.withColumn(f"{prefix}_level", _own(_size(geom), use))
     box = {c: F.col(f"{prefix}_{c}") for c in ("minx", "miny", "maxx", "maxy")}
 
     def cells(level: Column) -> Column:
@@ -116,8 +120,7 @@ def _cover(pts: Column, level: Column) -> Column:
 def _stepped(df: DataFrame, geom: Column, use: list[int], prefix: str) -> DataFrame:
     """A row for each cell that a line passes through, of each level in use from its own on, with all of its cells of that level."""
     df = df.where(geom.isNotNull() & (geom["kind"] == LINE)).select("*", *(geom[c].alias(f"{prefix}_{c}") for c in ("minx", "miny", "maxx", "maxy")))
-    own = F.greatest(F.lit(use[0]), F.least(F.lit(use[-1]), F.coalesce(_size(geom) - STEPS, F.lit(use[0]))))
-    df = df.withColumn(f"{prefix}_level", own).withColumn(f"{prefix}_l", F.explode(F.filter(F.array(*(F.lit(x) for x in use)), lambda x: x >= F.col(f"{prefix}_level"))))
+    df = df.withColumn(f"{prefix}_level", _own(_size(geom) - STEPS, use)).withColumn(f"{prefix}_l", F.explode(F.filter(F.array(*(F.lit(x) for x in use)), lambda x: x >= F.col(f"{prefix}_level"))))
     df = computed(df, f"{prefix}_cells", _cover(geom["pts"], F.col(f"{prefix}_l")))
     return df.withColumn(f"{prefix}_cell", F.explode(f"{prefix}_cells"))
 

@@ -6,12 +6,17 @@ Triples are rows (scene_id, id, a, b, rel); the id tells a scene's triples apart
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspace.functions.geometry import entity_type
 
+from .lineage import checkpointed
+from .order import block_of, numbered
+
 # The labels that the triples' questions know, and those of the placeholder
 # questions, with the predicate of each; and the labels of the finder that differ.
 TRIPLE_PREDICATES = {"within": "ST_Within", "contain": "ST_Contains", "overlap": "ST_Overlaps", "intersect": "ST_Intersects", "disjoint": "ST_Disjoint", "crosses": "ST_Crosses"}
@@ -79,6 +84,7 @@ def feasible(triples: DataFrame) -> DataFrame:
     return every.join(many, "scene_id", "left").join(linked, "scene_id", "left").na.fill(False)
 
 
+# The text of the SQL.
 CHAIN_SQL = """WITH IntermediateSet AS (
 SELECT T1.{geom}
 FROM {table} AS T1, {table} AS T2
@@ -145,18 +151,85 @@ def questions(triples: DataFrame, table: str = "geometries", name: str = "name",
     return chain_questions(chains(known), table, name, geom, touches).unionByName(multi_questions(multi_conditions(known), table, name, geom, touches))
 
 
-def one_question(triples: DataFrame, seed: int, table: str = "geometries", name: str = "name", geom: str = "geom", normalize: bool = False, touches: bool = False) -> DataFrame:
-    """One question of each scene: a template is drawn among those it allows, then one of its questions; `error` where it allows none."""
-    known = known_triples(triples, normalize, touches)
-    every = chains(known).withColumn("template", F.lit("chain")).unionByName(multi_conditions(known).withColumn("template", F.lit("multi")))
-    # Drawn before any text is written, by a minimum, so that no scene's questions come together.
-    order = F.struct(F.xxhash64("scene_id", "template", F.lit(seed)).alias("h1"), F.xxhash64("id1", "id2", F.lit(seed)).alias("h2"), "id1", "id2", "template", "a", "rel1", "b", "rel2", "c")
-    drawn = every.groupBy("scene_id").agg(F.min(order).alias("first")).select("scene_id", "first.*")
+Draw = Callable[[Column, Column, int], Column]
+
+
+def _hashed(seed: int) -> Draw:
+    return lambda scene, number, step: F.xxhash64(scene, number, F.lit(step), F.lit(seed))
+
+
+def _least(rows: DataFrame, key: Column, *values: str) -> DataFrame:
+    """A row of each scene: that of the least key. No scene's rows come together, as minima are combined before the shuffle."""
+    first = F.min(F.struct(key.alias("_key"), *values)).alias("_first")
+    return rows.groupBy("scene_id").agg(first).select("scene_id", *(F.col("_first")[v].alias(v) for v in values))
+
+
+def draw_chain(triples: DataFrame, draw: Draw) -> DataFrame:
+    """A chain of each scene that has one: the middle is drawn among all entities that are subject and object, then an edge to it, then one from it."""
+    middles = triples.groupBy("scene_id", F.col("b").alias("x")).agg(F.min("id").alias("n")).join(triples.select("scene_id", F.col("a").alias("x")).distinct(), ["scene_id", "x"], "left_semi")
+    middle = _least(middles, draw(F.col("scene_id"), F.col("n"), 1), "n", "x").drop("n")
+    to = triples.join(middle.withColumnRenamed("x", "b"), ["scene_id", "b"]).select("scene_id", F.col("id").alias("id1"), "a", F.col("rel").alias("rel1"), "b")
+    onward = triples.join(middle.withColumnRenamed("x", "a"), ["scene_id", "a"]).select("scene_id", F.col("id").alias("id2"), F.col("rel").alias("rel2"), F.col("b").alias("c"))
+    return _least(to, draw(F.col("scene_id"), F.col("id1"), 2), "id1", "a", "rel1", "b").join(_least(onward, draw(F.col("scene_id"), F.col("id2"), 3), "id2", "rel2", "c"), "scene_id").select("scene_id", "id1", "id2", "a", "rel1", "b", "rel2", "c")
+
+
+def draw_pair(triples: DataFrame, draw: Draw) -> DataFrame:
+    """Two relations of one subject, of each scene that has any: the subject is drawn, then two of its edges without replacement."""
+    subjects = triples.groupBy("scene_id", "a").agg(F.min("id").alias("n"), F.count("id").alias("edges")).where("edges >= 2")
+    own = triples.join(_least(subjects, draw(F.col("scene_id"), F.col("n"), 4), "n", "a").drop("n"), ["scene_id", "a"])
+    first = _least(own.select("scene_id", F.col("id").alias("id1"), "a", F.col("rel").alias("rel1"), "b"), draw(F.col("scene_id"), F.col("id1"), 5), "id1", "a", "rel1", "b")
+    rest = own.select("scene_id", F.col("id").alias("id2"), F.col("rel").alias("rel2"), F.col("b").alias("c")).join(first.select("scene_id", "id1"), "scene_id").where("id1 <> id2")
+    return first.join(_least(rest, draw(F.col("scene_id"), F.col("id2"), 5), "id2", "rel2", "c"), "scene_id").select("scene_id", "id1", "id2", "a", "rel1", "b", "rel2", "c")
+
+
+def one_question(triples: DataFrame, seed: int, table: str = "geometries", name: str = "name", geom: str = "geom", normalize: bool = False, touches: bool = False, draw: Draw | None = None) -> DataFrame:
+    """One question of each scene; `error` where its triples allow none.
+
+    A template is drawn among those that the scene allows, then its entity, then that entity's
+    edges, as `draw_chain` and `draw_pair` do: no chain is formed but the one drawn, so the work
+    is that of a few passes over the triples.  draw(scene, number, step): what orders the numbers of a
+    scene (ids, of entities the least id that leads to them or from them, of templates twice the
+    scene's number and one more); by default a hash with the seed.
+    """
+    triples = checkpointed(triples)
+    known, draw = known_triples(triples, normalize, touches), draw or _hashed(seed)
+    both = draw_chain(known, draw).withColumn("template", F.lit("chain")).unionByName(draw_pair(known, draw).withColumn("template", F.lit("multi")))
+    number = 2 * F.col("scene_id").cast("long") + F.when(F.col("template") == "chain", 0).otherwise(1)
+    drawn = _least(both, draw(F.col("scene_id"), number, 6), "template", "id1", "id2", "a", "rel1", "b", "rel2", "c")
     of = lambda t: drawn.where(F.col("template") == t)
     best = chain_questions(of("chain"), table, name, geom, touches).unionByName(multi_questions(of("multi"), table, name, geom, touches)).drop("id1", "id2")
     return triples.select("scene_id").distinct().join(best, "scene_id", "left").withColumn("error", F.when(F.col("question").isNull(), NO_PATTERN))
 
 
+def sample_chains(triples: DataFrame, count: int, number: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """`count` chains of each scene by their numbers, drawn uniformly from all of them, none but these formed.
+
+    A scene's chains are numbered by their middle, that of the least incoming id first, then by
+    the incoming edge's id, then by the outgoing one's.  number(scene, j, chains): the number of
+    the j-th draw, from 0 to one less than the scene's chains.  Middles have in x out chains;
+    running sums of these, by blocks, lead from a number to its middle, and what is left to its
+    two edges by equality.
+    """
+    triples = checkpointed(triples)
+    to = numbered(triples.select("scene_id", F.col("id").alias("id1"), "a", F.col("rel").alias("rel1"), F.col("b").alias("x")), ["scene_id", "x"], [block_of(F.col("id1"))], ["id1"], "i")
+    onward = numbered(triples.select("scene_id", F.col("id").alias("id2"), F.col("a").alias("x"), F.col("rel").alias("rel2"), F.col("b").alias("c")), ["scene_id", "x"], [block_of(F.col("id2"))], ["id2"], "k")
+    n_in = triples.groupBy("scene_id", F.col("b").alias("x")).agg(F.min("id").alias("least"), F.count("id").alias("n_in"))
+    n_out = triples.groupBy("scene_id", F.col("a").alias("x")).agg(F.count("id").alias("n_out"))
+    middles = n_in.join(n_out, ["scene_id", "x"]).withColumn("block", block_of(F.col("least")))
+    chains = F.col("n_in") * F.col("n_out")
+    # Blocks of a scene: one for each 65,536 ids at most.
+    blocks = middles.groupBy("scene_id", "block").agg(F.sum(chains).alias("size"))
+    blocks = blocks.withColumn("end", F.sum("size").over(W.partitionBy("scene_id").orderBy("block"))).withColumn("all", F.sum("size").over(W.partitionBy("scene_id")))
+    draws = blocks.select("scene_id", "all").distinct().withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).select("scene_id", "j", number(F.col("scene_id"), F.col("j").cast("long"), F.col("all")).alias("at"))
+    held = draws.join(blocks, "scene_id").where((F.col("at") < F.col("end")) & (F.col("at") >= F.col("end") - F.col("size"))).select("scene_id", "block", "j", (F.col("at") - F.col("end") + F.col("size")).alias("at"))
+    placed = middles.withColumn("end", F.sum(chains).over(W.partitionBy("scene_id", "block").orderBy("least"))).withColumn("start", F.col("end") - chains)
+    held = held.join(placed, ["scene_id", "block"]).where((F.col("at") < F.col("end")) & (F.col("at") >= F.col("start"))).withColumn("at", F.col("at") - F.col("start"))
+    held = held.select("scene_id", "j", "x", (F.call_function("div", F.col("at"), F.col("n_out")) + 1).alias("i"), (F.col("at") % F.col("n_out") + 1).alias("k"))
+    out = held.join(to, ["scene_id", "x", "i"]).join(onward, ["scene_id", "x", "k"])
+    return out.select("scene_id", "j", "id1", "id2", "a", "rel1", F.col("x").alias("b"), "rel2", "c")
+
+
+# The text of the SQL.
 PLACEHOLDER_SQL = """EXPLAIN ANALYZE
     WITH Related_to_{e1} AS (
         SELECT t2.name, t2.{geom}

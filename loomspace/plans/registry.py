@@ -457,6 +457,49 @@ def chain_question_text(spark: SparkSession, d: str) -> DataFrame:
     return questions.chain_questions(questions.chains(_triples(spark, d))).select("scene_id", "question")
 
 
+_WEDGES = f"""WITH wed AS (SELECT e1.scene, row_number() OVER (PARTITION BY e1.scene ORDER BY e1.least, e1.id, e2.id) - 1 AS place, count(*) OVER (PARTITION BY e1.scene) AS chains, e1.a, e1.rel AS rel1, e1.b, e2.rel AS rel2, e2.b AS c
+  FROM (SELECT *, min(id) OVER (PARTITION BY scene, b) AS least FROM kno) e1 JOIN kno e2 ON e1.scene = e2.scene AND e1.b = e2.a)
+SELECT scene AS scene_id, CAST(j AS INT) AS j, a, rel1, b, rel2, c FROM wed JOIN (SELECT unnest(range(40)) AS j) d ON place = (j*7919 + scene*104729) % chains"""
+
+
+@query(_KNOWN + ", " + _WEDGES.removeprefix("WITH "))
+def chain_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Forty chains of each scene, drawn from all without forming them."""
+    number = lambda scene, j, chains: (j * 7919 + scene.cast("long") * 104729) % chains
+    return questions.sample_chains(_triples(spark, d), 40, number).select("scene_id", "j", "a", "rel1", "b", "rel2", "c")
+
+
+def _filled(template: str, **values: str) -> str:
+    """SQL that writes a template's text with expressions in its places."""
+    out = "'" + template.replace("'", "''") + "'"
+    for place, value in values.items():
+        out = f"replace({out}, '{{{place}}}', {value})"
+    return out
+
+
+_FUNCTION = lambda r: f"CASE {r} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in questions.TRIPLE_PREDICATES.items()) + " END"
+_PLACES = {"type_a": "split_part(a, '_', 1)", "type_b": "split_part(b, '_', 1)", "a": "a", "b": "b", "c": "c", "r1": "rel1", "r2": "rel2", "f1": _FUNCTION("rel1"), "f2": _FUNCTION("rel2"), "table": "'generated_geometries'", "name": "'name'", "geom": "'geom'"}
+_DRAW = lambda number, step: f"({number}*7919 + {step * 104729}) % 10007"
+_DRAWN = f"""mid AS (SELECT scene, b AS x FROM kno WHERE EXISTS (SELECT 1 FROM kno k WHERE k.scene = kno.scene AND k.a = kno.b) GROUP BY scene, b QUALIFY row_number() OVER (PARTITION BY scene ORDER BY {_DRAW('min(id)', 1)}, min(id)) = 1),
+inc AS (SELECT k.* FROM kno k JOIN mid ON k.scene = mid.scene AND k.b = mid.x QUALIFY row_number() OVER (PARTITION BY k.scene ORDER BY {_DRAW('k.id', 2)}, k.id) = 1),
+onw AS (SELECT k.* FROM kno k JOIN mid ON k.scene = mid.scene AND k.a = mid.x QUALIFY row_number() OVER (PARTITION BY k.scene ORDER BY {_DRAW('k.id', 3)}, k.id) = 1),
+sub AS (SELECT scene, a FROM kno GROUP BY scene, a HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY scene ORDER BY {_DRAW('min(id)', 4)}, min(id)) = 1),
+two AS (SELECT k.*, row_number() OVER (PARTITION BY k.scene ORDER BY {_DRAW('k.id', 5)}, k.id) AS place FROM kno k JOIN sub ON k.scene = sub.scene AND k.a = sub.a),
+bot AS (SELECT inc.scene, 'chain' AS template, 2*inc.scene AS n, inc.a, inc.rel AS rel1, inc.b, onw.rel AS rel2, onw.b AS c FROM inc JOIN onw ON inc.scene = onw.scene
+  UNION ALL SELECT p.scene, 'multi', 2*p.scene + 1, p.a, p.rel, p.b, q.rel, q.b FROM two p JOIN two q ON p.scene = q.scene AND p.place = 1 AND q.place = 2),
+one AS (SELECT * FROM bot QUALIFY row_number() OVER (PARTITION BY scene ORDER BY {_DRAW('n', 6)}, template) = 1)
+SELECT tri.scene AS scene_id, one.template, CASE one.template WHEN 'chain' THEN {_filled('Which {type_a}s in the database {r1} the {type_b} that is {r2} {c}?', **_PLACES)} ELSE {_filled("Find all {type_a}s that both {r1} '{b}' AND {r2} '{c}'.", **_PLACES)} END AS question,
+  CASE one.template WHEN 'chain' THEN {_filled(questions.CHAIN_SQL, **_PLACES)} WHEN 'multi' THEN {_filled(questions.BOTH_SQL, **_PLACES)} END AS sql
+FROM (SELECT DISTINCT scene FROM tri) tri LEFT JOIN one ON one.scene = tri.scene"""
+
+
+@query(_KNOWN + ", " + _DRAWN)
+def drawn_questions(spark: SparkSession, d: str) -> DataFrame:
+    """A question of each scene, drawn by an arithmetic order: template, entity, edges."""
+    found = questions.one_question(tables.numbered(relation_finder_compat(spark, d)), 0, "generated_geometries", normalize=True, draw=lambda scene, number, step: (number * 7919 + step * 104729) % 10007)
+    return found.select("scene_id", "template", "question", "sql")
+
+
 # ---- dataflow
 
 
