@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomspace.functions import geometry as G
-from loomspace.operators import generate, joins, order, questions, relations
+from loomspace.operators import generate, joins, order, placement, questions, relations
 from loomspace.operators.generate import SceneConfig
 from loomspace.operators.predicates import holds, relate, with_relation
 from loomspace.sources import tables
@@ -534,6 +534,20 @@ def sample_per_group(spark: SparkSession, d: str) -> DataFrame:
     return derived.points(spark, d).select(F.col("scene").alias("scene_id"), "id", place.alias("n")).where("n <= 3").drop("n")
 
 
+_PLACED = f"""{CONVEX}, cnd AS (SELECT id, 0 AS scene, row_number() OVER (ORDER BY (id*7919)%10007, id) AS place FROM shp),
+foe AS (SELECT id, list(foe) AS foes FROM (SELECT ida AS id, idb AS foe FROM cvx WHERE meet UNION ALL SELECT idb, ida FROM cvx WHERE meet) GROUP BY id),
+rec AS (SELECT DISTINCT scene, 0::BIGINT AS place, []::BIGINT[] AS placed FROM cnd
+  UNION ALL SELECT r.scene, c.place, CASE WHEN list_has_any(r.placed, coalesce(f.foes, []::BIGINT[])) THEN r.placed ELSE list_append(r.placed, c.id) END FROM rec r JOIN cnd c ON c.scene = r.scene AND c.place = r.place + 1 LEFT JOIN foe f ON f.id = c.id)
+SELECT scene AS scene_id, unnest(placed) AS id FROM (SELECT scene, arg_max(placed, place) AS placed FROM rec GROUP BY scene)"""
+
+
+@query(BASE.replace("WITH", "WITH RECURSIVE", 1) + ", " + _PLACED)
+def greedy_placement(spark: SparkSession, d: str) -> DataFrame:
+    """Shapes of one scene that stay when they are taken by rank and none may meet one that stays already."""
+    rows = derived.shapes(spark, d).select(F.lit(0).alias("scene_id"), "id", "geom", ((F.col("id") * 7919) % 10007).alias("rank"))
+    return placement.place(rows, ["rank"]).select("scene_id", "id")
+
+
 # ---- rows only: seeded draws have no SQL
 
 
