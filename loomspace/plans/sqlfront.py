@@ -21,25 +21,69 @@ def strip_explain(sql: str) -> tuple[str, bool]:
     return body.strip().rstrip(";").strip(), body != sql
 
 
-def run(spark: SparkSession, sql: str, views: dict[str, DataFrame] | None = None, args: dict | None = None, analyze: bool = True) -> tuple[DataFrame, str | None]:
-    """The result, and a report if the text asks for a plan. views: tables by the names that the text uses.
+# Spark's names of the figures of a node, and ours.
+FIGURES = {"rows": ("numOutputRows",), "bytes_read": ("filesSize",), "bytes_shuffled": ("shuffleBytesWritten",), "bytes_broadcast": ("dataSize",), "bytes_spilled": ("spillSize",), "peak_memory": ("peakMemory",)}
+NODES = "node int, depth int, operator string, " + ", ".join(f"{f} long" for f in FIGURES)
 
-    ANALYZE runs the plan: the report is its rows and seconds, and the plan as it was carried
-    out in the end.  Without it, or with analyze=False, the plan is that before a run.
-    """
+
+def _figures(df: DataFrame) -> tuple[int, float, list[tuple]]:
+    """Runs a result's plan: its rows, the seconds, and for each node of the plan as carried out its figures; null where a node has none."""
+    ran = df._jdf.queryExecution()
+    began = time.time()
+    rows = ran.toRdd().count()
+    seconds, found = time.time() - began, []
+
+    def visit(plan, depth: int) -> None:
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return visit(plan.executedPlan(), depth)
+        if name.endswith("QueryStage"):
+            return visit(plan.plan(), depth)
+        if not name.startswith(("WholeStageCodegen", "InputAdapter")):
+            metrics, it = {}, plan.metrics().iterator()
+            while it.hasNext():
+                pair = it.next()
+                metrics[pair._1()] = pair._2().value()
+            told = [next((metrics[k] for k in keys if k in metrics), None) for keys in FIGURES.values()]
+            found.append((len(found), depth, name.strip(), *(None if v is None or v < 0 else int(v) for v in told)))
+            depth += 1
+        children = plan.children()
+        for i in range(children.size()):
+            visit(children.apply(i), depth)
+
+    visit(ran.executedPlan(), 0)
+    return rows, seconds, found
+
+
+def analyze(spark: SparkSession, sql: str, views: dict[str, DataFrame] | None = None, args: dict | None = None) -> DataFrame:
+    """Runs SQL and tells what each node of its plan did: operator, rows out, bytes read, shuffled, broadcast and spilled. One row a node, children below their parent."""
+    return spark.createDataFrame(_figures(_result(spark, sql, views, args))[2], NODES)
+
+
+def _result(spark: SparkSession, sql: str, views: dict[str, DataFrame] | None, args: dict | None) -> DataFrame:
     register(spark)
     for name, df in (views or {}).items():
         df.createOrReplaceTempView(name)
-    body, explained = strip_explain(sql)
-    df = by_grid(spark.sql(body, args=args) if args else spark.sql(body))
-    if not explained:
+    body, _ = strip_explain(sql)
+    return by_grid(spark.sql(body, args=args) if args else spark.sql(body))
+
+
+def run(spark: SparkSession, sql: str, views: dict[str, DataFrame] | None = None, args: dict | None = None, analyze: bool = True) -> tuple[DataFrame, str | None]:
+    """The result, and a report if the text asks for a plan. views: tables by the names that the text uses.
+
+    ANALYZE runs the plan: the report is its rows and seconds, a line for each node of the plan
+    as it was carried out in the end with that node's figures, and the plan.  Without it, or with
+    analyze=False, the plan is that before a run.
+    """
+    df = _result(spark, sql, views, args)
+    if not strip_explain(sql)[1]:
         return df, None
-    ran, plan = df._jdf.queryExecution(), spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    ran = df._jdf.queryExecution()
     if not analyze or not _ANALYZE.match(sql):
-        return df, ran.explainString(plan)
-    began = time.time()
-    rows = ran.toRdd().count()
-    return df, f"rows: {rows}\nseconds: {time.time() - began:.3f}\n== Physical Plan ==\n{ran.executedPlan().toString()}"
+        return df, ran.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    rows, seconds, nodes = _figures(df)
+    lines = ["  " * depth + operator + "".join(f" {f}={v}" for f, v in zip(FIGURES, told) if v is not None) for _, depth, operator, *told in nodes]
+    return df, "\n".join([f"rows: {rows}", f"seconds: {seconds:.3f}", *lines, "== Physical Plan ==", ran.executedPlan().toString()])
 
 
 def version(spark: SparkSession) -> DataFrame:
