@@ -406,8 +406,9 @@ def scenes(spark: SparkSession, n: int, cfg: SceneConfig = SceneConfig(), seed:
 def geometry_table(rows: DataFrame) -> DataFrame:
     """The table's columns from scene_id, ord, name, style, geom."""
     g = F.col("geom")
+    rows = numbered(rows, ["scene_id"], [block_of(F.col("ord"))], ["ord"], "id")
     return rows.select(
-        "scene_id", "ord", F.row_number().over(W.partitionBy("scene_id").orderBy("ord")).cast("long").alias("id"), "name", G.geom_type(g).alias("geom_type"), "style",
+        "scene_id", "ord", F.col("id").cast("long").alias("id"), "name", G.geom_type(g).alias("geom_type"), "style",
         G.vertex_count(g).alias("vertices"), G.area(g).alias("area"), "geom", g["minx"].alias("minx"), g["miny"].alias("miny"), g["maxx"].alias("maxx"), g["maxy"].alias("maxy"),
         F.current_timestamp().alias("created_at"),
     )

@@ -6,18 +6,22 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that isn't set, a local session takes a folder of its own and a cluster's raises."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder there that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, computed once, from the folder of spark.checkpoint.dir; where that isn't set, a local session takes a folder of its own and a cluster's raises."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """The rows, computed once, from the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-                raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder there that all executors share")
-            folder = os.path.join(tempfile.gettempdir(), "checkpoints")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

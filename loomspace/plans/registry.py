@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomspace.functions import geometry as G
-from loomspace.operators import generate, joins, order, placement, questions, relations
+from loomspace.operators import generate, joins, lineage, order, placement, questions, relations
 from loomspace.operators.generate import SceneConfig
 from loomspace.operators.predicates import holds, relate, with_relation
-from loomspace.sources import tables
+from loomspace.sources import documents, geotable, tables
 
 from . import derived, sqlfront
 
@@ -612,6 +614,33 @@ def question_report(spark: SparkSession, d: str) -> DataFrame:
     return questions.report(questions.one_question(_triples(spark, d), seed=1).where("error is null"))
 
 
+@query(_KNOWN + "SELECT scene AS scene_id, id, a, b, rel FROM (SELECT scene, row_number() OVER (PARTITION BY scene ORDER BY ao, bo, step, a, b) AS id, a, b, rel FROM fnd)")
+def document_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The finder's triples, written as a document a scene in pieces, and read again."""
+    path = f"{lineage.shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    documents.write_document(tables.numbered(relation_finder_compat(spark, d)), path)
+    return documents.read_document(spark, path)
+
+
+@query(f"""WITH {PTS}, {SHP}, rws AS (SELECT scene AS scene_id, 'POLYGON_' || id AS name, 'Polygon' AS geom_type, CAST(CASE k WHEN 2 THEN 3 ELSE 4 END AS INT) AS vertices FROM shp UNION ALL SELECT scene, 'POINT_' || id, 'Point', 1 FROM pts)
+SELECT * FROM rws WHERE NOT (geom_type = 'Polygon' AND vertices = 3) AND NOT (geom_type = 'Point' AND name LIKE '%7') AND scene_id <> 3
+UNION ALL SELECT 3, 'POINT_' || id, 'Point', 1 FROM pts WHERE scene = 3 UNION ALL SELECT 99, 'POINT_it''s', 'Point', 1""")
+def table_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The table created, filled, emptied in part by conditions and by scene, and filled again, some of it twice."""
+    table = geotable.GeometryTable(spark, f"{lineage.shared_folder(spark)}/geometries-{uuid.uuid4().hex}").create()
+    one = lambda df, kind: df.select(F.col("scene").alias("scene_id"), F.concat(F.lit(kind), F.col("id").cast("string")).alias("name"), G.geom_type(F.col("geom")).alias("geom_type"), F.lit("any").alias("style"), G.vertex_count(F.col("geom")).alias("vertices"), "geom")
+    points = one(derived.points(spark, d), "POINT_")
+    table.insert(one(derived.shapes(spark, d), "POLYGON_"))
+    table.sql("DELETE FROM generated_geometries WHERE geom_type = 'Polygon' AND vertices = 3;")
+    table.insert(points)
+    table.insert(points)
+    table.sql("DELETE FROM generated_geometries WHERE geom_type = 'Point' AND name LIKE '%7'")
+    table.sql("DELETE FROM generated_geometries WHERE scene_id = 3")
+    table.insert(points.where("scene_id = 3"))
+    table.sql("INSERT INTO generated_geometries (scene_id, name, geom_type, style, vertices, geom) VALUES (99, 'POINT_it''s', 'Point', 'point', 1, ST_GeomFromText('POINT (1 2)'));")
+    return table.rows().select("scene_id", "name", "geom_type", "vertices")
+
+
 _ENTITIES = "ent AS (SELECT unnest(['Polygon_A', 'Polygon_B', 'Point_C', 'Line_D']) AS e)"
 _RELS = "rels AS (SELECT unnest(['intersects', 'contains', 'within', 'overlaps', 'touches', 'disjoint', 'crosses']) AS r, unnest(['ST_Intersects', 'ST_Contains', 'ST_Within', 'ST_Overlaps', 'ST_Touches', 'ST_Disjoint', 'ST_Crosses']) AS f)"
 _FILLED = "'" + questions.PLACEHOLDER_SQL.replace("'", "''") + "'"
