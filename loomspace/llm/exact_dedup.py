@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, hot_keys, lower_az, packed, salted_join, slices, trim, whole_text
 
 BUCKET_BYTES = 32 << 20
-PARTITION_BYTES = 256 << 20
+PARTITION_BYTES = 128 << 20
 MAP_BYTES = 16 << 20  # of the table inside a map task
 SPLIT_BITS = 2
 ROW_BYTES = 400  # what a content takes in a table beside its text
