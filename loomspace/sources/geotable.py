@@ -71,12 +71,17 @@ class GeometryTable:
     def _values(self, columns: list[str], values: str) -> DataFrame:
         """The rows of VALUES, read by Spark's parser, as SELECTs: an inline table can't hold a function like ST_GeomFromText."""
         plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(f"VALUES {values}")
-        while plan.nodeName() != "UnresolvedInlineTable":
+        while plan.nodeName() != "UnresolvedInlineTable" and plan.children().size():
             plan = plan.children().apply(0)
+        wrong = ValueError("a row of VALUES has more or fewer values than columns are named")
+        if plan.nodeName() != "UnresolvedInlineTable":  # plain literals are a table already
+            if plan.output().size() != len(columns):
+                raise wrong
+            return self.spark.sql(f"SELECT * FROM VALUES {values} AS v({', '.join(columns)})")
         rows = plan.rows()
         one = lambda row: ", ".join(f"{row.apply(i).sql()} AS {c.strip()}" for i, c in enumerate(columns))
         if any(rows.apply(k).size() != len(columns) for k in range(rows.size())):
-            raise ValueError("a row of VALUES has more or fewer values than columns are named")
+            raise wrong
         return self.spark.sql(" UNION ALL ".join(f"SELECT {one(rows.apply(k))}" for k in range(rows.size())))
 
     def _named(self, name: str) -> None:
