@@ -235,10 +235,10 @@ def documents_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # A page has two references: the whole image's and its end's.
     pieces = pages.select("row", "doc_id", "n_bytes", F.size("pieces").alias("n_pieces"), F.posexplode(F.filter("pieces", lambda p: p["kind"] == "media")).alias("k", "s"))
     found = _joined(pieces.select("row", "doc_id", "n_bytes", "n_pieces", "k", "s.pos", "s.caption", "s.digest"), read_back(stored), hot)
-    image = F.when(F.col("k") == 0, F.struct("pos", "caption", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256", "feature"))
-    end = F.when(F.col("k") == 1, F.struct("pos", "caption", "tail_crc32"))
+    image = F.when(F.col("k") == 0, F.struct("pos", "caption", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"))
+    end = F.when(F.col("k") == 1, F.struct("pos", "caption"))
     both = found.groupBy("row", "doc_id", "n_bytes", "n_pieces").agg(F.max(image).alias("image"), F.max(end).alias("end"))
     return both.select(
         "doc_id", "n_bytes", "n_pieces", "image.pos", "image.caption", F.col("end.pos").alias("end_pos"), F.col("end.caption").alias("end_caption"), "image.payload_bytes",
-        _hex("image.payload_sha256").alias("payload_sha256"), "end.tail_crc32", "image.media_bytes", _hex("image.media_sha256").alias("media_sha256"), "image.feature",
+        _hex("image.payload_sha256").alias("payload_sha256"), "image.tail_crc32", "image.media_bytes", _hex("image.media_sha256").alias("media_sha256"), "image.feature",
     )
