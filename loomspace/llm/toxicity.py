@@ -12,7 +12,8 @@ of id and text (rows that repeat both count once); scores cover every row and wh
 
 The beginnings of words go beyond words, pairs and skip-grams.  They and the settings were
 chosen by cross-validation inside the folds that may be learned from, no held-out row among
-them: at 10,000 documents they raise the toxic ones found from 247 to 318 of 352.
+them: at 10,000 documents they raise the toxic ones found from 247 to 318 of 352, and the mean
+of three fits over other orders of the rows, of half the epochs, to 324 (2 of 2,803 others).
 
 Defined results: null and empty texts have the score of the bias alone.  A label that is
 null is no label; an id with several labels has the largest.  Without labels the score is
@@ -37,6 +38,7 @@ from .common import fold, sampled, trim, whole_text
 BITS = 22
 MAX_TRAIN_ROWS = 24_000
 WORDS_KEPT = 100_000
+SHUFFLES = 3
 STEMS = (5, 6, 7)  # letters of the beginnings that count
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SCHEMA = "place int, weight float"
@@ -79,7 +81,7 @@ def features(text: str, places: Places, stems: Stems, bits: int = BITS) -> np.nd
     return np.concatenate((place(h), place(near), place(skip), place(begun), place(shared)))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.5, seed: int = 3) -> tuple[float, np.ndarray, np.ndarray]:
+def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 2, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.5, seed: int = 3) -> tuple[float, np.ndarray, np.ndarray]:
     """The bias, and the places and weights that aren't zero.  rows: distinct places, 0 or 1."""
     z, n = np.zeros((1 << bits) + 1, dtype=np.float32), np.zeros((1 << bits) + 1, dtype=np.float32)
     bias = np.array([1 << bits])
@@ -103,6 +105,17 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 4, a
     return float(weights(bias)[0]), at.astype(np.int32), weights(at).astype(np.float32)
 
 
+def averaged(rows: list[tuple[np.ndarray, int]], bits: int = BITS, shuffles: int = SHUFFLES, seed: int = 3, **options) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean of the fits over several orders of the rows: the weights of few labels hang on the order, their mean much less."""
+    bias, total = 0.0, np.zeros(1 << bits, dtype=np.float32)
+    for k in range(shuffles):
+        b, at, w = fit(rows, bits, seed=seed + k, **options)
+        bias += b / shuffles
+        total[at] += w / shuffles
+    at = np.flatnonzero(total)
+    return bias, at.astype(np.int32), total[at]
+
+
 def _train(bits: int, options: dict):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, places, stems = [], Places(), Stems()
@@ -110,7 +123,7 @@ def _train(bits: int, options: dict):
             for text, y in zip(b["text"], b["y"]):
                 rows.append((np.unique(features(text, places, stems, bits)).astype(np.int32), int(y)))
         if rows:
-            bias, at, w = fit(rows, bits, **options)
+            bias, at, w = averaged(rows, bits, **options)
             yield pd.DataFrame({"place": np.concatenate(([-1], at)).astype(np.int32), "weight": np.concatenate(([bias], w)).astype(np.float32)})
         rows.clear()
         trim()
