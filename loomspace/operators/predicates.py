@@ -110,8 +110,10 @@ def register(spark: SparkSession) -> None:
     number = "[-+]?[0-9]*[.]?[0-9]+(?:[eE][-+]?[0-9]+)?"
     pts = f"transform(regexp_extract_all(wkt, '({number} +{number})', 1), p -> named_struct('x', CAST(split(p, ' +')[0] AS DOUBLE), 'y', CAST(split(p, ' +')[1] AS DOUBLE)))"
     kind = "CASE upper(regexp_extract(wkt, '^ *([A-Za-z]+)', 1)) WHEN 'POINT' THEN 'Point' WHEN 'LINESTRING' THEN 'LineString' WHEN 'POLYGON' THEN 'Polygon' END"
+    # A polygon with holes, or another kind of geometry, is null, as from_wkt has it.
+    sound = f"({kind}) IS NOT NULL AND size({pts}) > 0 AND NOT wkt RLIKE '[)][^(]*[(]'"
     least = lambda f, c: f"{f}(transform({pts}, q -> q.{c}))"
     spark.sql(
-        f"CREATE OR REPLACE TEMPORARY FUNCTION st_geomfromtext(wkt STRING, srid INT DEFAULT 0) RETURNS {g} RETURN named_struct('kind', {kind}, 'pts', {pts}, "
-        f"'minx', {least('array_min', 'x')}, 'miny', {least('array_min', 'y')}, 'maxx', {least('array_max', 'x')}, 'maxy', {least('array_max', 'y')})"
+        f"CREATE OR REPLACE TEMPORARY FUNCTION st_geomfromtext(wkt STRING, srid INT DEFAULT 0) RETURNS {g} RETURN CASE WHEN {sound} THEN named_struct('kind', {kind}, 'pts', {pts}, "
+        f"'minx', {least('array_min', 'x')}, 'miny', {least('array_min', 'y')}, 'maxx', {least('array_max', 'x')}, 'maxy', {least('array_max', 'y')}) END"
     )

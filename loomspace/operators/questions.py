@@ -197,7 +197,7 @@ def one_question(triples: DataFrame, seed: int, table: str = "geometries", name:
     number = 2 * F.col("scene_id").cast("long") + F.when(F.col("template") == "chain", 0).otherwise(1)
     drawn = _least(both, draw(F.col("scene_id"), number, 6), "template", "id1", "id2", "a", "rel1", "b", "rel2", "c")
     of = lambda t: drawn.where(F.col("template") == t)
-    best = chain_questions(of("chain"), table, name, geom, touches).unionByName(multi_questions(of("multi"), table, name, geom, touches)).drop("id1", "id2")
+    best = chain_questions(of("chain"), table, name, geom, touches).unionByName(multi_questions(of("multi"), table, name, geom, touches)).drop("id1", "id2").withColumn("sql", clean_sql(F.col("sql")))
     return triples.select("scene_id").distinct().join(best, "scene_id", "left").withColumn("error", F.when(F.col("question").isNull(), NO_PATTERN))
 
 

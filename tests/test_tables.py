@@ -83,3 +83,13 @@ def test_figures_of_a_plan(spark):
     _, report = sqlfront.run(spark, "EXPLAIN (ANALYZE, BUFFERS) SELECT count(*) FROM numbers", view)
     assert report.startswith("rows: 1\n") and "Range rows=1000" in report
     assert sqlfront.run(spark, "EXPLAIN SELECT 1")[1].startswith("== Physical Plan ==")
+
+
+def test_sql_reads_the_same_texts_as_the_function(spark):
+    from loomspace.operators.predicates import register
+
+    register(spark)
+    texts = ["POINT (1 2)", "point(-1.5 2e3)", "LINESTRING (0 0, 4 4, 5 1)", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))", "POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0), (1 1, 2 1, 2 2, 1 1))", "MULTIPOINT ((1 2), (3 4))", "POINT EMPTY", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "w string")
+    for r in rows.select("w", G.from_wkt(F.col("w")).alias("a"), F.expr("ST_GeomFromText(w)").alias("b")).collect():
+        assert r.b == r.a, r.w
