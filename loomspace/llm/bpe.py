@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, trim, whole_text
 
-WORDS_KEPT = 150_000
-BATCH_CHARS = 4 << 20
+WORDS_KEPT = 100_000
+BATCH_CHARS = 2 << 20
 
 
 class Ranks:
