@@ -22,11 +22,14 @@ def place(candidates: DataFrame, rank: list[str], predicate: str = "intersects",
 
     Candidates without a geometry never stay.  An empty table gives an empty result.
     """
-    order = F.struct(*rank, "id")
-    one = lambda s, i, g, r: candidates.where("geom IS NOT NULL").select(F.col("scene_id").alias(s), F.col("id").alias(i), F.col("geom").alias(g), order.alias(r))
+    ranked = candidates.where("geom IS NOT NULL").select("scene_id", "id", "geom", F.struct(*rank, F.col("id").alias("_id")).alias("_r"))
+    if predicate == "intersects":
+        # Equal geometries meet each other and the same others: none stays but the first of them.
+        ranked = ranked.groupBy("scene_id", "geom").agg(F.min("_r").alias("_r")).select("scene_id", F.col("_r")["_id"].alias("id"), "geom", "_r")
+    one = lambda s, i, g, r: ranked.select(F.col("scene_id").alias(s), F.col("id").alias(i), F.col("geom").alias(g), F.col("_r").alias(r))
     met = spatial_join(one("scene_id", "better", "a", "_r"), one("_scene", "worse", "b", "_q"), predicate, [("scene_id", "_scene")], use=use)
     edges = checkpointed(met.where("_r < _q").select("scene_id", "better", "worse"))
-    undecided = checkpointed(candidates.where("geom IS NOT NULL").select("scene_id", "id"))
+    undecided = checkpointed(ranked.select("scene_id", "id"))
     stay = None
     key = lambda df, name: df.select("scene_id", F.col("id").alias(name))
     while not undecided.isEmpty():
